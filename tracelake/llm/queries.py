@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, simhash
-from tracelake.llm.common import table
+from tracelake.llm import bpe, line_dedup, mixing, simhash
+from tracelake.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,12 +23,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = cut(docs.select("doc_id", "source", mixing.measure(docs).alias("size")))
+    return mixing.plan(sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
+    "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
+}
+SQL: dict[str, str] = {
+    "op5_mixing": mixing.SQL,
+    "op8_line_dedup": line_dedup.SQL,
 }
-SQL: dict[str, str] = {}
