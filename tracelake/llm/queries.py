@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, line_dedup, mixing, simhash
+from tracelake.llm import bpe, knn_voronoi, line_dedup, lsh_multiprobe, mixing, simhash
 from tracelake.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,20 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = table(spark, sf_dir, "embeddings")
+    return knn_voronoi.search(data, data.where("vec_id % 100 = 0"), k=10)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = table(spark, sf_dir, "embeddings")
+    return lsh_multiprobe.search(data, data.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = cut(docs.select("doc_id", "source", mixing.measure(docs).alias("size")))
@@ -39,12 +49,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_voronoi_knn": op1_voronoi_knn,
     "op3_bpe": op3_bpe,
+    "op4_multiprobe_lsh": op4_multiprobe_lsh,
     "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
 }
 SQL: dict[str, str] = {
+    "op1_voronoi_knn": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 10
+""",
     "op5_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
