@@ -70,12 +70,15 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, out: list[StructField
     schema = StructType([docs.schema[c] for c in keep] + out)
     types = pa.schema([pa.field(f.name, _arrow(f)) for f in out])
 
+    at = keep.index(text) if text in keep else len(keep)
+    extra = [] if text in keep else [F.col(f"`{text}`").alias("__text")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = fn([t or "" for t in b.column(len(keep)).to_pylist()])
+            made = fn([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(v, type=f.type) for v, f in zip(made, types, strict=True))], [*keep, *types.names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *extra).mapInArrow(run, schema)
 
 
 def _arrow(field: StructField) -> pa.DataType:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, knn_voronoi, line_dedup, lsh_multiprobe, mixing, simhash
-from tracelake.llm.common import cut, table
+from tracelake.llm import bpe, knn_voronoi, line_dedup, lsh_multiprobe, mixing, simhash, toxicity_nnpu
+from tracelake.llm.common import cut, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,13 @@ def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_voronoi.search(data, data.where("vec_id % 100 = 0"), k=10)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_nnpu.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity_nnpu.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -50,6 +57,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_voronoi_knn": op1_voronoi_knn,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_multiprobe_lsh": op4_multiprobe_lsh,
     "op5_mixing": op5_mixing,
