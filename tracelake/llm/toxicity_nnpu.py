@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField
 from tracelake.llm.common import held_out, map_texts
 
 #: The bounded sample that a fit reads: rows of each kind, and the longest text in it. Scoring reads every whole text.
-POSITIVES, UNLABELLED, LONGEST = 2_000, 8_000, 50_000
+POSITIVES, UNLABELLED, LONGEST = 1_500, 6_000, 50_000
 #: Beginnings, times and rates that make a mark; marks kept, least positives with one, least z score.
 BEGINNINGS, TIMES, RATES = (4, 5, 6, 7), (1, 2, 3), (1 / 256, 1 / 128, 1 / 64, 1 / 32)
 MARKS, SUPPORT, LEAST_Z = 300, 5, 4.0
@@ -107,15 +107,18 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = EPOCHS) ->
 def fit_texts(positives: list[str], unlabelled: list[str], prior: float) -> Model:
     """The model of two lists of texts; without positives or marks it gives every text the prior."""
     prior = min(max(prior, 1e-3), 0.999)
-    p = [_counts(t) for t in positives]
-    held = Counter(b for c, _ in p for b in c)
+    held: Counter = Counter()
+    for t in positives:  # one text at a time: only the bases of the positives are kept
+        held.update(_counts(t)[0].keys())
     known = {b for b, n in held.items() if n >= SUPPORT}
+    held.clear()
     marks: dict[tuple[str, int], int] = {}
 
-    def rows(counted: list[tuple[Counter, int]]) -> list[np.ndarray]:
+    def rows(texts: list[str]) -> list[np.ndarray]:
+        counted = map(_counts, texts)
         return [np.array([marks.setdefault((b, i), len(marks)) for b, times in c.items() if b in known for i in levels(times, n)], int) for c, n in counted]
 
-    rp, ru = rows(p), rows([_counts(t) for t in unlabelled])
+    rp, ru = rows(positives), rows(unlabelled)
     if not marks or not unlabelled:
         return Model({}, float(np.log(prior / (1 - prior))))
     dp, du = (np.bincount(np.concatenate(r), minlength=len(marks)).astype(float) for r in (rp, ru))
