@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, knn_voronoi, line_dedup, lsh_multiprobe, mixing, simhash, toxicity_nnpu
+from tracelake.llm import bpe, knn_voronoi, line_dedup, lsh_multiprobe, mixing, pii_feistel, secrets_zstd, simhash, toxicity_nnpu
 from tracelake.llm.common import cut, held_out, table
 
+#: The key of the registered query; whoever runs the operator on real data passes their own.
+PII_KEY = "demonstration key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -55,6 +58,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, keep=["doc_id"])
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_zstd.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_toxicity": op2_toxicity,
@@ -63,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
+    "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {
     "op1_voronoi_knn": """
