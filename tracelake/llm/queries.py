@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, knn_voronoi, line_dedup, lsh_multiprobe, mixing, pii_feistel, secrets_zstd, simhash, toxicity_nnpu
+from tracelake.llm import bpe, knn_voronoi, line_dedup, lsh_multiprobe, mixing, pii_feistel, rule_quality, secrets_zstd, simhash, toxicity_nnpu
 from tracelake.llm.common import cut, held_out, table
 
 #: The key of the registered query; whoever runs the operator on real data passes their own.
 PII_KEY = "demonstration key"
 
+#: The scores from which on a document counts as toxic, and as good.
+TOXIC, GOOD = 0.3, 0.7
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,7 +34,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_nnpu.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity_nnpu.score(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +52,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = rule_quality.score(docs, rule_quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
     "op4_multiprobe_lsh": op4_multiprobe_lsh,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
