@@ -18,8 +18,9 @@ def row_stream(calls: DataFrame) -> DataFrame:
 
 
 def write_rows(calls: DataFrame, path: str) -> None:
-    """The row stream as text, sorted over all files by exit; every file starts with the header."""
-    row_stream(calls).orderBy("exit_time_ns", "exit_seq").select(F.col("value").alias(HEADER)).write.option("header", True).option("quote", "\0").option("escapeQuotes", False).csv(path)
+    """The row stream as text, sorted over all files by exit, after one line with the header."""
+    head = calls.sparkSession.createDataFrame([(-(1 << 63), -(1 << 63), HEADER)], "exit_time_ns bigint, exit_seq bigint, value string")
+    head.unionByName(row_stream(calls)).orderBy("exit_time_ns", "exit_seq").select("value").write.text(path)
 
 
 def save_aggregate(aggregate: DataFrame, path: str, host: str, run_name: str, run_ts: str) -> None:
