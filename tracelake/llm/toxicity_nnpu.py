@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField
 from tracelake.llm.common import held_out, map_texts
 
 #: The bounded sample that a fit reads: rows of each kind, and the longest text in it. Scoring reads every whole text.
-POSITIVES, UNLABELLED, LONGEST = 1_500, 6_000, 50_000
+POSITIVES, UNLABELLED, LONGEST = 1_500, 6_000, 20_000
 #: Beginnings, times and rates that make a mark; marks kept, least positives with one, least z score.
 BEGINNINGS, TIMES, RATES = (4, 5, 6, 7), (1, 2, 3), (1 / 256, 1 / 128, 1 / 64, 1 / 32)
 MARKS, SUPPORT, LEAST_Z = 300, 5, 4.0
