@@ -20,9 +20,9 @@ from tracelake.llm.common import held_out, map_texts
 
 #: The bounded sample that a fit reads: rows of each kind, and the longest text in it. Scoring reads every whole text.
 POSITIVES, UNLABELLED, LONGEST = 1_500, 6_000, 20_000
-#: Beginnings, times and rates that make a mark; marks kept, least positives with one, least z score.
+#: Beginnings, times and rates that make a mark; marks kept, least number and share of positives with one, least z score.
 BEGINNINGS, TIMES, RATES = (4, 5, 6, 7), (1, 2, 3), (1 / 256, 1 / 128, 1 / 64, 1 / 32)
-MARKS, SUPPORT, LEAST_Z = 300, 5, 4.0
+MARKS, SUPPORT, SUPPORT_SHARE, LEAST_Z = 300, 3, 0.015, 4.0
 EPOCHS, STEP, RIDGE = 150, 0.02, 1e-3
 CACHE = 500_000
 EDGE = ".,;:!?\"'`()[]{}<>|*#$%&@^~_+=/\\-"
@@ -110,7 +110,8 @@ def fit_texts(positives: list[str], unlabelled: list[str], prior: float) -> Mode
     held: Counter = Counter()
     for t in positives:  # one text at a time: only the bases of the positives are kept
         held.update(_counts(t)[0].keys())
-    known = {b for b, n in held.items() if n >= SUPPORT}
+    support = max(SUPPORT, SUPPORT_SHARE * len(positives))
+    known = {b for b, n in held.items() if n >= support}
     held.clear()
     marks: dict[tuple[str, int], int] = {}
 
@@ -123,7 +124,7 @@ def fit_texts(positives: list[str], unlabelled: list[str], prior: float) -> Mode
         return Model({}, float(np.log(prior / (1 - prior))))
     dp, du = (np.bincount(np.concatenate(r), minlength=len(marks)).astype(float) for r in (rp, ru))
     share, pool = dp / len(rp) - du / len(ru), (dp + du) / (len(rp) + len(ru))
-    z = np.where(dp >= SUPPORT, share / np.sqrt(pool * (1 - pool) * (1 / len(rp) + 1 / len(ru)) + 1e-12), 0)
+    z = np.where(dp >= support, share / np.sqrt(pool * (1 - pool) * (1 / len(rp) + 1 / len(ru)) + 1e-12), 0)
     chosen = np.lexsort((np.arange(len(z)), -z))[:MARKS]
     chosen = chosen[z[chosen] > LEAST_Z]
     if not len(chosen):
