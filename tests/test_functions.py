@@ -101,13 +101,16 @@ def test_quantile_places(spark, n):
     r = profile.io_profile(series(spark, [*range(n)]), ["g"]).first()
     assert (r["bytes_median"], r["bytes_p95"], r["bytes_p99"]) == (n // 2, min(n - 1, int(n * 0.95)), min(n - 1, int(n * 0.99)))
     assert (r["count"], r["total_bytes"], r["latency_mean"]) == (n, n * (n - 1) // 2, n * (n - 1) // n)
+    assert profile.io_profile(series(spark, [*range(n)]), ["g"], split=7).first() == r
     m = profile.stats_map(profile.io_profile(series(spark, [*range(n)]), ["g"]), ["g"]).first()
     assert m["latency"]["max"] == 2 * (n - 1) and m["bytes"]["p95"] == r["bytes_p95"]
 
 
 def test_bursts(spark):
     def run(*values):
-        return tuple(patterns.bursts(series(spark, values), ["g"]).select("burst_count", "burst_us").first())
+        whole, spread = (tuple(patterns.bursts(series(spark, values), ["g"], split_us=s).select("burst_count", "burst_us").first()) for s in (None, 2_000_000))
+        assert whole == spread
+        return whole
 
     assert run(2000, 3000, 1, 1, 5000, 1000) == (2, 3_000_000)
     assert run(1, 2000, 2000) == (0, 0) and run(2000) == (0, 0)
@@ -115,7 +118,9 @@ def test_bursts(spark):
 
 def test_periodicity(spark):
     def run(values, **k):
-        return tuple(patterns.periodicity(series(spark, values), ["g"], **k).select("is_periodic", "best_lag", "period_us").first())
+        whole, spread = (tuple(patterns.periodicity(series(spark, values), ["g"], split_us=s, **k).select("is_periodic", "best_lag", "period_us").first()) for s in (None, 3_000_000))
+        assert whole == spread
+        return whole
 
     assert run([0, 0, 9] * 8) == (True, 3, 3_000_000) and run([0, 0, 9] * 8, max_lag=2) == (False, 0, 0)
     assert run([1, 2, 3]) == (False, 0, 0) and run([5] * 10, normalized=True) == (False, 0, 0)

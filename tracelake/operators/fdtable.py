@@ -8,10 +8,11 @@ Descriptors without a version are looked up in the snapshot of the process table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import CREAT_FLAGS, F_DUPFD, F_DUPFD_CLOEXEC, F_SETFL, O_CLOEXEC, SETTABLE
+from tracelake.operators.ordered import look_back
 from tracelake.schema import UNKNOWN, file_struct
 from tracelake.scratch import cut
 
@@ -58,15 +59,16 @@ def versions(calls: DataFrame, scope: str = "pid", strict_minus_one: bool = Fals
     )
 
 
-def _before(states: DataFrame, uses: DataFrame) -> DataFrame:
+def _before(states: DataFrame, uses: DataFrame, split_ns: int | None = None) -> DataFrame:
     """``uses`` (scope, fd, order, ``use``) and ``found``: the id and kind of the version of that descriptor just before."""
     marks = states.select("scope", "fd", "exit_time_ns", "exit_seq", F.struct("vid", "kind").alias("v"), F.lit(None).cast("bigint").alias("use"))
     asks = uses.select("scope", "fd", "exit_time_ns", "exit_seq", F.lit(None).cast(marks.schema["v"].dataType).alias("v"), "use")
-    w = Window.partitionBy("scope", "fd").orderBy("exit_time_ns", "exit_seq", F.col("use").isNull()).rowsBetween(Window.unboundedPreceding, -1)
-    return marks.unionByName(asks).withColumn("found", F.last("v", ignorenulls=True).over(w)).where("use is not null").select("use", "found")
+    both = marks.unionByName(asks).withColumn("__mark", F.col("use").isNull())  # a use comes before its own call's version
+    seen = look_back(both, ["scope", "fd"], F.col("v"), "found", order=("exit_time_ns", "exit_seq", "__mark"), split_ns=split_ns)
+    return seen.where("use is not null").select("use", "found")
 
 
-def resolve(states: DataFrame, proc_fd: DataFrame, rounds: int = 64) -> DataFrame:
+def resolve(states: DataFrame, proc_fd: DataFrame, rounds: int = 64, split_ns: int | None = None) -> DataFrame:
     """``vid``, ``file_name``, ``file_flags`` and ``from_snapshot`` of every version that is a file.
 
     A link becomes its source's version under two masks: flags & and_mask | or_mask. Each round joins every link that
@@ -74,7 +76,7 @@ def resolve(states: DataFrame, proc_fd: DataFrame, rounds: int = 64) -> DataFram
     """
     links = states.where("kind = 'link'")
     asks = links.select("scope", F.col("src_fd").alias("fd"), "exit_time_ns", "exit_seq", F.col("vid").alias("use"))
-    found = _before(states, asks).select(F.col("use").alias("vid"), "found")
+    found = _before(states, asks, split_ns).select(F.col("use").alias("vid"), "found")
     start = links.select("vid", "pid", "src_fd", "and_mask", "or_mask").join(found, "vid")
     at = F.when(F.col("found.kind") == "closed", F.lit(None)).otherwise(F.col("found.vid"))
     work = cut(start.select("vid", "pid", "src_fd", "and_mask", "or_mask", at.alias("to"), F.coalesce(F.col("found.kind") == "link", F.lit(False)).alias("open")))
@@ -102,7 +104,7 @@ def resolve(states: DataFrame, proc_fd: DataFrame, rounds: int = 64) -> DataFram
     return linked.unionByName(states.where("kind = 'root'").select("vid", "file_name", "file_flags", F.lit(False).alias("from_snapshot")))
 
 
-def attach_files(calls: DataFrame, proc_fd: DataFrame | None = None, scope: str = "pid", strict_minus_one: bool = False, keep_access_mode: bool = False) -> DataFrame:
+def attach_files(calls: DataFrame, proc_fd: DataFrame | None = None, scope: str = "pid", strict_minus_one: bool = False, keep_access_mode: bool = False, split_ns: int | None = None) -> DataFrame:
     """``calls`` and ``file``: what the call worked on, or null.
 
     Opens and creat have the file they opened, none if they failed; calls by path or by two names have those names; calls by
@@ -114,11 +116,11 @@ def attach_files(calls: DataFrame, proc_fd: DataFrame | None = None, scope: str
     c = F.col
     calls = cut(calls)
     states = cut(versions(calls, scope, strict_minus_one, keep_access_mode))
-    files = resolve(states, proc_fd)
+    files = resolve(states, proc_fd, split_ns=split_ns)
     on_fd = c("record_kind").isin("fd", "dup3", "fcntl")
     setfl = (c("record_kind") == "fcntl") & (c("cmd") == F_SETFL) & ~_failed(strict_minus_one)
     uses = calls.where(on_fd & ~setfl).select((c("pid") if scope == "pid" else F.lit(0).cast("bigint")).alias("scope"), "fd", "exit_time_ns", "exit_seq", c("exit_seq").alias("use"))
-    found = _before(states, uses).select(c("use").alias("use"), F.when(c("found.kind") != "closed", c("found.vid")).alias("vid"))
+    found = _before(states, uses, split_ns).select(c("use").alias("use"), F.when(c("found.kind") != "closed", c("found.vid")).alias("vid"))
     own = states.where("kind = 'root'").select(c("vid").alias("use"), "vid").unionByName(calls.where(setfl).select(c("exit_seq").alias("use"), c("exit_seq").alias("vid")))
     named = found.unionByName(own).join(files, "vid", "left").select(c("use").alias("__use"), c("vid").alias("__vid"), "file_name", "file_flags", "from_snapshot")
     held = proc_fd.select(c("pid").alias("__pid"), c("fd").alias("__fd"), c("name").alias("snap_name"), c("flags").alias("snap_flags"))
@@ -143,8 +145,6 @@ def attach_comm(calls: DataFrame, proc_exe: DataFrame | None = None, split_ns: i
     A successful open has its own; a failed one has none but still tells the later calls of its thread. Other calls have that
     of the last completed open, else the snapshot's, else none.
     """
-    from tracelake.operators.ordered import look_back
-
     opens = F.col("record_kind") == "open"
     told = calls.withColumn("__own", F.when(opens, F.coalesce("comm", F.lit(""))))
     seen = look_back(told, ["tid"], F.col("__own"), "__known", order=("exit_time_ns", "exit_seq"), split_ns=split_ns)

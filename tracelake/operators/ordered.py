@@ -40,3 +40,17 @@ def look_back(df: DataFrame, by: Sequence[str], value: Column, name: str, order:
     carried = spans.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__span").alias("__at"), F.last("__last", ignorenulls=True).over(outer).alias("__carried"))
     found = near.join(carried, _null_safe(near, carried, by) & (F.col("__span") == F.col("__at")), "left")
     return found.withColumn(name, F.coalesce("__near", "__carried")).drop("__value", "__span", "__near", "__at", "__carried", *[f"__{k}" for k in by])
+
+
+def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, split: int | None = None) -> DataFrame:
+    """``df`` and ``name``: each row's place in its key, from 0. With ``split``, spans of the first column of the order are
+    numbered on their own, and the rows before a span are counted over the spans alone."""
+    if split is None:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
+    parts = df.withColumn("__span", F.floor(F.col(order[0]) / split))
+    near = parts.withColumn("__near", F.row_number().over(Window.partitionBy(*by, "__span").orderBy(*order)) - 1)
+    counts = parts.groupBy(*by, "__span").agg(F.count("*").alias("__n"))
+    outer = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__span").alias("__at"), F.coalesce(F.sum("__n").over(outer), F.lit(0)).alias("__before"))
+    found = near.join(before, _null_safe(near, before, by) & F.col("__span").eqNullSafe(F.col("__at")))
+    return found.withColumn(name, (F.col("__near") + F.col("__before")).cast("bigint")).drop("__span", "__near", "__at", "__before", *[f"__{k}" for k in by])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import look_back, places
+
 BURST, PERIODIC, STABLE = 1000, 0.7, 0.1
 #: Nanoseconds in each unit of time that a slope can be given in.
 UNITS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000}
@@ -17,36 +19,37 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
 
 
-def bursts(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", threshold: int = BURST) -> DataFrame:
+def bursts(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", threshold: int = BURST, split_us: int | None = None) -> DataFrame:
     """``burst_count`` and ``burst_us`` of each group.
 
     A burst is a run of rows above ``threshold``; it lasts from its first row to the first row after it. A run that is
-    open at the end does not count, nor do groups of one row. The place of each run's first row comes from the
-    last row at or below the threshold, so no run is gathered.
+    open at the end does not count, nor do groups of one row. The place of each run's first row comes from looking
+    back, so no run is gathered; ``split_us`` spreads a group over spans of that many microseconds.
     """
-    w = Window.partitionBy(*by).orderBy(ts, *tie)
+    keys, order = list(by), ("__us", *tie)
     high = F.coalesce(F.col(size) > threshold, F.lit(False))
-    d = rows.select(*by, micros(ts).alias("us"), F.col(ts), *tie, high.alias("high")).withColumn("was", F.coalesce(F.lag("high").over(w), F.lit(False)))
-    start = F.when(F.col("high") & ~F.col("was"), F.col("us"))
-    d = d.withColumn("start", F.last(start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ended = ~F.col("high") & F.col("was")
-    return d.groupBy(*by).agg(F.sum(ended.cast("bigint")).alias("burst_count"), F.coalesce(F.sum(F.when(ended, F.col("us") - F.col("start"))), F.lit(0)).alias("burst_us"))
+    d = rows.select(*keys, *tie, micros(ts).alias("__us"), high.alias("__high"))
+    d = look_back(d, keys, F.col("__high"), "__was", order=order, split_ns=split_us).withColumn("__was", F.coalesce("__was", F.lit(False)))
+    start = F.when(F.col("__high") & ~F.col("__was"), F.col("__us"))
+    d = look_back(d, keys, start, "__start", order=order, split_ns=split_us, current=True)
+    ended = ~F.col("__high") & F.col("__was")
+    return d.groupBy(*keys).agg(F.sum(ended.cast("bigint")).alias("burst_count"), F.coalesce(F.sum(F.when(ended, F.col("__us") - F.col("__start"))), F.lit(0)).alias("burst_us"))
 
 
-def periodicity(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", max_lag: int | None = None, normalized: bool = False) -> DataFrame:
+def periodicity(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", max_lag: int | None = None, normalized: bool = False, split_us: int | None = None) -> DataFrame:
     """``is_periodic``, ``best_lag``, ``period_us`` and ``correlation`` of each group.
 
     For each lag below half the group's rows, the mean of the products of deviations that far apart; the best is the
     first of the greatest above zero, and counts as periodic above 0.7. The period is the time from the first row to
     the row best_lag after it. By definition this is a covariance; ``normalized`` divides it by the variance. The
     products of one row are as many as there are lags: give ``max_lag`` for long series, so that the work stays linear.
-    Groups of fewer than four rows have no period.
+    Rows meet by place, so a group spreads over all tasks; ``split_us`` spreads its numbering too. Groups of fewer than
+    four rows have no period.
     """
     keys = list(by)
-    w, whole = Window.partitionBy(*keys).orderBy(ts, *tie), Window.partitionBy(*keys)
-    v = F.col(size).cast("double")
-    d = rows.select(*keys, micros(ts).alias("us"), F.col(ts), *tie, v.alias("v")).withColumn("i", F.row_number().over(w) - 1)
-    d = d.withColumn("n", F.count("*").over(whole)).withColumn("dev", F.col("v") - F.avg("v").over(whole))
+    d = places(rows.select(*keys, *tie, micros(ts).alias("us"), F.col(size).cast("double").alias("v")), keys, ("us", *tie), "i", split_us)
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col(size).cast("double")).alias("mean"))
+    d = d.join(whole, keys).withColumn("dev", F.col("v") - F.col("mean"))
     lags = F.floor(F.col("n") / 2) - 1
     lags = F.least(lags, F.lit(max_lag)) if max_lag is not None else lags
     ahead = d.where("n >= 4").withColumn("lag", F.explode(F.when(lags >= 1, F.sequence(F.lit(1).cast("bigint"), lags))))
@@ -81,6 +84,7 @@ def trend(rows: DataFrame, by: Sequence[str], ts: str = "ts", size: str = "bytes
     return out.select(*keys, F.when(F.col("n") < 2, 0.0).otherwise(slope).alias("slope"), direction.alias("direction"))
 
 
-def analyze(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", max_lag: int | None = None) -> DataFrame:
+def analyze(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", max_lag: int | None = None, split_us: int | None = None) -> DataFrame:
     """One row a group with its bursts, period and trend."""
-    return bursts(rows, by, ts, tie, size).join(periodicity(rows, by, ts, tie, size, max_lag), list(by)).join(trend(rows, by, ts, size), list(by))
+    run, period = bursts(rows, by, ts, tie, size, split_us=split_us), periodicity(rows, by, ts, tie, size, max_lag, split_us=split_us)
+    return run.join(period, list(by)).join(trend(rows, by, ts, size), list(by))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import places
+from tracelake.operators.patterns import micros
+
 QUANTILES = (0.95, 0.99)
 
 
@@ -15,19 +18,33 @@ def _place(n: Column, p: float) -> Column:
     return F.least(F.floor(n * F.lit(p)), n - 1)
 
 
-def io_profile(rows: DataFrame, by: Sequence[str], latency: str = "latency_ns", size: str = "bytes") -> DataFrame:
+def _running(counted: DataFrame, keys: list[str], split: int | None) -> DataFrame:
+    """``counted`` (keys, v, n) with ``end``, the rows up to each value, and ``all``; spans of values of ``split`` are summed
+    up on their own, and what lies before a span is summed over the spans alone."""
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("all"))
+    if split is None:
+        upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        return counted.withColumn("end", F.sum("n").over(upto)).join(totals, keys)
+    parts = counted.withColumn("span", F.floor(F.col("v") / split))
+    near = parts.withColumn("near", F.sum("n").over(Window.partitionBy(*keys, "span").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    outer = Window.partitionBy(*keys).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy(*keys, "span").agg(F.sum("n").alias("own")).select(*keys, "span", F.coalesce(F.sum("own").over(outer), F.lit(0)).alias("before"))
+    return near.join(before, [*keys, "span"]).withColumn("end", F.col("near") + F.col("before")).join(totals, keys)
+
+
+def io_profile(rows: DataFrame, by: Sequence[str], latency: str = "latency_ns", size: str = "bytes", split: int | None = None) -> DataFrame:
     """One row a group: count, totals, least, greatest, means, medians and the quantiles 0.95 and 0.99 of both columns.
 
     The mean latency is cut to a whole number. The median is the upper one. Quantiles are values that occur, at the places
     n div 2 and floor(n * p) of the sorted group. They come from counting equal values: each value's number of
-    rows is summed before the shuffle, and only the distinct values are sorted. Nulls are left out of their column.
+    rows is summed before the shuffle, and only the distinct values are sorted; ``split`` spreads the values of a group
+    over spans of that width. Nulls are left out of their column; groups and keys that are null have no row.
     """
     keys = list(by)
     both = F.array(F.struct(F.lit(0).alias("what"), F.col(latency).cast("bigint").alias("v")), F.struct(F.lit(1).alias("what"), F.col(size).cast("bigint").alias("v")))
     values = rows.select(*keys, F.explode(both).alias("x")).select(*keys, "x.what", "x.v").where("v is not null")
     counted = values.groupBy(*keys, "what", "v").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*keys, "what").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("end", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys, "what")))
+    ranked = _running(counted, [*keys, "what"], split)
 
     def at(place: Column) -> Column:
         return F.min(F.when(F.col("end") > place, F.col("v")))
@@ -63,7 +80,7 @@ def approx_profile(rows: DataFrame, by: Sequence[str], latency: str = "latency_n
     return rows.groupBy(*by).agg(F.count("*").alias("count"), *cells)
 
 
-def time_series(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), latency: str = "latency_ns", size: str = "bytes") -> DataFrame:
+def time_series(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), latency: str = "latency_ns", size: str = "bytes", split_us: int | None = None) -> DataFrame:
     """The rows in the order of time within each group, with their places from 1."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(ts, *tie))
-    return rows.select(*by, place.alias("place"), F.col(ts).alias("ts"), F.col(latency).alias("latency_ns"), F.col(size).alias("bytes"))
+    d = rows.select(*by, *tie, micros(ts).alias("__us"), F.col(ts).alias("ts"), F.col(latency).alias("latency_ns"), F.col(size).alias("bytes"))
+    return places(d, list(by), ("__us", *tie), "__i", split_us).select(*by, (F.col("__i") + 1).alias("place"), "ts", "latency_ns", "bytes")

@@ -48,7 +48,7 @@ def enriched_calls(events: DataFrame, dim: DataFrame | None = None, o: Options =
     dim = dim if dim is not None else syscall_dim(events.sparkSession)
     calls = pairing.valid_calls(pairing.match(selected(events, dim, o), split_ns=o.split_ns), dim)
     calls = fdtable.attach_comm(calls, proc_exe, o.split_ns)
-    calls = fdtable.attach_files(calls, proc_fd, o.scope, o.strict_minus_one, o.keep_access_mode)
+    calls = fdtable.attach_files(calls, proc_fd, o.scope, o.strict_minus_one, o.keep_access_mode, o.split_ns)
     if o.comm or o.path:
         calls = calls.where(filters.pair_filter(o.comm, o.path))
     return pairing.durations(calls, split_ns=o.split_ns)

@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
         grouping(p[2], p[3], p[4]) AS depth_mask FROM lv GROUP BY ROLLUP (p[2], p[3], p[4])""",
     "io_profile_events": _profile(SERIES, "event_type"),
     "io_profile_lineitem": _profile(LINES, "l_returnflag"),
-    "time_series": f"{SERIES} SELECT g AS event_type, row_number() OVER (PARTITION BY g ORDER BY ts, k)::INTEGER AS place, ts, lat AS latency_ns, bytes FROM s",
+    "time_series": f"{SERIES} SELECT g AS event_type, row_number() OVER (PARTITION BY g ORDER BY ts, k) AS place, ts, lat AS latency_ns, bytes FROM s",
     "bursts_events": f"{_bursts(SERIES, 5000)} SELECT g AS event_type, burst_count, burst_us FROM bu",
     "bursts_lineitem": f"{_bursts(LINES, 30000)} SELECT g AS l_returnflag, burst_count, burst_us FROM bu",
     "periodicity_events": f"{SERIES},{_period(24)} SELECT g AS event_type, is_periodic, best_lag, period_us::BIGINT AS period_us, round(correlation, 0) AS correlation FROM pe",

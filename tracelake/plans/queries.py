@@ -19,6 +19,10 @@ from tracelake.sources.trace import trace
 Query = Callable[[SparkSession, str], DataFrame]
 #: Filters of the registered queries.
 COMM, PATH = "app1", "/data/view"
+#: Series of few groups are spread over spans of 30 days.
+SPAN_US = 30 * 86_400_000_000
+#: And their values over spans of this width.
+SPAN_VALUES = 4_096
 CALL_COLUMNS = ("tid", "enter_seq", "exit_seq", "enter_trace_id", "exit_trace_id", "ret")
 
 
@@ -168,27 +172,27 @@ def _lineitem_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def io_profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.io_profile(_events_series(spark, sf_dir), ["event_type"])
+    return profile.io_profile(_events_series(spark, sf_dir), ["event_type"], split=SPAN_VALUES)
 
 
 def io_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.io_profile(_lineitem_series(spark, sf_dir), ["l_returnflag"])
+    return profile.io_profile(_lineitem_series(spark, sf_dir), ["l_returnflag"], split=SPAN_VALUES)
 
 
 def time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.time_series(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"])
+    return profile.time_series(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"], split_us=SPAN_US)
 
 
 def bursts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.bursts(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"], threshold=5000)
+    return patterns.bursts(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"], threshold=5000, split_us=SPAN_US)
 
 
 def bursts_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.bursts(_lineitem_series(spark, sf_dir), ["l_returnflag"], tie=["l_orderkey", "l_linenumber"], threshold=30_000)
+    return patterns.bursts(_lineitem_series(spark, sf_dir), ["l_returnflag"], tie=["l_orderkey", "l_linenumber"], threshold=30_000, split_us=SPAN_US)
 
 
 def periodicity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = patterns.periodicity(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"], max_lag=24)
+    p = patterns.periodicity(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"], max_lag=24, split_us=SPAN_US)
     return p.withColumn("correlation", F.round("correlation", 0))
 
 
@@ -198,7 +202,7 @@ def trend_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patterns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = patterns.analyze(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"], max_lag=8)
+    p = patterns.analyze(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"], max_lag=8, split_us=SPAN_US)
     return p.select("event_type", "burst_count", "burst_us", "is_periodic", "best_lag", "period_us", "direction")
 
 
