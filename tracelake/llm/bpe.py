@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from tracelake.llm.common import map_texts
 
 #: Chunks between white space whose ids a worker keeps; then it starts afresh.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 #: Characters of text that are split into words before their new words are merged together.
 CHUNK_CHARS = 2_000_000
 NONE = np.int64(1) << 60

@@ -24,7 +24,7 @@ POSITIVES, UNLABELLED, LONGEST = 1_500, 6_000, 20_000
 BEGINNINGS, TIMES, RATES = (4, 5, 6, 7), (1, 2, 3), (1 / 256, 1 / 128, 1 / 64, 1 / 32)
 MARKS, SUPPORT, SUPPORT_SHARE, LEAST_Z = 300, 3, 0.015, 4.0
 EPOCHS, STEP, RIDGE = 150, 0.02, 1e-3
-CACHE = 500_000
+CACHE = 120_000
 EDGE = ".,;:!?\"'`()[]{}<>|*#$%&@^~_+=/\\-"
 
 
