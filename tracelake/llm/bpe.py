@@ -24,10 +24,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from tracelake.llm.common import map_texts
 
-#: Chunks between white space whose ids a worker keeps; then it starts afresh.
-CACHE_CHUNKS = 120_000
+#: Chunks between white space whose ids a worker keeps; beyond that, only those of the current texts stay.
+CACHE_CHUNKS = 200_000
 #: Characters of text that are split into words before their new words are merged together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 NONE = np.int64(1) << 60
 #: White space for Python, but not for the word pattern.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -180,10 +180,10 @@ class WordBpe:
         return out + self._known(block)
 
     def _known(self, block: list[list[str]]) -> list[np.ndarray]:
-        new = set(chain.from_iterable(block)).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            new = set(chain.from_iterable(block))
+        seen = set(chain.from_iterable(block))
+        new = seen.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_CHUNKS:  # what this block uses is likely to come again
+            self.cache = {c: self.cache[c] for c in seen.difference(new)}
         odd = {c: self.special_pieces(c) for c in new if "<" in c}
         plain = list(new.difference(odd))
         find = self.word_re.findall
