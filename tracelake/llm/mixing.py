@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import WORD, cut
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-BLOCK_WORDS, SHARD_WORDS, SEED = 16, 1_000_000, "7"
+BLOCK_WORDS, SHARD_WORDS, SEED = 16, 250_000, "7"
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> Column:
@@ -148,7 +148,7 @@ s2 AS (SELECT *, CASE ord % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
 s3 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
        FROM s2 WINDOW b AS (ORDER BY most::DOUBLE / weight, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, (SELECT arg_min(level, (most::DOUBLE / weight, ord)) FROM s3 WHERE level * weight <= most) AS lam FROM s3),
-s AS (SELECT source, source_size, ord, least(most::DOUBLE, lam * weight) AS target, greatest(ceil(source_size / 1000000.0), 1)::BIGINT AS shards FROM s4),
+s AS (SELECT source, source_size, ord, least(most::DOUBLE, lam * weight) AS target, greatest(ceil(source_size / 250000.0), 1)::BIGINT AS shards FROM s4),
 p AS (SELECT m.doc_id, m.size, s.*, ('0x' || substr(md5('shard:7:' || coalesce(m.doc_id::VARCHAR, '')), 1, 8))::BIGINT % s.shards AS shard
       FROM m JOIN s ON m.source IS NOT DISTINCT FROM s.source),
 h AS (SELECT ord, shard, sum(size)::BIGINT AS shard_size, ceil(sum(size) / 16.0)::BIGINT AS blocks FROM p GROUP BY ord, shard),
