@@ -14,12 +14,12 @@ from tracelake.llm import bpe, line_dedup, mixing, pii_feistel, rule_quality, se
 from tracelake.llm.common import components
 from tracelake.llm.queries import QUERIES, vocabulary
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size string, spans string, id string, row string, fp string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size string, spans string, id string, row string, fp string, target string, ord string, begin string"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *["clash"] * 6) for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *["clash"] * 9) for i, t, s in rows], SCHEMA)
 
 
 ODD = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (None, "x y z", "b"), (4, LONG, "c"), (5, "same words here twice", "a"), (5, "same words here twice", "a"), (6, "é ß 日本 👍", None), (7, "\0\x1c\x85", "b")]

@@ -67,6 +67,15 @@ def _digest(id_col: str, salt: str) -> Column:
     return F.md5(F.concat(F.lit(f"{salt}:{SEED}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
 
 
+#: The columns that a plan adds.
+PLANNED = ("source_size", "target", "taken", "passes", "from1", "to1", "from2", "to2")
+
+
+def _packed(rows: DataFrame, id_col: str, source_col: str, size: Column) -> DataFrame:
+    """The columns of ``rows`` in one struct, so that no name of theirs can clash, and what the plan works on."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__src"), size.alias("__size"))
+
+
 def plan(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
     """The rows with ``source_size``, ``target``, ``taken`` and what makes it up: ``passes`` (whole copies, at most CAP) and
     the word ranges [``from1``, ``to1``), [``from2``, ``to2``) of one more copy, each empty where from = to.
@@ -74,13 +83,18 @@ def plan(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
     ``size_col`` holds each row's words. Sources are ordered by code point, null last, and weigh 5, 2, 1 in turn. Rows
     without words get 0. Repeated rows count each on its own; a null id is an id of its own. The sums over
     a source come near its target, off by less than a block for each shard and pass; no row exceeds CAP times its size.
-    Reruns agree. An empty table gives an empty result.
+    Reruns agree. Columns named like those that are added are replaced. An empty table gives an empty result.
     """
-    rows = rows.withColumn("__src", F.col(f"`{source_col}`")).withColumn("__size", F.col(f"`{size_col}`"))
+    planned = _plan(_packed(rows, id_col, source_col, F.col(f"`{size_col}`")))
+    return planned.select(*[F.col(f"__row.`{c}`").alias(c) for c in rows.columns if c not in PLANNED], *PLANNED)
+
+
+def _plan(rows: DataFrame) -> DataFrame:
+    """``plan`` over packed rows."""
     sizes = rows.groupBy(F.col("__src").alias("source")).agg(F.sum("__size").alias("source_size"))
     per_source = targets(sizes).withColumn("shards", F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.lit(1)))
     per_source = cut(per_source.select(F.col("source").alias("__name"), "source_size", "ord", "target", "shards"))
-    shard = F.conv(F.substring(_digest(id_col, "shard"), 1, 8), 16, 10).cast("long") % F.col("shards")
+    shard = F.conv(F.substring(_digest("__id", "shard"), 1, 8), 16, 10).cast("long") % F.col("shards")
     placed = rows.join(per_source, F.col("__src").eqNullSafe(F.col("__name"))).withColumn("__shard", shard)
 
     per_shard = placed.groupBy("ord", F.col("__shard").alias("shard")).agg(F.sum("__size").alias("shard_size"))
@@ -98,7 +112,7 @@ def plan(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
         F.when(has, F.expr("quota % blocks")).otherwise(0).alias("rest"),
         F.when(has, start % F.col("blocks")).otherwise(0).alias("begin"),
     )
-    line = Window.partitionBy("ord", "__shard").orderBy(_digest(id_col, "order"), F.col(f"`{id_col}`"), "__size")
+    line = Window.partitionBy("ord", "__shard").orderBy(_digest("__id", "order"), "__id", "__size")
     lined = placed.withColumn("__end", F.sum("__size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     lined = lined.join(shares, (F.col("ord") == F.col("__ord")) & (F.col("__shard") == F.col("__sh")))
     begin, size = F.col("__end") - F.col("__size"), F.col("__size")
@@ -114,7 +128,7 @@ def plan(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
         "to2": clip(F.greatest(stop - F.col("blocks"), F.lit(0)) * BLOCK_WORDS),
     })
     out = out.withColumn("taken", (F.col("passes") * size + F.col("to1") - F.col("from1") + F.col("to2") - F.col("from2")).cast("long"))
-    return out.drop("__src", "__size", "__name", "ord", "shards", "__shard", "__end", "__ord", "__sh", "shard_size", "blocks", "rest", "begin")
+    return out.select("__row", "__size", *PLANNED)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -123,13 +137,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Documents that the mix leaves out have no row. Cut parts, at most two a shard, hold their words with single blanks.
     """
     names = docs.columns
-    thin = docs.withColumn("__words", measure(docs, text_col))
-    # Columns of the corpus are carried in one struct, so that no name of theirs can clash with the plan's.
-    packed = thin.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__source"), F.col("__words").alias("__n"))
-    planned = plan(packed, "__id", "__source", "__n")
+    planned = _plan(_packed(docs, id_col, source_col, measure(docs, text_col)))
 
     def part(a: str, b: str) -> Column:
-        whole = F.col(b) - F.col(a) == F.col("__n")
+        whole = F.col(b) - F.col(a) == F.col("__size")
         words = F.regexp_extract_all(F.col(f"__row.`{text_col}`"), F.lit(WORD), F.lit(0))
         cut_text = F.array_join(F.slice(words, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), " ")
         return F.when(F.col(b) > F.col(a), F.when(whole, F.col(f"__row.`{text_col}`")).otherwise(cut_text))
