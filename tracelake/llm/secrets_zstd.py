@@ -2,14 +2,18 @@
 
 The method adds to the base patterns the strings that stand near a sensitive word and that a compressor primed with
 the code around them and a dictionary of identifiers cannot shorten: names, paths and words reuse what is already
-there, keys do not. The measure is the bytes that the candidate adds to a frame.
+there, keys do not. The measure is the bytes that the candidate adds to a frame, against those that random characters of its alphabet take.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import string
 from dataclasses import dataclass
+from functools import lru_cache
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -29,8 +33,11 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = ("key", "secret", "token", "passw", "pwd", "credential", "bearer", "authorization", "private", "signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters before a candidate that must hold a sensitive word, characters around it that prime the compressor,
-#: the longest candidate that is measured whole in one frame, and the least share and number of new bytes.
-BEFORE, AROUND, LONGEST, LEAST_SHARE, LEAST_BYTES = 40, 2_000, 4_096, 0.8, 14
+#: the longest candidate that is measured whole in one frame, the least share of new bytes in its characters, their
+#: least number, and the share, of the bytes that random characters of its alphabet take, from which on it is new anyway.
+BEFORE, AROUND, LONGEST, LEAST_SHARE, LEAST_BYTES, RANDOM_SHARE = 40, 2_000, 4_096, 0.8, 14, 0.9
+#: What may stand between a candidate and the next one that continues it: ends of lines, quotes, the dots of a token.
+CONTINUES = re.compile(r"""(?:\s|\\[nrt]|["'`+,.;\\>|#*]){1,40}""")
 #: Identifiers that are frequent in code and configuration.
 IDENTIFIERS = (
     "access account address algorithm application argument array attribute authentication authorization base64 boolean buffer bytes cache callback "
@@ -47,6 +54,24 @@ IDENTIFIERS = (
 )
 
 
+def alphabet(s: str) -> str:
+    """The characters that ``s`` may be drawn from: whole classes but for those with a few of its letters only, as a prefix has."""
+    out = string.digits + "".join(sorted({c for c in s if not c.isalnum()}))
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        own = [c for c in s if c in letters]
+        hexes = sum(c in letters[:6] for c in own)
+        wide = letters if len(own) > 0.05 * len(s) else ""
+        out += letters[:6] if wide and hexes >= 0.9 * len(own) else wide
+    return out
+
+
+@lru_cache(4_096)
+def random_bytes(characters: str, size: int) -> int:
+    """Bytes of a frame over ``size`` random characters, the least of three draws, the same on each run."""
+    draw, packer = random.Random(size), zstandard.ZstdCompressor(level=19, write_content_size=False)
+    return min(len(packer.compress("".join(draw.choices(characters, k=size)).encode())) for _ in range(3)) - len(packer.compress(b""))
+
+
 @dataclass
 class Novelty:
     """Marginal compressed bytes against a dictionary of identifiers and the text around a candidate."""
@@ -59,12 +84,14 @@ class Novelty:
         return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
     def novel(self, text: str, start: int, end: int) -> bool:
-        """Whether each piece of the candidate, of up to LONGEST characters, is new to its surroundings."""
+        """Whether each piece of the candidate, of about equal size and up to LONGEST characters, is new to its surroundings."""
         before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        for a in range(start, end, LONGEST):
-            piece = text[a : min(end, a + LONGEST)]
-            least = min(LEAST_BYTES, len(piece)) if a == start else 0
-            if self.added(before, piece, after) < max(least, LEAST_SHARE * len(piece)):
+        size = math.ceil((end - start) / math.ceil((end - start) / LONGEST))
+        for a in range(start, end, size):
+            piece = text[a : min(end, a + size)]
+            # A long random piece takes less than a byte a character, as its alphabet is limited.
+            least = min(LEAST_SHARE * len(piece), RANDOM_SHARE * random_bytes(alphabet(piece), len(piece)))
+            if self.added(before, piece, after) < max(LEAST_BYTES, least):
                 return False
         return True
 
@@ -87,17 +114,22 @@ def _mixed(s: str) -> bool:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Candidates near a sensitive word that no base span touches and that are new to what surrounds them."""
+    """Candidates near a sensitive word that no base span touches and that are new to what surrounds them.
+
+    A candidate that directly follows one near a sensitive word, as the next line of a key does, counts as near it too.
+    """
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    out, busy, at = [], sorted(taken), 0
+    out, busy, at, sensitive, last = [], sorted(taken), 0, False, 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         while at < len(busy) and busy[at][1] <= start:
             at += 1
         near = text[max(0, start - BEFORE) : start].lower()
-        if any(s < end and e > start for s, e, _ in busy[at : at + 3]) or not _mixed(m[0]) or not any(w in near for w in SENSITIVE):
+        sensitive = any(w in near for w in SENSITIVE) or (sensitive and CONTINUES.fullmatch(text, last, start) is not None)
+        last = end
+        if any(s < end and e > start for s, e, _ in busy[at : at + 3]) or not _mixed(m[0]) or not sensitive:
             continue
         if novelty.novel(text, start, end):
             out.append((start, end, "novel"))
