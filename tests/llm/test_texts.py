@@ -334,6 +334,37 @@ def test_pii_in_text(spark):
     assert cards[0] == cards[1] != "4111111111111111" and "Not: 1234567890123456 300.1.1.1 2023-02-30 v1.2.3.4.5" in new and rows[2]["text"] == ""
 
 
+NEAR = [
+    ("4111 1111 1111 1111 12/25", "card", "4111 1111 1111 1111"), ("4111111111111111 123", "card", "4111111111111111"), ("4111111111111111-123", "card", "4111111111111111"),
+    ("4111-1111-1111-1111 2024", "card", "4111-1111-1111-1111"), ("3782 822463 10005 12/25", "card", "3782 822463 10005"), ("1234 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ("ES91 2100 0418 4502 0005 1332 EUR", "iban", "ES91 2100 0418 4502 0005 1332"), ("BE68539007547034 BIC", "iban", "BE68539007547034"), ("BE68539007547034 GEBABEBB", "iban", "BE68539007547034"),
+    ("555-123-4567", "phone", "555-123-4567"), ("1-800-555-1234", "phone", "1-800-555-1234"), ("06 12 34 56 78", "phone", "06 12 34 56 78"), ("020 7946 0958", "phone", "020 7946 0958"),
+    ("01234 567890", "phone", "01234 567890"), ("2024-01-15T10:00", "date", "2024-01-15"), ("2024-01-15T10:00:00Z", "date", "2024-01-15"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), NEAR)
+def test_values_next_to_other_words(text, kind, value):
+    p = pii_feistel.Pseudonyms("key")
+    t = f"see {text}, then {value}."
+    made, found = p.apply(t)
+    assert [(k, t[a:b]) for k, a, b, _ in found] == [(kind, value)] * 2 and value not in made
+    assert [(s[0], p.back(kind, made[s[1] : s[2]])) for s in p.spans(made)] == [(kind, value)] * 2
+
+
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+44 20 7946 0958", "555-123-4567"])
+@pytest.mark.parametrize("after", ["190.137.223.204", "10.1.1.1", "2024-01-15", "29.02.2000"])
+def test_phone_before_an_address_or_a_date(phone, after):
+    assert [(f"{phone} {after} x")[s[1] : s[2]] for s in pii_feistel.Pseudonyms("key").spans(f"{phone} {after} x")] == [phone, after]
+
+
+def test_a_longer_number_that_passes_by_chance():
+    p = pii_feistel.Pseudonyms("key")
+    chance = next(f"4111 1111 1111 1111 {i:02d}" for i in range(100) if pii_feistel.luhn(f"4111111111111111{i:02d}") % 10 == 0)
+    assert [s[3] for s in p.spans(f"{chance}/25")] == [p.forth("card", "4111 1111 1111 1111")]
+    assert p.spans("1234567890123456 300.1.1.1 2023-02-30 v1.2.3.4.5 1.2.3 2024-01-15Test 000-45-6789 12 1 3 0 5") == []
+
+
 # learned operators
 
 

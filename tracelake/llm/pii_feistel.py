@@ -166,16 +166,63 @@ def _email(run: Callable, s: str) -> str | None:
     return f"{_characters(run, 'email@' + domain.lower(), local.lower())}@{domain}"
 
 
-#: The formats. At one place the first kind that passes its check wins.
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}(?P<m>[./-])[0-9]{1,2}(?P=m)[0-9]{1,2}|[0-9]{1,2}(?P<n>[./-])[0-9]{1,2}(?P=n)[0-9]{4})(?![\w/-]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<phone>(?<!\w)\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){1,4}(?!\w)|(?<!\w)\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?!\w))"
-    r"|(?P<card>(?<![\w+.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-]|\.[0-9]))"
+#: The formats. At one place the first kind whose check a value passes wins.
+FORMATS = {
+    "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)",
+    "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
+    # A date may stand before the T of a time.
+    "date": r"(?<![\w./-])(?:[0-9]{4}(?P<m>[./-])[0-9]{1,2}(?P=m)[0-9]{1,2}|[0-9]{1,2}(?P<n>[./-])[0-9]{1,2}(?P=n)[0-9]{4})(?![/-]|(?![Tt][0-9]{2}:?[0-9]{2})\w)",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "phone": r"(?<!\w)\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){1,4}(?!\w)|(?<!\w)\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?!\w)",
+    "card": r"(?<![\w+.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-]|\.[0-9])",
+}
+#: Cards whose digits stand together or as printed: these go before a longer run of digits that passes by chance.
+PRINTED = r"(?<![\w+.-])(?:[0-9]{13,19}|[0-9]{4}(?P<a>[\x20-])[0-9]{4}(?P=a)[0-9]{4}(?P=a)[0-9]{4}|[0-9]{4}(?P<b>[\x20-])[0-9]{6}(?P=b)[0-9]{4,5})(?!\w|\.[0-9]|-[^\W0-9])"
+#: Phones of country 1 have ten more digits: what follows is not theirs.
+NORTH = r"(?<!\w)\+1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?!\w)"
+#: Phones without a country's code: three, three and four digits, pairs from 0 on, or an area from 0 on.
+NATIONAL = (
+    r"(?<![\w.+-])(?:(?:1(?P<p>[\x20.-])[0-9]{3}(?P=p)|[2-9][0-9]{2}(?P<q>[\x20.-]))[0-9]{3}[\x20.-][0-9]{4}|0[0-9](?P<r>[\x20.-])[0-9]{2}(?:(?P=r)[0-9]{2}){3}"
+    r"|0[0-9]{1,4}[\x20/-][0-9]{3,4}[\x20-][0-9]{3,4}|0[0-9]{1,4}[\x20/-][0-9]{6,8})(?![\w-]|\.[0-9])"
 )
+#: Lengths of IBANs by country: an end that fits goes before others.
+LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 "
+        "IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 "
+        "SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+#: The forms in the order that they are tried.
+FORMS = [(k, re.compile(f)) for k, f in [*list(FORMATS.items())[:-2], ("phone", NORTH), ("phone", FORMATS["phone"]), ("card", PRINTED), ("phone", NATIONAL), ("card", FORMATS["card"])]]
+OTHERS = [form for kind, form in FORMS if kind in ("ip", "date", "ssn")]
+PATTERN = re.compile("|".join(form.pattern for _, form in FORMS))
+
+
+def ends(kind: str, form: re.Pattern, text: str, start: int) -> list[int]:
+    """Ends of a form at ``start``: the longest, then those between groups of letters and digits, from right to left.
+
+    A phone or card does not end within an address, a date or a security number that begins in it.
+    """
+    if (m := form.match(text, start)) is None:
+        return []
+    out = [m.end()]
+    if kind in ("iban", "phone", "card"):
+        cuts = [b for b in range(m.end() - 1, start, -1) if text[b] in " .-"]
+        out += [b for b in cuts if (c := form.match(text, start, b)) is not None and c.end() == b]
+        if kind != "iban":
+            begun = [m.span() for c in cuts for o in OTHERS if (m := o.match(text, c + 1)) is not None]
+            out = [b for b in out if not any(a < b < e for a, e in begun)]
+    if kind == "iban":
+        out.sort(key=lambda b: len(text[start:b].replace(" ", "")) != LENGTHS.get(text[start : start + 2]))
+    if form.pattern == FORMATS["card"]:
+        # Groups of one or two digits are rows of numbers rather than a card cut short.
+        out[1:] = [b for b in out[1:] if min(map(len, re.split("[ -]", text[start:b]))) >= 3]
+    return out
+
+
 CHECKS = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
 QUICK = re.compile(r"[0-9@]")
 
@@ -197,12 +244,24 @@ class Pseudonyms:
         return CHECKS[kind](self.feistel.decrypt, value)
 
     def spans(self, text: str) -> list[tuple[str, int, int, str]]:
-        """(kind, start, end, pseudonym) of the values, from left to right."""
-        out = []
-        for m in PATTERN.finditer(text) if QUICK.search(text) else ():
-            kind = m.lastgroup if m.lastgroup in CHECKS else "date"
-            if (new := self.forth(kind, m[0])) is not None:
-                out.append((kind, *m.span(), new))
+        """(kind, start, end, pseudonym) of the values, from left to right.
+
+        Where no form passes its check, the search goes on behind the first character; digits that failed as a card
+        of any grouping are not tried so again from a later start, only as printed.
+        """
+        out, at, tried = [], 0, 0
+        while (m := PATTERN.search(text, at) if at or QUICK.search(text) else None) is not None:
+            start, at = m.start(), m.start() + 1
+            for kind, form in FORMS:
+                loose = form.pattern == FORMATS["card"]
+                places = ends(kind, form, text, start) if not loose or start >= tried else []
+                hit = next(((b, new) for b in places if (new := self.forth(kind, text[start:b])) is not None), None)
+                if hit is not None:
+                    out.append((kind, start, *hit))
+                    at = hit[0]
+                    break
+                if loose and places:
+                    tried = places[0]
         return out
 
     def apply(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
