@@ -60,6 +60,20 @@ def test_voronoi_edges(spark):
     assert knn_voronoi.search(data, data.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("shift", [0.0, 0.001])
+def test_voronoi_with_repeated_rows(spark, shift):
+    r = np.random.default_rng(7)
+    near = [(i, [10.0 + 0.01 * i, 0.0, 0.0]) for i in range(1, 6)]
+    far = [(i, [float(v) for v in np.float32([-10, 0, 0] + r.standard_normal(3))]) for i in range(100, 140)]
+    # With a shift the copies of an id are vectors of their own: the query's own id takes several places among the nearest.
+    own = [(1, [10.01 + j * shift, 0.0, 0.0]) for j in range(15)]
+    data = frame(spark, near * 3 + far + own)
+    query = near[0]
+    want = exact({(i, tuple(v)) for i, v in near + far}, [query], 10, dot)
+    got = knn_voronoi.search(data, frame(spark, [query]), 10)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 10
+
+
 def test_rings_lose_nothing():
     r = np.random.default_rng(1)
     p, q, x, k = r.standard_normal((9, 4)), r.standard_normal((30, 4)), r.standard_normal((400, 4)), 3

@@ -2,8 +2,8 @@
 
 A vector x becomes (x, sqrt(M - |x|^2)), M the largest squared length, and a query q becomes (q, 0); then the nearest by
 distance are those of the largest inner product. Pivots divide the space. Each cell of queries has a bound on the
-distance of its queries' k-th neighbour, from the cells' summaries alone: their sizes, radii and the k + 1 smallest distances to
-the pivot. By the triangle inequality a vector can be among the answers of a cell of queries only if its distance to
+distance of its queries' k-th neighbour, from the cells' summaries alone: their sizes, radii and the smallest distances to the
+pivot of k + 1 ids. By the triangle inequality a vector can be among the answers of a cell of queries only if its distance to
 its own pivot lies in a ring, so only such vectors go to the cell's group. Groups are solved locally, in chunks.
 """
 
@@ -45,17 +45,22 @@ def _cells(rows: DataFrame, pivots: np.ndarray, largest: float | None, dim: int)
     return rows.mapInArrow(run, "id long, vec array<double>, cell int, dist double")
 
 
-def rings(between: np.ndarray, reach: np.ndarray, data_cells: list, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+def rings(between: np.ndarray, reach: np.ndarray, data_cells: list, k: int, slack: float, data_ids: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Per cell of queries (rows) and cell of data (columns), the least and the largest distance to its pivot that a
     vector of the data cell needs in order to matter; least > largest where none can.
 
     ``reach``: the largest distance of a query of the cell to its pivot, -1 for cells without queries. ``data_cells``: per
-    cell of data its k + 1 smallest distances (one more than k, as the query itself may be among them).
+    cell of data its k + 1 smallest distances (one more than k, as the query itself may be among them); ``data_ids``: their
+    ids, each once a cell, where rows can share an id. An id counts once, as all rows of the query's own are no candidates.
     """
     n = len(between)
     low, high = np.full((n, n), np.inf), np.full((n, n), -np.inf)
     for i in np.flatnonzero(reach >= 0):
-        bounds = np.sort(np.concatenate([reach[i] + between[i, j] + np.array(data_cells[j]) for j in range(n)]))
+        bounds = np.concatenate([reach[i] + between[i, j] + np.array(data_cells[j]) for j in range(n)])
+        order = np.argsort(bounds, kind="stable")
+        if data_ids is not None:
+            order = order[np.sort(np.unique(np.concatenate([np.array(x, np.int64) for x in data_ids])[order], return_index=True)[1])]
+        bounds = bounds[order]
         far = bounds[k] + slack if len(bounds) > k else np.inf
         low[i], high[i] = between[i] - reach[i] - far - slack, between[i] + reach[i] + far + slack
     return low, high
@@ -71,7 +76,7 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     while they stay below 2^53.
     """
     spark = data.sparkSession
-    rows, asked = valid(data, id_col, vec_col), one_row_per_id(valid(queries, id_col, vec_col))
+    rows, asked = cut(valid(data, id_col, vec_col).dropDuplicates(["id", "vec"])), one_row_per_id(valid(queries, id_col, vec_col))
     norm = F.aggregate(F.transform("vec", lambda v: F.pow(F.floor(v * SCALE).cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, b: a + b)
     count, largest, dim = rows.select(F.count("*"), F.max(norm), F.max(F.size("vec"))).first()
     dim = max(dim or 0, asked.select(F.max(F.size("vec"))).first()[0] or 0)
@@ -87,13 +92,14 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
 
     placed = cut(_cells(rows, pivots, largest, dim))
     placed_asked = cut(_cells(asked, pivots, None, dim))
-    nearest = Window.partitionBy("cell").orderBy("dist")
-    heads = placed.select("cell", "dist").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
-    first = {c: d for c, d in heads.groupBy("cell").agg(F.sort_array(F.collect_list("dist"))).collect()}
+    nearest = Window.partitionBy("cell").orderBy("dist", "id")
+    heads = placed.groupBy("cell", "id").agg(F.min("dist").alias("dist")).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
+    first = {c: h for c, h in heads.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("dist", "id")))).collect()}
     queried = {c: (n, d) for c, n, d in placed_asked.groupBy("cell").agg(F.count("*"), F.max("dist")).collect()}
     reach = np.array([queried.get(i, (0, -1.0))[1] for i in range(len(pivots))])
     slack = 1e-6 * np.sqrt(max(largest, 1.0))
-    low, high = rings(_distances(pivots, pivots), reach, [first.get(i, []) for i in range(len(pivots))], k, slack)
+    cells = [first.get(i, []) for i in range(len(pivots))]
+    low, high = rings(_distances(pivots, pivots), reach, [[h[0] for h in c] for c in cells], k, slack, [[h[1] for h in c] for c in cells])
 
     # Cells of queries join groups of about GROUP queries, neighbours by the order of the pivots.
     group, at, filled = np.zeros(len(pivots), int), 0, 0
