@@ -42,6 +42,29 @@ def test_dimension(spark):
     assert sorted(dims.listing_dim(listing).collect()) == [(699, "openat", "exit", "ret", "none"), (700, "openat", "enter", "open", "none")]
 
 
+def test_row_stream_of_all_calls(spark, data):
+    from tracelake.plans.calls import completed_calls
+    from tracelake.plans.oracle import NAMES
+    from tracelake.plans.queries import QUERIES
+    from tracelake.sources.trace import trace
+
+    def line(r):
+        f = r["file"]
+        head = f"{r['gap']:08d},{r['duration']:08d},{r['comm'] or ''}@{r['pid']}.{r['tid']},{r['name']}=>{'' if r['ret'] is None else r['ret']},"
+        if f is None:
+            return head + "N:file"
+        flags = "O_NONE" if f["flags"] == -1 else "|".join(["O_RDONLY"] * (f["flags"] & 3 == 0) + [n for n, m in NAMES.items() if f["flags"] & m == m])
+        name = f["name"] or ""
+        if f["kind"] == "fd":
+            return f"{head}{name or 'E:name'}%({f['fd']},{flags})"
+        return f"{head}old:{f['oldname']} ->new:{name}%({flags})" if f["kind"] == "name" else f"{head}pathname:{name}%({flags})"
+
+    calls = completed_calls(trace(spark, data)).collect()
+    got = {r["exit_seq"]: r["value"] for r in QUERIES["render_pairs_full"](spark, data).collect()}
+    assert got == {r["exit_seq"]: line(r) for r in calls} and {r["name"] for r in calls} >= {"read", "write", "dup", "close", "fcntl"}
+    assert any(",read=>" in v and "/" in v for v in got.values()) and any(",read=>" in v and "E:name%(" in v for v in got.values())
+
+
 def test_rows(spark, tmp_path):
     t = Trace().open(42).call("rename", 0, oldname="a", newname="b").call("newstat", -2, path="/x").call("sync").call("read", 7, fd=9)
     calls = completed_calls(t.frame(spark), dims.syscall_dim(spark, IDS))

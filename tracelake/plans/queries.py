@@ -134,6 +134,11 @@ def render_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_stream(calls).select("exit_seq", "value")
 
 
+def render_pairs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row stream of all calls, those on tracked descriptors and on descriptors from before the trace too."""
+    return row_stream(completed_calls(trace(spark, sf_dir))).select("exit_seq", "value")
+
+
 def agg6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.agg6(enriched_calls(trace(spark, sf_dir)))
 
@@ -258,7 +263,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         pair_calls, pair_calls_split, pair_mismatches, run_stats, durations_gaps, comm_asof, fd_asof_roots, fd_asof_full, calls_full, calls_filtered, filters_open, filters_path,
-        filters_name, filters_process, comm_gate, tracepoint_select, is_call, flags_path_text, render_pairs, agg6, agg6_bytes, rollup_merge, collapse_default, collapse_comm_flags,
+        filters_name, filters_process, comm_gate, tracepoint_select, is_call, flags_path_text, render_pairs, render_pairs_full, agg6, agg6_bytes, rollup_merge, collapse_default, collapse_comm_flags,
         rollup_paths, io_profile_events, io_profile_lineitem, time_series, bursts_events, bursts_lineitem, periodicity_events, trend_orders, patterns_events, decode_round_trip,
         quarantined, transitions, gaps_by_call, call_times, path_buckets, by_directory, by_mount, by_user,
     )
