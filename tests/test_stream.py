@@ -44,6 +44,16 @@ def test_stream_with_filters(spark, tmp_path):
     assert stream(spark, tmp_path, batches, path="/a", comm="app1") == fold(t, path="/a", comm="app1")
 
 
+def test_calls_of_hours_are_kept(spark, tmp_path):
+    # spread() makes milliseconds of the nanoseconds: two hours between the events.
+    t = Trace().add("enter", "read", fd=1).call("write", 5, dt=7_200_000, tid=12, fd=1).add("exit", "read", dt=7_200_000, ret=3)
+    batches = spread(t, 3)
+    want = fold(t)
+    assert [r["name"] for r in want] == ["write", "read"] and want[1]["duration"] > 5 * 3_600_000_000_000
+    assert stream(spark, tmp_path / "all", batches) == want
+    assert [r["name"] for r in stream(spark, tmp_path / "limit", batches, max_pending_ns=3_600_000_000_000)] == ["write"]
+
+
 def test_windowed_counts(spark):
     from tracelake.functions.dims import syscall_dim
     from tracelake.plans.calls import completed_calls

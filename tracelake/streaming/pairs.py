@@ -1,8 +1,8 @@
 """Pairing as a stream: events come in any order within the watermark, completed calls go out once.
 
 Each process keeps its events in a buffer until the watermark has passed them, sorts what is due by (time, number), and folds it
-into its state. Pending enters that stay without an exit for longer than ``max_pending_ns`` go to no one's state for ever:
-they are dropped when the watermark has left them behind. Needs the RocksDB state store provider.
+into its state. Pending enters wait for their exits without limit; with ``max_pending_ns`` they are dropped when the watermark has
+left them behind by more than that, and their later exits complete nothing. Needs the RocksDB state store provider.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 class PairProcessor(StatefulProcessor):
-    def __init__(self, dim: Mapping[int, tuple[str, str]], comm: str, path: str, max_pending_ns: int):
+    def __init__(self, dim: Mapping[int, tuple[str, str]], comm: str, path: str, max_pending_ns: int | None):
         self.dim, self.comm, self.path, self.max_pending_ns = dict(dim), comm, path, max_pending_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -67,7 +67,8 @@ class PairProcessor(StatefulProcessor):
             if (made := step(s, json.loads(self.buffer.getValue(k)[0]), self.dim, self.comm, self.path)) is not None:
                 out.append(made)
             self.buffer.removeKey(k)
-        s.pending = {t: e for t, e in s.pending.items() if e["time_ns"] >= due_ns - self.max_pending_ns}
+        if self.max_pending_ns is not None:
+            s.pending = {t: e for t, e in s.pending.items() if e["time_ns"] >= due_ns - self.max_pending_ns}
         new = ({k: v["seq"] for k, v in s.pending.items()}, s.comms, s.files, s.last_exit)
         write = (lambda t: (json.dumps(s.pending[t]),), lambda t: (s.comms[t],), lambda f: s.files[f], lambda t: (s.last_exit[t],))
         for state, a, b, value in zip((self.pending, self.comms, self.files, self.last), old, new, write, strict=True):
@@ -83,7 +84,7 @@ class PairProcessor(StatefulProcessor):
         pass
 
 
-def pair_stream(events: DataFrame, dim: Mapping[int, tuple[str, str]], delay: str = "10 seconds", comm: str = "", path: str = "", max_pending_ns: int = 3_600_000_000_000) -> DataFrame:
+def pair_stream(events: DataFrame, dim: Mapping[int, tuple[str, str]], delay: str = "10 seconds", comm: str = "", path: str = "", max_pending_ns: int | None = None) -> DataFrame:
     """A stream of completed calls from a stream of typed events, with the state kept by process."""
     timed = events.withColumn("ts", F.timestamp_micros((F.col("time_ns") / 1000).cast("bigint"))).withWatermark("ts", delay)
     return timed.groupBy("pid").transformWithStateInPandas(PairProcessor(dim, comm, path, max_pending_ns), OUT, "append", "eventTime")
