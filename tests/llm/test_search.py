@@ -135,3 +135,54 @@ def test_queries_on_the_tables(spark, data, name):
         assert got == want
     else:
         assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
+
+
+def test_one_cell_of_all_queries_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(knn_voronoi, "GROUP", 20)
+    shared, first, parts = knn_voronoi.groups([3, 200, 0, 15, 9], np.arange(5.0))
+    assert parts == [1, 13, 1, 1, 1] and [c for c, _ in shared] == [[0, 3], [1], [4]] and sorted(g for _, n in shared for g in n) == list(range(15))
+    assert [first[i] for i in (0, 1, 3, 4)] == [shared[0][1][0], shared[1][1][0], shared[0][1][0], shared[2][1][0]]
+    rows = vectors(300) + [(1000 + i, [0.5] * 8) for i in range(120)]
+    data = frame(spark, rows)
+    got = knn_voronoi.search(data, data.where("vec_id >= 1000"), 4)  # equal queries: one cell
+    assert sorted(map(tuple, got.collect())) == exact(rows, [r for r in rows if r[0] >= 1000], 4, dot)
+
+
+def test_inner_products_beyond_doubles(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in r.integers(-(1 << 19), 1 << 19, 4) + r.random(4)]) for i in range(60)]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    exactly = lambda a, b: sum(int(np.floor(1024 * x)) * int(np.floor(1024 * y)) for x, y in zip(a, b, strict=True))
+    got = [tuple(x) for x in knn_voronoi.search(data, data.where("vec_id < 20"), 5).collect()]
+    assert sorted(got) == exact(rows, rows[:20], 5, exactly) and max(abs(s) for *_, s in got) > 2**53
+    with pytest.raises(ValueError, match="long"):
+        knn_voronoi.search(spark.createDataFrame([(1, [1e200]), (2, [1e200])], data.schema), data)
+
+
+def test_cosines_of_very_large_and_small_vectors(spark):
+    rows = [(1, [3e200, 4e200]), (2, [3e-200, 4e-200]), (3, [4.0, -3.0]), (4, [3.0, 4.0])]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = lsh_multiprobe.search(data, data, 3).collect()
+    assert {(r["query_id"], r["vec_id"]): r["score"] for r in got if r["query_id"] == 1} == pytest.approx({(1, 2): 1.0, (1, 4): 1.0, (1, 3): 0.0})
+
+
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_both_ways_of_a_part_agree(spark, monkeypatch, dense):
+    monkeypatch.setattr(lsh_multiprobe, "DENSE", dense)
+    rows = vectors(400, 8, 6)
+    data = frame(spark, rows)
+    got = sorted(tuple(r) for r in lsh_multiprobe.search(data, data.where("vec_id % 7 = 0"), 5).collect())
+    want = exact(rows, [r for r in rows if r[0] % 7 == 0], 5, cosine)
+    assert len({r[:3] for r in got} & {r[:3] for r in want}) >= 0.9 * len(want) and len(got) == len(want)
+
+
+def test_candidates_grow_slower_than_the_table(spark):
+    share, found = {}, {}
+    for name in ("sf0.01", "sf0.1"):
+        data = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet")
+        asked = data.where("vec_id % 50 = 0")
+        share[name] = lsh_multiprobe.meetings(data, asked).agg(F.avg("met")).first()[0] / data.count()
+        rows = [(r[0], r[1]) for r in data.select("vec_id", "embedding").collect()]
+        want = {(q, i) for q, _, i, _ in exact(rows, [r for r in rows if r[0] % 50 == 0], 5, cosine)}
+        found[name] = len(want & {(r[0], r[2]) for r in lsh_multiprobe.search(data, asked).collect()}) / len(want)
+    assert share["sf0.1"] < 0.95 * share["sf0.01"] and min(found.values()) >= 0.9

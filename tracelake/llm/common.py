@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,62 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tracelake.scratch import cut, drop
+
 #: The characters that separate words in the contracts of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch: whole texts may be long, so a batch stays far below the default of 10,000 rows.
-BATCH_ROWS = "512"
+#: Texts that a worker turns into Python strings at once; Arrow batches are bounded in bytes by Spark's own setting.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (local tests), a folder of this machine is set, once for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.tracelake.scratch", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-tracelake-")
-        spark.conf.set("spark.tracelake.scratch", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and read it back.
-
-    This ends the lineage: a lost executor costs no recomputation of what lies before, and what is used more than
-    once is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def map_texts(docs: DataFrame, keep: list[str], text: str, out: list[StructField], fn: Callable[[list[str]], list[list]]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the columns ``out`` that ``fn`` makes from the texts of a batch (null: empty).
 
     ``fn`` gets a list of texts and returns a list for each column of ``out``. Partitions stay as they were read;
     nothing is shuffled. The temporary names avoid clashes with other columns of ``docs``.
     """
-    small_batches(docs.sparkSession)
     schema = StructType([docs.schema[c] for c in keep] + out)
     types = pa.schema([pa.field(f.name, _arrow(f)) for f in out])
 
@@ -74,7 +34,7 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, out: list[StructField
     extra = [] if text in keep else [F.col(f"`{text}`").alias("__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (w.slice(i, BATCH_ROWS) for w in batches for i in range(0, w.num_rows, BATCH_ROWS)):
             made = fn([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(v, type=f.type) for v, f in zip(made, types, strict=True))], [*keep, *types.names])
 
@@ -116,7 +76,7 @@ def components(edges: DataFrame, a: str, b: str, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         after = cut(star(star(work, True), False))
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(work)
+        drop(work)
         work = after
         if tuple(now) == sign:
             break

@@ -13,21 +13,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut
-from tracelake.llm.vectors import QUERY_BLOCK, best, matrix, once, one_row_per_id, rank, valid
+from tracelake.llm.vectors import QUERY_BLOCK, best, element, matrix, once, one_row_per_id, rank, valid
 
-PIVOTS, SCALE = 64, 1024.0
+SCALE = 1024.0
+#: Pivots: the root of the number of queries, within these bounds (the driver holds their distances and cells' heads).
+LEAST_PIVOTS, MOST_PIVOTS = 64, 512
 #: Candidates in one chunk of a group, and queries in one group.
 CHUNK, GROUP = 32_768, 8_192
+#: Scores up to this are exact in doubles, and in 64-bit integers.
+DOUBLE, LONG = 2.0**53, 2.0**63
+NONE = np.iinfo(np.int64).min
 
 
 def whole(x: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * x)
 
 
+def _length(vec: str) -> Column:
+    """The squared length of the whole-number vector; large doubles are whole already and would not fit a long."""
+    n = F.transform(vec, lambda v: F.when(F.abs(v * SCALE) < 2.0**52, F.floor(v * SCALE).cast("double")).otherwise(v * SCALE))
+    return F.aggregate(n, F.lit(0.0), lambda a, b: a + b * b)
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T, 0))
 
@@ -42,7 +53,7 @@ def _cells(rows: DataFrame, pivots: np.ndarray, largest: float | None, dim: int)
             d = _distances(np.c_[x, last], pivots)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1, initial=np.inf))], ["id", "vec", "cell", "dist"])
 
-    return rows.mapInArrow(run, "id long, vec array<double>, cell int, dist double")
+    return rows.mapInArrow(run, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int, dist double")
 
 
 def rings(between: np.ndarray, reach: np.ndarray, data_cells: list, k: int, slack: float, data_ids: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +83,24 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     Components count as floor(1024 x). Ties go to the smaller id; a candidate with the query's own id is none. Null
     ids and vectors that are null or hold a null or non-finite component take no part. Shorter vectors are filled up
     with zeros. Repeated rows of ``data`` are one candidate; a repeated query id is asked once, by its smallest vector.
-    Queries with fewer candidates than ``k`` get all of them. No valid row gives an empty result. Scores are exact
-    while they stay below 2^53.
+    Queries with fewer candidates than ``k`` get all of them. No valid row gives an empty result. Scores are exact: where
+    products can reach 2^53 they are made in 64-bit integers, and where they can reach 2^63 an error is raised.
     """
     spark = data.sparkSession
-    rows, asked = cut(valid(data, id_col, vec_col).dropDuplicates(["id", "vec"])), one_row_per_id(valid(queries, id_col, vec_col))
-    norm = F.aggregate(F.transform("vec", lambda v: F.pow(F.floor(v * SCALE).cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, b: a + b)
-    count, largest, dim = rows.select(F.count("*"), F.max(norm), F.max(F.size("vec"))).first()
-    dim = max(dim or 0, asked.select(F.max(F.size("vec"))).first()[0] or 0)
-    if not count or not dim:
+    kind = element(vec_col, data, queries)
+    rows, asked = cut(valid(data, id_col, vec_col, kind=kind).dropDuplicates(["id", "vec"])), cut(one_row_per_id(valid(queries, id_col, vec_col, kind=kind)))
+    count, largest, dim = rows.select(F.count("*"), F.max(_length("vec")), F.max(F.size("vec"))).first()
+    n_asked, longest, dim_asked = asked.select(F.count("*"), F.max(_length("vec")), F.max(F.size("vec"))).first()
+    dim = max(dim or 0, dim_asked or 0)
+    if not count or not dim or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    most = float(np.sqrt(largest) * np.sqrt(longest)) * (1 + 1e-9)
+    if most >= LONG:
+        raise ValueError(f"inner products may reach {most:.3g}: they do not fit a long")
+    exact = most < DOUBLE
     # A bounded sample of rows, the same on each run: the pivots.
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toPandas()
+    wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, np.ceil(np.sqrt(n_asked)))))
+    sample = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("vec")).limit(wanted).toPandas()
     p = np.zeros((len(sample), dim))
     for at, v in enumerate(sample["vec"]):
         p[at, : len(v)] = v
@@ -97,48 +114,72 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     first = {c: h for c, h in heads.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("dist", "id")))).collect()}
     queried = {c: (n, d) for c, n, d in placed_asked.groupBy("cell").agg(F.count("*"), F.max("dist")).collect()}
     reach = np.array([queried.get(i, (0, -1.0))[1] for i in range(len(pivots))])
-    slack = 1e-6 * np.sqrt(max(largest, 1.0))
+    slack = 1e-6 * np.sqrt(max(largest, longest, 1.0))
     cells = [first.get(i, []) for i in range(len(pivots))]
     low, high = rings(_distances(pivots, pivots), reach, [[h[0] for h in c] for c in cells], k, slack, [[h[1] for h in c] for c in cells])
 
-    # Cells of queries join groups of about GROUP queries, neighbours by the order of the pivots.
-    group, at, filled = np.zeros(len(pivots), int), 0, 0
-    for i in np.argsort(pivots[:, 0], kind="stable"):
-        n = queried.get(int(i), (0, 0))[0]
-        if filled and filled + n > GROUP:
-            at, filled = at + 1, 0
-        group[i], filled = at, filled + n
-    per_group = [np.flatnonzero((group == g) & (reach >= 0)) for g in range(at + 1)]
+    per_group, group_of, parts_of = groups([queried.get(i, (0, 0))[0] for i in range(len(pivots))], pivots[:, 0])
     chunks = int(max(np.ceil(count / CHUNK), min(spark.sparkContext.defaultParallelism, np.ceil(count / 1024))))
-    group_of = [int(g) for g in group]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell, dist = b.column(2).to_numpy(), b.column(3).to_numpy()
-            for g, cells in enumerate(per_group):
+            for own, numbers in per_group:
                 need = np.zeros(len(cell), bool)
-                for i in cells:
+                for i in own:
                     need |= (dist >= low[i, cell]) & (dist <= high[i, cell])
                 part = b.filter(pa.array(need))
-                if len(part):
+                for g in numbers if len(part) else ():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g), pa.int32()), part.column(0), part.column(1)], ["g", "id", "vec"])
 
-    sent = placed.mapInArrow(send, "g int, id long, vec array<double>").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("asks", F.lit(False))
-    asks = placed_asked.select(F.element_at(F.array(*[F.lit(g) for g in group_of]), F.col("cell") + 1).alias("g"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(True).alias("asks"))
+    shape = f"g int, id long, vec array<{kind}>"
+    sent = placed.mapInArrow(send, shape).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("asks", F.lit(False))
+
+    def of_cell(values: list[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cell") + 1)
+
+    number = of_cell(group_of) + F.pmod(F.xxhash64("id", F.lit(1)), of_cell(parts_of)).cast("int")
+    asks = placed_asked.select(number.alias("g"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(True).alias("asks"))
 
     def solve(t: pa.Table) -> pa.Table:
         asks = t.column("asks").to_numpy(zero_copy_only=False)
         q, d = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
         ids, x = once(d.column("id").to_numpy(), whole(matrix(d.column("vec"), dim)))
         qid, qx = q.column("id").to_numpy(), whole(matrix(q.column("vec"), dim))
-        out = []
+        if not exact:
+            x, qx = x.astype(np.int64), qx.astype(np.int64)  # sums may wrap on the way, the result fits
+        none, out = -np.inf if exact else NONE, []
         for s in range(0, len(qid), QUERY_BLOCK):
             scores = qx[s : s + QUERY_BLOCK] @ x.T
-            scores[qid[s : s + QUERY_BLOCK, None] == ids[None]] = -np.inf
-            r, c, v = best(scores, ids, k)
+            scores[qid[s : s + QUERY_BLOCK, None] == ids[None]] = none
+            r, c, v = best(scores, ids, k, none=none)
             out.append((qid[r + s], ids[c], v.astype(np.int64)))
         made = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else [[], [], []])]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, made), strict=True)))
 
     found = sent.unionByName(asks).groupBy("g", "chunk").applyInArrow(solve, "query_id long, vec_id long, score long")
     return rank(found, k)
+
+
+def groups(sizes: list[int], along: np.ndarray) -> tuple[list[tuple[list[int], list[int]]], list[int], list[int]]:
+    """Cells of queries in groups of about GROUP queries, neighbours in the order of ``along``.
+
+    A cell of more than GROUP queries is cut into groups of its own, dealt by a hash of the query. Returns the (cells,
+    group numbers) that get the same data, and per cell the number of its first group and how many it has.
+    """
+    shared, first, parts = [], [0] * len(sizes), [1] * len(sizes)
+    number, filled, current = 0, 0, None
+    for i in np.argsort(along, kind="stable").tolist():
+        n = sizes[i]
+        if n > GROUP:
+            parts[i] = -(-5 * n // (4 * GROUP))  # a little more, as a hash does not deal evenly
+            shared.append(([i], list(range(number, number + parts[i]))))
+            first[i], number = number, number + parts[i]
+        elif n:
+            if current is None or filled + n > GROUP:
+                current, filled = ([], [number]), 0
+                shared.append(current)
+                number += 1
+            current[0].append(i)
+            first[i], filled = current[1][0], filled + n
+    return shared, first, parts

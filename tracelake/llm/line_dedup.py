@@ -37,7 +37,7 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return places.join(first.drop("n"), ["a", "b"]).where(F.struct("id", "pos") > F.col("first")).select("id", "row", "pos")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, counts: bool = True) -> DataFrame:
     """All rows and columns of ``docs`` with repeated lines taken out of the text, and ``n_lines``, ``n_removed``.
 
     Lines end at line feeds and count as they stand. A window of ``width`` lines, not all blank, that occurred
@@ -45,22 +45,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fewer lines stay as they are; one whose lines all go becomes empty; a null text stays null with counts of zero.
     Rows with a null id come before all others. Rows that share id and text are one document and fare alike, and rows
     that share an id but not the text count as further places at that id. Columns named like the two counts are
-    replaced. An empty table gives an empty result.
+    replaced, but without ``counts`` none is added and all columns stay. An empty table gives an empty result.
     """
     found = later_windows(docs, id_col, text_col, width)
     covered = found.groupBy("id", "row").agg(F.collect_set("pos").alias("starts"))
-    covered = covered.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1))))).alias("__covered"))
-    marked = docs.withColumn("__key", F.xxhash64(f"`{text_col}`"))
-    joined = marked.join(covered, marked[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
-    lines = F.split(f"`{text_col}`", "\n", -1)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(n).cast("long")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered"))
-    kept = F.when(F.col("__covered").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumn("__kept", kept).withColumn("__n", n).withColumn("__gone", F.coalesce(F.size("__covered"), F.lit(0)).cast("long"))
-    out = out.withColumn("__gone", F.when(F.col("__covered").isNull(), F.lit(0).cast("long")).otherwise(F.col("__gone")))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.col("__n").alias("n_lines"), F.col("__gone").alias("n_removed"))
+    lost = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))
+    covered = covered.select(F.col("id").alias("of"), F.col("row").alias("its"), lost.alias("lost"))
+    # The caller's row in one struct, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("key"))
+    joined = rows.join(covered, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("its")), "left")
+    lines = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
+    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    gone = F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long")
+    own = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    out = [kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in own]
+    return joined.select(*out, *([n.alias("n_lines"), gone.alias("n_removed")] if counts else []))
 
 
 SQL = """

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by cosine: multiprobe p-stable hashing.
 
-A vector of length 1 has in each table the key floor((a . x + b) / w) of HASHES Gaussian projections. A query looks into
-its own bucket and into perturbed ones, in the order of estimated success: its projections' distances to the cell
-borders are sorted, and a fixed list of sets of these ranks, by expected squared distance, is walked through (Lv et al.
-2007). How many sets are walked is set on a bounded sample of queries, compared with brute force over all rows, so that
-recall reaches a target. Every row is indexed; no bucket is capped: those with many rows are split over parts by id,
-and every part is searched. Each part reranks its candidates by exact cosine and gives each query's best.
+A vector of length 1 has in each table the key floor((a . x + b) / w) of some Gaussian projections, whose number grows
+with the logarithm of the rows, so that buckets stay small. A query looks into its own bucket and into perturbed ones, in the
+order of estimated success: its projections' distances to the cell borders are sorted, and a fixed list of sets of these
+ranks, by expected squared distance, is walked through (Lv et al. 2007). How many sets are walked is set on a bounded
+sample of queries, compared with brute force over all rows, so that recall reaches a target. Every row is indexed; no
+bucket is capped: those with many rows are split over parts by id, and every part is searched. Each part takes the exact
+cosine of the pairs that meet in a bucket and gives each query's best.
 """
 
 from __future__ import annotations
@@ -15,21 +16,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut
-from tracelake.llm.vectors import QUERY_BLOCK, best, matrix, once, one_row_per_id, rank, valid
+from tracelake.llm.vectors import QUERY_BLOCK, best, element, matrix, once, one_row_per_id, rank, valid
 
-TABLES, HASHES, WIDTH, SEED = 4, 8, 2.0, 11
-#: Queries of the sample that sets the number of probes, the recall they must reach, and all sets of single steps.
-SAMPLE, RECALL, SETS = 200, 0.96, 3**HASHES
+TABLES, WIDTH, SEED = 8, 3.0, 11
+#: Projections of a table: so many for each doubling of the rows, within these bounds.
+PER_DOUBLING, LEAST_HASHES, MOST_HASHES = 1.15, 6, 40
+#: Queries of the sample that sets the number of probes, the recall they must reach, and the sets that are tried at most.
+SAMPLE, RECALL, SETS = 200, 0.96, 8_192
 #: Rows in one part of a table, rows of a bucket beyond which it is split, and split buckets kept in memory.
 PART, HOT, MOST_HOT = 8_192, 4_096, 1_000_000
+#: Where a block of queries meets more than this share of a part's rows, one product of matrices is cheaper than pairs.
+DENSE = 1 / 40
+#: Pairs whose vectors are gathered at once.
+PAIRS = 16_384
 NEAR = 1e-9
 
 
-def probe_sets(hashes: int = HASHES, limit: int = SETS) -> list[tuple[int, ...]]:
+def hashes_for(count: int) -> int:
+    return int(min(MOST_HASHES, max(LEAST_HASHES, round(PER_DOUBLING * np.log2(max(count, 2))))))
+
+
+def probe_sets(hashes: int, limit: int = SETS) -> list[tuple[int, ...]]:
     """Sets of ranks (0: the nearest border of 2 * ``hashes``) in order of expected squared distance, the empty set first."""
     m = hashes
     rising = [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
@@ -50,15 +61,18 @@ def probe_sets(hashes: int = HASHES, limit: int = SETS) -> list[tuple[int, ...]]
 class Hashes:
     """The projections of all tables, and what follows from them for vectors of length 1."""
 
-    def __init__(self, dim: int):
+    def __init__(self, dim: int, hashes: int = 8):
         rng = np.random.default_rng(SEED)
-        self.a = rng.standard_normal((TABLES, dim, HASHES))
-        self.b = rng.random((TABLES, HASHES)) * WIDTH
-        self.mix = rng.integers(1, 1 << 62, (TABLES, HASHES), dtype=np.int64) | 1
-        sets = probe_sets()
-        self.steps = np.zeros((len(sets), 2 * HASHES), np.int8)
-        for i, s in enumerate(sets):
-            self.steps[i, list(s)] = 1
+        self.hashes = hashes
+        self.a = rng.standard_normal((TABLES, dim, hashes))
+        self.b = rng.random((TABLES, hashes)) * WIDTH
+        self.mix = rng.integers(1, 1 << 62, (TABLES, hashes), dtype=np.int64) | 1
+        sets = probe_sets(hashes)
+        # A set costs more than the set without its last rank, which so comes before it: its key is one step from that key.
+        at = {s: i for i, s in enumerate(sets)}
+        self.size = np.array([len(s) for s in sets])
+        self.prefix = np.array([at[s[:-1]] if s else 0 for s in sets])
+        self.last = np.array([s[-1] if s else 0 for s in sets])
 
     def _key(self, t: int, cell: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -73,18 +87,30 @@ class Hashes:
         cell = np.floor(f)
         low = f - cell
         order = np.argsort(np.concatenate([low, 1 - low], axis=1), axis=1, kind="stable")
-        which, sign = order % HASHES, np.where(order < HASHES, -1, 1)
+        which, sign = order % self.hashes, np.where(order < self.hashes, -1, 1)
         with np.errstate(over="ignore"):
             change = sign * self.mix[t][which]  # what a step across the border of each rank adds to the key
-            return self._key(t, cell)[:, None] + change @ self.steps[:n].T.astype(np.int64)
+            out = np.empty((len(x), min(n, len(self.size))), np.int64)
+            out[:, 0] = self._key(t, cell)
+            for size in range(1, self.size[:n].max() + 1):
+                own = np.flatnonzero(self.size[:n] == size)
+                out[:, own] = out[:, self.prefix[own]] + change[:, self.last[own]]
+            return out
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The rows times powers of two, so that no square over- or underflows; cosines keep every bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None]) if len(x) else x
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; equal pairs give equal results."""
+    q, x = scaled(q), scaled(x)
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
@@ -101,25 +127,33 @@ def salt_of(ids: np.ndarray, salts: np.ndarray) -> np.ndarray:
 
 
 def _brute(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int, dim: int) -> DataFrame:
-    """The ``k`` nearest of a bounded set of queries among all rows, with their vectors."""
+    """The ``k`` nearest of a bounded set of queries among all rows, with their vectors: at most k rows a query and task."""
     flat = unit(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dim))]
         for b in batches:
             own, y = b.column(0).to_numpy(), matrix(b.column(1), dim)
             s = flat @ unit(y).T
             s[ids[:, None] == own[None]] = -np.inf
             r, c, v = best(s, own, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(own[c]), pa.array(v), b.column(1).take(pa.array(c))], ["query_id", "vec_id", "score", "vec"])
+            row, near, value, vec = (np.concatenate(z) for z in zip(held, (r, own[c], v, y[c]), strict=True))
+            order = np.lexsort((near, -value, row))
+            place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            keep = order[place < k]
+            held = [row[keep], near[keep], value[keep], vec[keep]]
+        vecs = pa.FixedSizeListArray.from_arrays(pa.array(held[3].ravel()), dim).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2]), vecs], ["query_id", "vec_id", "score", "vec"])
 
     found = rows.mapInArrow(run, "query_id long, vec_id long, score double, vec array<double>")
-    return found.join(rank(found.drop("vec"), k).drop("score"), ["query_id", "vec_id"])
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def calibrate(rows: DataFrame, asked: DataFrame, h: Hashes, k: int, dim: int) -> tuple[int, float]:
     """The number of probes that reaches RECALL on at most SAMPLE queries, and the recall measured with it."""
     some = asked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    x = matrix(pa.array(some["vec"].tolist(), pa.list_(pa.float64())), dim)
+    x = matrix(pa.array([[float(c) for c in v] for v in some["vec"]], pa.list_(pa.float64())), dim)
     ids = some["id"].to_numpy()
     true = _brute(rows, ids, x, k, dim).select("query_id", "vec").toPandas()
     if true.empty:
@@ -127,31 +161,47 @@ def calibrate(rows: DataFrame, asked: DataFrame, h: Hashes, k: int, dim: int) ->
     at = {q: i for i, q in enumerate(ids)}
     q = np.array([at[i] for i in true["query_id"]])
     y = unit(matrix(pa.array(true["vec"].tolist(), pa.list_(pa.float64())), dim))
-    first = np.full(len(q), SETS)
+    most = len(h.size)
+    first = np.full(len(q), most)
     for t in range(TABLES):
-        probes = h.probes(t, unit(x), SETS)
+        probes = h.probes(t, unit(x), most)
         match = probes[q] == h.keys(t, y)[:, None]
-        first = np.minimum(first, np.where(match.any(1), match.argmax(1), SETS))
+        first = np.minimum(first, np.where(match.any(1), match.argmax(1), most))
     need = int(np.sort(first)[min(len(first) - 1, int(np.ceil(RECALL * len(first))) - 1)]) + 1
-    need = min(need, SETS)
+    need = min(need, most)
     return need, float((first < need).mean())
 
 
-def search(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` of largest cosine that each query's probes find.
+def _meet(hits: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Query and row of each pair: ``hits`` are the buckets that each query probes, rows lie sorted by bucket."""
+    q = np.repeat(np.arange(len(hits)), [sizes[h].sum() for h in hits])
+    b = np.concatenate(hits)
+    n = sizes[b]
+    return q, np.repeat(starts[b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
-    Scores are exact cosines of the original vectors. Ties go to the smaller id; a candidate with the query's own
-    id is none. Null ids and vectors that are null, zero or hold a null or non-finite component take no part. Shorter
-    vectors are filled up with zeros. Repeated rows of ``data`` are one candidate; a repeated query id is asked once, by its
-    smallest vector. No valid row gives an empty result.
-    """
+
+class Part:
+    """The rows of one part of a table, sorted by bucket."""
+
+    def __init__(self, h: Hashes, t: int, ids: np.ndarray, x: np.ndarray):
+        ids, x = once(ids, x)
+        flat = unit(x)
+        keys = h.keys(t, flat)
+        order = np.argsort(keys, kind="stable")
+        self.ids, self.x, self.flat = ids[order], x[order], flat[order]
+        self.keys, self.starts, self.counts = np.unique(keys[order], return_index=True, return_counts=True)
+
+
+def _pairs(data: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame | None:
+    """``query_id``, ``vec_id``, ``score`` of each query's ``k`` best in each part, and ``met``, how many rows it met there (in one of its rows)."""
     spark = data.sparkSession
-    rows, asked = cut(valid(data, id_col, vec_col, nonzero=True)), cut(one_row_per_id(valid(queries, id_col, vec_col, nonzero=True)))
+    kind = element(vec_col, data, queries)
+    rows, asked = cut(valid(data, id_col, vec_col, nonzero=True, kind=kind)), cut(one_row_per_id(valid(queries, id_col, vec_col, nonzero=True, kind=kind)))
     count, dim = rows.select(F.count("*"), F.max(F.size("vec"))).first()
     dim = max(dim or 0, asked.select(F.max(F.size("vec"))).first()[0] or 0)
     if not count or not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    h = Hashes(dim)
+        return None
+    h = Hashes(dim, hashes_for(count))
     n, _ = calibrate(rows, asked, h, k, dim)
     parts = int(np.ceil(count / PART))
 
@@ -166,14 +216,15 @@ def search(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
     hot = HOT
     while sizes.where(F.col("n") > hot).count() > MOST_HOT:
         hot *= 2
-    large = {t: dict(zip(g["key"], np.ceil(g["n"] / hot).astype(int), strict=True)) for t, g in sizes.where(F.col("n") > hot).toPandas().groupby("t")}
+    split = {t: (g["key"].to_numpy(), np.ceil(g["n"].to_numpy() / hot).astype(np.int64)) for t, g in sizes.where(F.col("n") > hot).orderBy("t", "key").toPandas().groupby("t")}
+    shared = spark.sparkContext.broadcast(split)  # at most MOST_HOT keys and counts
 
     def salts(t: int, keys: np.ndarray) -> np.ndarray:
-        own = large.get(t)
-        if not own:
+        if t not in shared.value:
             return np.ones(keys.shape, np.int64)
-        values, back = np.unique(keys, return_inverse=True)
-        return np.array([own.get(v, 1) for v in values])[back].reshape(keys.shape)
+        known, many = shared.value[t]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, many[at], 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,34 +242,71 @@ def search(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
                 for t in range(TABLES):
                     keys = h.probes(t, x, n)
                     many = salts(t, keys)
-                    where = np.zeros((len(x), parts), bool)
-                    for salt in range(int(min(many.max(), parts))):
-                        r, at = np.nonzero(many > salt)
-                        where[r, part_of(keys[r, at], np.full(len(r), salt), parts)] = True
-                    r, part = np.nonzero(where)
+                    where = [part_of(keys[r, at], np.full(len(r), salt), parts).astype(np.int64) + r * parts for salt in range(int(min(many.max(), parts))) for r, at in [np.nonzero(many > salt)]]
+                    r, part = np.divmod(np.unique(np.concatenate(where)), parts)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), t, np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(r), bool)), *(v.take(pa.array(r)) for v in c.columns)], ["t", "part", "asks", "id", "vec"])
 
-    def solve(table: pa.Table) -> pa.Table:
-        t = table.column("t")[0].as_py()
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        q, d = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
-        ids, x = once(d.column("id").to_numpy(), matrix(d.column("vec"), dim))
-        qid, qx = q.column("id").to_numpy(), matrix(q.column("vec"), dim)
-        flat, out = unit(x) if len(x) else x, []
-        keys, back = np.unique(h.keys(t, flat), return_inverse=True)
-        for s in range(0, len(qid) if len(ids) else 0, QUERY_BLOCK):
-            own = qx[s : s + QUERY_BLOCK]
-            probed = h.probes(t, unit(own), n)
-            at = np.minimum(np.searchsorted(keys, probed), len(keys) - 1)
-            open_keys = np.zeros((len(own), len(keys)), bool)
-            np.logical_or.at(open_keys, (np.arange(len(own))[:, None], at), keys[at] == probed)
-            scores = unit(own) @ flat.T
-            scores[~open_keys[:, back] | (qid[s : s + QUERY_BLOCK, None] == ids[None])] = -np.inf
-            r, c, v = best(scores, ids, k, NEAR, lambda r, c, own=own: cosine(own[r], x[c]))
-            out.append((qid[r + s], ids[c], v))
-        made = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, made), strict=True)))
-
-    cells = "t int, part int, asks boolean, id long, vec array<double>"
-    found = rows.mapInArrow(place, cells).union(asked.mapInArrow(ask, cells)).groupBy("t", "part").applyInArrow(solve, "query_id long, vec_id long, score double")
-    return rank(found.distinct(), k)  # several tables find the same pair
+    def answer(t: int, part: Part, asker: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        probed = h.probes(t, unit(own), n)
+        at = np.minimum(np.searchsorted(part.keys, probed), len(part.keys) - 1)
+        hits = [np.unique(a[found]) for a, found in zip(at, part.keys[at] == probed, strict=True)]
+        row, col = _meet(hits, part.starts, part.counts)
+        other = asker[row] != part.ids[col]
+        row, col = row[other], col[other]
+        met = np.bincount(row, minlength=len(own))
+        if len(row) > DENSE * len(own) * len(part.ids):
+            scores = np.full((len(own), len(part.ids)), -np.inf)
+            scores[row, col] = (unit(own) @ part.flat.T)[row, col]
+            r, c, v = best(scores, part.ids, k, NEAR, lambda r, c: cosine(own[r], part.x[c]))
+        else:
+            v = np.concatenate([np.zeros(0), *(cosine(own[row[i : i + PAIRS]], part.x[col[i : i + PAIRS]]) for i in range(0, len(row), PAIRS))])
+            order = np.lexsort((part.ids[col], -v, row))
+            row, col, v = row[order], col[order], v[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            r, c, v = row[keep], col[keep], v[keep]
+        first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(asker[r]), pa.array(part.ids[c]), pa.array(v), pa.array(np.where(first, met[r], 0))], ["query_id", "vec_id", "score", "met"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part, its data first: a part's data are held, its queries pass by in blocks."""
+        key, held, part = None, [], None
+        for b in batches:
+            t, p, asks, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            edges = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (asks[1:] != asks[:-1]), True]) if len(t) else []
+            for i, j in zip(edges[:-1], edges[1:], strict=False):
+                if key != (t[i], p[i]):
+                    key, held, part = (t[i], p[i]), [], None
+                if not asks[i]:
+                    held.append((ids[i:j], matrix(b.column(4).slice(i, j - i), dim)))
+                    continue
+                if held and part is None:
+                    part = Part(h, int(t[i]), *(np.concatenate(z) for z in zip(*held, strict=True)))
+                for s in range(i, j if held else i, QUERY_BLOCK):
+                    e = min(j, s + QUERY_BLOCK)
+                    yield answer(int(t[i]), part, ids[s:e], matrix(b.column(4).slice(s, e - s), dim))
+
+    cells = f"t int, part int, asks boolean, id long, vec array<{kind}>"
+    dealt = rows.mapInArrow(place, cells).union(asked.mapInArrow(ask, cells)).repartition("t", "part").sortWithinPartitions("t", "part", "asks")
+    return dealt.mapInArrow(solve, "query_id long, vec_id long, score double, met long")
+
+
+def search(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` of largest cosine that each query's probes find.
+
+    Scores are exact cosines of the original vectors. Ties go to the smaller id; a candidate with the query's own
+    id is none. Null ids and vectors that are null, zero or hold a null or non-finite component take no part. Shorter
+    vectors are filled up with zeros. Repeated rows of ``data`` are one candidate; a repeated query id is asked once, by its
+    smallest vector. No valid row gives an empty result.
+    """
+    found = _pairs(data, queries, k, id_col, vec_col)
+    if found is None:
+        return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return rank(found.select("query_id", "vec_id", "score").distinct(), k)  # several tables find the same pair
+
+
+def meetings(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``query_id`` and ``met``: how many rows each query of ``search`` meets in its buckets, over all tables, repeats counted."""
+    found = _pairs(data, queries, k, id_col, vec_col)
+    if found is None:
+        return data.sparkSession.createDataFrame([], "query_id long, met long")
+    return found.groupBy("query_id").agg(F.sum("met").alias("met"))

@@ -109,10 +109,20 @@ def _iban(run: Callable, s: str) -> str | None:
     return "".join(c if c == " " else next(out) for c in s)
 
 
+#: Numbers of country 1 without its code: ten digits as three, three and four.
+PLAIN_NORTH = re.compile(r"\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[2-9][0-9]{2}[\x20.-][0-9]{3}[\x20.-][0-9]{4}")
+
+
 def _phone(run: Callable, s: str) -> str | None:
+    """Numbers of country 1 are one set, with or without its code; their first digit stays below 2, or from 2 on."""
     digits = "".join(c for c in s if c.isdigit())
     if not 8 <= len(digits) <= 15:
         return None
+    north = len(digits) == 11 and digits[0] == "1" or (len(digits) == 10 and PLAIN_NORTH.fullmatch(s) is not None)
+    if north:
+        low, x = 2 * 10**9, int(digits[-10:])
+        y = run("phone1 low", x, low) if x < low else low + run("phone1", x - low, 10**10 - low)
+        return fill(s, digits[:-10] + str(y).zfill(10))
     code = digits[: -7 if len(digits) < 11 else -10]
     rest = digits[len(code) :]
     return fill(s, code + str(run(f"phone{code}", int(rest), 10 ** len(rest))).zfill(len(rest)))
@@ -136,8 +146,13 @@ def _ip(run: Callable, s: str) -> str | None:
     y = run("ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32)
     return ".".join(map(str, y.to_bytes(4, "big")))
 
+
 def _date(run: Callable, s: str) -> str | None:
-    """Orders of day, month and year are tried in turn; a day without leading zeros may gain or lose a digit."""
+    """Orders of day, month and year are tried in turn; a day without leading zeros may gain or lose a digit.
+
+    The days up to the 12th and the later ones are permuted among each other, in all orders alike: so the same day has
+    the same pseudonym in each, and a result reads back in its own order.
+    """
     a, b, c = re.split(r"[./-]", s)
     mark = s[len(a)]
     orders = ["ymd"] if len(a) == 4 else ["mdy", "dmy"] if mark == "/" else ["dmy"]
@@ -149,11 +164,10 @@ def _date(run: Callable, s: str) -> str | None:
             continue
         if not FIRST <= day <= LAST:
             continue
-        # Only days whose text reads back in the same order belong to a format: else a result could be taken for another.
         while True:
-            day = FIRST + run(f"date{order}", day - FIRST, LAST - FIRST + 1)
+            day = FIRST + run("date", day - FIRST, LAST - FIRST + 1)
             new = datetime.date.fromordinal(day)
-            if order != "dmy" or mark != "/" or new.day > 12:
+            if (new.day > 12) == (at["d"] > 12):
                 break
         width = {"y": 4, "m": 2, "d": 2} if len(a) != 1 and len(b) != 1 else {"y": 4, "m": 1, "d": 1}
         value = {"y": new.year, "m": new.month, "d": new.day}
@@ -162,8 +176,10 @@ def _date(run: Callable, s: str) -> str | None:
 
 
 def _email(run: Callable, s: str) -> str | None:
+    """Addresses that differ in case alone are one; each keeps the cases of its letters, so that it can be turned round."""
     local, domain = s.rsplit("@", 1)
-    return f"{_characters(run, 'email@' + domain.lower(), local.lower())}@{domain}"
+    new = _characters(run, "email@" + domain.lower(), local.lower())
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new, strict=True)) + "@" + domain
 
 
 #: The formats. At one place the first kind whose check a value passes wins.

@@ -163,13 +163,18 @@ def fit_rows(x: np.ndarray, y: np.ndarray, names: list[str]) -> Ensemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ensemble:
-    """Fit on at most SAMPLE labelled rows that are not held out, by hash of the id; a repeated id counts once."""
+    """Fit on at most SAMPLE labelled rows that are not held out, by hash of the id.
+
+    A repeated id counts once: by the greatest of its labels and the text of the smallest hash. Null texts count as
+    empty; null ids and labels are left out. Without labels every text scores 1/2.
+    """
     train = labels.where(~held_out(F.col(f"`{id_col}`"))).where(F.col(label_col).isNotNull() & F.col(f"`{id_col}`").isNotNull())
     known = train.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     wanted = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))  # at most SAMPLE ids
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(f"`{text_col}`", F.lit("")).alias("text")).join(wanted, "id")
     stats = statistics(F.col("text"))
-    found = texts.select("id", "y", *[c.alias(n) for n, c in stats.items()]).dropDuplicates(["id"]).toPandas().sort_values("id")
+    row = F.struct(F.xxhash64("text").alias("h"), *[c.cast("double").alias(n) for n, c in stats.items()])
+    found = texts.select("id", "y", row.alias("r")).groupBy("id", "y").agg(F.min("r").alias("r")).select("id", "y", "r.*").toPandas().sort_values("id")
     return fit_rows(found[list(stats)].to_numpy(float), found["y"].to_numpy(), list(stats))
 
 
@@ -179,11 +184,10 @@ def score(docs: DataFrame, model: Ensemble, text_col: str = "text", name: str =
     Whole texts are measured, however long; null counts as empty. Rows with null ids and repeated rows are scored like
     any other; equal texts get equal scores. A column called ``name`` is replaced. An empty table gives an empty result.
     """
-    # One array, so that the optimizer computes each statistic once and not once in each rule that tests it.
+    # One array, so that the optimizer computes each statistic once and not once in each rule that tests it; the caller's
+    # row in one struct, so that no name of its columns can clash.
     stats = statistics(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     used = sorted({t[0] for rule, _ in model.rules for t in rule.tests})
     own = [c for c in docs.columns if c != name]
-    if not used:
-        return docs.select(*[F.col(f"`{c}`") for c in own], model.column({}).alias(name))
-    held = docs.select(*[F.col(f"`{c}`") for c in own], F.array(*[stats[n].cast("double") for n in used]).alias("__stats"))
-    return held.select(*[F.col(f"`{c}`") for c in own], model.column({n: F.get("__stats", F.lit(i)) for i, n in enumerate(used)}).alias(name))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.array(*[stats[n].cast("double") for n in used]).alias("stats"))
+    return held.select(*[F.col(f"row.`{c}`").alias(c) for c in own], model.column({n: F.get("stats", F.lit(i)) for i, n in enumerate(used)}).alias(name))

@@ -8,7 +8,6 @@ there, keys do not. The measure is the bytes that the candidate adds to a frame,
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 import string
@@ -32,10 +31,12 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make a context sensitive, in lower case.
 SENSITIVE = ("key", "secret", "token", "passw", "pwd", "credential", "bearer", "authorization", "private", "signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters before a candidate that must hold a sensitive word, characters around it that prime the compressor,
-#: the longest candidate that is measured whole in one frame, the least share of new bytes in its characters, their
-#: least number, and the share, of the bytes that random characters of its alphabet take, from which on it is new anyway.
-BEFORE, AROUND, LONGEST, LEAST_SHARE, LEAST_BYTES, RANDOM_SHARE = 40, 2_000, 4_096, 0.8, 14, 0.9
+#: Characters before a candidate that must hold a sensitive word, characters around it that prime the compressor, the
+#: least share of new bytes in its characters, their least number, and the share, of the bytes that random characters of
+#: its alphabet take, from which on it is new anyway.
+BEFORE, AROUND, LEAST_SHARE, LEAST_BYTES, RANDOM_SHARE = 40, 2_000, 0.8, 14, 0.9
+#: Random characters that are drawn at most: the bytes of more are in proportion.
+DRAWN = 20_000
 #: What may stand between a candidate and the next one that continues it: ends of lines, quotes, the dots of a token.
 CONTINUES = re.compile(r"""(?:\s|\\[nrt]|["'`+,.;\\>|#*]){1,40}""")
 #: Identifiers that are frequent in code and configuration.
@@ -66,34 +67,38 @@ def alphabet(s: str) -> str:
 
 
 @lru_cache(4_096)
-def random_bytes(characters: str, size: int) -> int:
+def random_bytes(characters: str, size: int) -> float:
     """Bytes of a frame over ``size`` random characters, the least of three draws, the same on each run."""
+    if size > DRAWN:
+        return random_bytes(characters, DRAWN) * size / DRAWN
     draw, packer = random.Random(size), zstandard.ZstdCompressor(level=19, write_content_size=False)
     return min(len(packer.compress("".join(draw.choices(characters, k=size)).encode())) for _ in range(3)) - len(packer.compress(b""))
 
 
 @dataclass
 class Novelty:
-    """Marginal compressed bytes against a dictionary of identifiers and the text around a candidate."""
+    """Marginal compressed bytes against a dictionary of identifiers and the text around a candidate.
+
+    With ``repeats`` a string that occurs again nearby is a name, and not new. Without, its other occurrences are left out
+    of what primes the compressor, so that a key that stands in a text several times is found each time.
+    """
 
     identifiers: str = IDENTIFIERS
+    repeats: bool = True
 
     def added(self, before: str, candidate: str, after: str) -> int:
+        if not self.repeats:
+            before, after = before.replace(candidate, " "), after.replace(candidate, " ")
         prime = f"{self.identifiers} {self.identifiers.upper()} {after} {before}".encode("utf-8", "replace")
         packer = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
         return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
     def novel(self, text: str, start: int, end: int) -> bool:
-        """Whether each piece of the candidate, of about equal size and up to LONGEST characters, is new to its surroundings."""
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        size = math.ceil((end - start) / math.ceil((end - start) / LONGEST))
-        for a in range(start, end, size):
-            piece = text[a : min(end, a + size)]
-            # A long random piece takes less than a byte a character, as its alphabet is limited.
-            least = min(LEAST_SHARE * len(piece), RANDOM_SHARE * random_bytes(alphabet(piece), len(piece)))
-            if self.added(before, piece, after) < max(LEAST_BYTES, least):
-                return False
-        return True
+        """Whether the whole candidate, however long, is new to its surroundings."""
+        candidate = text[start:end]
+        # A long random string takes less than a byte a character, as its alphabet is limited.
+        least = min(LEAST_SHARE * len(candidate), RANDOM_SHARE * random_bytes(alphabet(candidate), len(candidate)))
+        return self.added(text[max(0, start - AROUND) : start], candidate, text[end : end + AROUND]) >= max(LEAST_BYTES, least)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -147,7 +152,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     (kind novel). Positions are code points of the whole text, the end exclusive. Null counts as empty: no span. Rows
     with a null id and repeated rows each come out; other columns are not read. An empty table gives an empty result.
     """
-    novelty = Novelty()
+    novelty = Novelty(repeats=False)
 
     def run(texts: list[str]) -> list[list]:
         out: list[list] = [[], [], [], [], []]

@@ -9,6 +9,8 @@ candidates before the full Hamming check. The filter is exact: no link is lost.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -19,8 +21,9 @@ from tracelake.llm.common import components, cut, map_texts
 
 BITS, DISTANCE = 64, 4
 WIDTHS = (13, 13, 13, 13, 12)
-#: Distinct fingerprints beyond which the second segment is cut into more pieces: longer keys, more keys a row.
-PIECES = ((1 << 22, 2), (1 << 26, 4), (1 << 62, 13))
+#: Distinct fingerprints beyond which the second segment is cut into more pieces: longer keys, more keys a row. Beyond the
+#: last, the second and third segment together are cut into PAIR_PIECES, of which a key leaves out two.
+PIECES, PAIR_PIECES = ((1 << 22, 2), (1 << 26, 4), (1 << 28, 13), (1 << 62, 0)), 7
 #: Buckets up to this many fingerprints are joined by SQL; larger ones are compared block against block.
 SMALL, BLOCK = 32, 2048
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -44,14 +47,14 @@ def fingerprint(text: str, width: int = 4) -> bytes:
     return np.packbits((seen @ BYTE_BITS).ravel() * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hex digits) and ``fp`` (the same bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 4) -> DataFrame:
+    """The columns ``keep``, ``fingerprint`` (16 hex digits) and ``fp`` (the same bits as a signed long) of every row."""
 
     def run(texts: list[str]) -> list[list]:
         made = [fingerprint(t, width) for t in texts]
         return [[x.hex() for x in made], [int.from_bytes(x, "big", signed=True) for x in made]]
 
-    return map_texts(docs, [id_col], text_col, [StructField("fingerprint", StringType()), StructField("fp", LongType())], run)
+    return map_texts(docs, keep, text_col, [StructField("fingerprint", StringType()), StructField("fp", LongType())], run)
 
 
 def _signed(x: int) -> int:
@@ -76,6 +79,26 @@ def key_masks(pieces: int) -> list[int]:
     return masks
 
 
+def key_starts(pieces: int) -> list[int]:
+    """The chain that each of ``key_masks`` belongs to."""
+    return [i for i in range(len(WIDTHS)) for _ in range(min(pieces, WIDTHS[(i + 1) % len(WIDTHS)]))]
+
+
+def long_masks(pieces: int = PAIR_PIECES) -> tuple[list[int], list[int]]:
+    """Masks of longer keys, and the chain of each: a segment and, of the next two, all but two of ``pieces`` pieces.
+
+    The first three segments of a chain differ in at most two bits, and the first in none, so two pieces hold them.
+    """
+    masks, starts = [], []
+    for i, chain in enumerate(ring()):
+        bits = [b for b in range(BITS) if chain[2] & ~chain[0] >> b & 1]
+        for p, q in combinations(range(pieces), 2):
+            out = [b for k, b in enumerate(bits) if k * pieces // len(bits) not in (p, q)]
+            masks.append(chain[0] | sum(1 << b for b in out))
+            starts.append(i)
+    return masks, starts
+
+
 def _budget(n: int) -> int:
     return n * DISTANCE // len(WIDTHS)
 
@@ -108,10 +131,8 @@ def links(prints: DataFrame, pieces: int) -> DataFrame:
     Within a bucket of up to SMALL fingerprints all links are made by an equi-join; in larger ones every block of
     about BLOCK fingerprints meets every other in a task of its own, which returns a spanning forest of their links.
     """
-    masks, chains = key_masks(pieces), ring()
-    per = [len(masks) // len(WIDTHS)] * len(WIDTHS)
-    per = [min(pieces, WIDTHS[(i + 1) % len(WIDTHS)]) for i in range(len(per))]
-    start = [i for i, n in enumerate(per) for _ in range(n)]
+    chains = ring()
+    masks, start = (key_masks(pieces), key_starts(pieces)) if pieces else long_masks()
     of = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])
     keys = prints.select("fp", F.explode(of).alias("key")).select("fp", "key.t", "key.k")
     sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
@@ -141,6 +162,19 @@ def links(prints: DataFrame, pieces: int) -> DataFrame:
     return pairs.union(many.groupBy("t", "k", "lo", "hi").applyInPandas(compare, "a long, b long"))
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (``__id``, ``fingerprint``, ``fp``, ``h``, a hash of the text) and, by ``fp``, ``component`` and ``component_id``."""
+    marked = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.xxhash64(f"`{text_col}`").alias("h"))
+    rows = cut(fingerprints(marked, ["__id", "h"], "__text", width))
+    prints = cut(rows.groupBy("fp").agg(F.min("__id").alias("first")))
+    n = prints.count()
+    pieces = next(p for most, p in PIECES if n <= most)
+    joined = components(links(prints, pieces), "a", "b").select(F.col("node").alias("fp"), "component")
+    named = prints.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows, named.join(lowest, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """``id_col``, ``fingerprint`` and ``component_id`` of every row.
 
@@ -150,23 +184,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take part and get the smallest id reachable, or null if there is none. Other columns of ``docs`` are not read.
     An empty table gives an empty result.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, width).withColumnRenamed(id_col, "__id"))
-    prints = cut(rows.groupBy("fp").agg(F.min("__id").alias("first")))
-    n = prints.count()
-    pieces = next(p for most, p in PIECES if n <= most)
-    joined = components(links(prints, pieces), "a", "b").select(F.col("node").alias("fp"), "component")
-    marked = prints.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = marked.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = marked.join(lowest, "component").select("fp", "component_id")
+    rows, named = _classes(docs, id_col, text_col, width)
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays, once.
+    """The rows of ``docs`` without near copies: of each component one row stays, in all its columns.
 
-    Rows with a null id cannot be named as a copy and all stay.
+    It is that of the smallest id, then of the smallest fingerprint, then of the smallest hash of the text; of rows that
+    share id and text the one of the smallest hash over all columns. So of different texts that share an id each is
+    judged on its own. Rows with a null id cannot be named as a copy and all stay. Null, empty and white texts are
+    copies of each other. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, width)
-    stay = found.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(F.col(id_col).isNull()))
+    rows, named = _classes(docs, id_col, text_col, width)
+    known = rows.where("__id is not null").join(named, "fp")
+    stay = known.groupBy("component").agg(F.min(F.struct("__id", "fingerprint", "h")).alias("m")).select(F.col("m.__id").alias("__id"), F.col("m.h").alias("h"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(f"`{text_col}`").alias("h"))
+    packed = packed.withColumn("__all", F.xxhash64(*[F.col(f"__row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]))
+    kept = packed.where("__id is not null").join(stay, ["__id", "h"], "left_semi").groupBy("__id", "h").agg(F.min_by("__row", "__all").alias("__row"))
+    every = kept.select("__row").union(packed.where("__id is null").select("__row"))
+    return every.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

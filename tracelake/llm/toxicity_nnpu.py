@@ -9,17 +9,19 @@ one at least once, twice, three times, or at some rate. Marks are chosen by how
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from tracelake.llm.common import held_out, map_texts
+from tracelake.llm.common import cut, held_out, map_texts
 
-#: The bounded sample that a fit reads: rows of each kind, and the longest text in it. Scoring reads every whole text.
-POSITIVES, UNLABELLED, LONGEST = 1_500, 6_000, 20_000
+#: The bounded sample that a fit reads: rows of each kind, chosen by a hash of the id alone, their texts whole.
+POSITIVES, UNLABELLED = 1_500, 6_000
 #: Beginnings, times and rates that make a mark; marks kept, least number and share of positives with one, least z score.
 BEGINNINGS, TIMES, RATES = (4, 5, 6, 7), (1, 2, 3), (1 / 256, 1 / 128, 1 / 64, 1 / 32)
 MARKS, SUPPORT, SUPPORT_SHARE, LEAST_Z = 300, 3, 0.015, 4.0
@@ -104,67 +106,71 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = EPOCHS) ->
     return w[:-1], float(w[-1])
 
 
-def fit_texts(positives: list[str], unlabelled: list[str], prior: float) -> Model:
-    """The model of two lists of texts; without positives or marks it gives every text the prior."""
-    prior = min(max(prior, 1e-3), 0.999)
-    held: Counter = Counter()
-    for t in positives:  # one text at a time: only the bases of the positives are kept
-        held.update(_counts(t)[0].keys())
-    support = max(SUPPORT, SUPPORT_SHARE * len(positives))
-    known = {b for b, n in held.items() if n >= support}
-    held.clear()
-    marks: dict[tuple[str, int], int] = {}
-
-    def rows(texts: list[str]) -> list[np.ndarray]:
-        counted = map(_counts, texts)
-        return [np.array([marks.setdefault((b, i), len(marks)) for b, times in c.items() if b in known for i in levels(times, n)], int) for c, n in counted]
-
-    rp, ru = rows(positives), rows(unlabelled)
-    if not marks or not unlabelled:
-        return Model({}, float(np.log(prior / (1 - prior))))
-    dp, du = (np.bincount(np.concatenate(r), minlength=len(marks)).astype(float) for r in (rp, ru))
-    share, pool = dp / len(rp) - du / len(ru), (dp + du) / (len(rp) + len(ru))
-    z = np.where(dp >= support, share / np.sqrt(pool * (1 - pool) * (1 / len(rp) + 1 / len(ru)) + 1e-12), 0)
-    chosen = np.lexsort((np.arange(len(z)), -z))[:MARKS]
-    chosen = chosen[z[chosen] > LEAST_Z]
-    if not len(chosen):
-        return Model({}, float(np.log(prior / (1 - prior))))
-    place = np.full(len(marks), -1)
-    place[chosen] = np.arange(len(chosen))
-
-    def dense(r: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(r), len(chosen)), np.float32)
-        for i, m in enumerate(r):
-            at = place[m]
-            out[i, at[at >= 0]] = 1
-        return out
-
-    w, bias = nnpu(dense(rp), dense(ru), prior)
-    names = list(marks)
-    weights: dict[str, list[float]] = {}
-    for at, value in zip(chosen, w, strict=True):
-        base, level = names[at]
-        weights.setdefault(base, [0.0] * (len(TIMES) + len(RATES)))[level] = float(value)
-    return Model(weights, bias)
+def _per_text(table: DataFrame, out: str, make: Callable[[str, Counter, int], Iterable]) -> DataFrame:
+    """``y``, ``id`` and ``out``, one row for each value that ``make`` gives for a text's own bases and number of words."""
+    names = ["y", "id", out.split(" ")[0]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (w.slice(i, 64) for w in batches for i in range(0, w.num_rows, 64)):
+            made = [list(make(t, *_counts(t))) for t in b.column(2).to_pylist()]
+            at = np.repeat(np.arange(len(made)), [len(m) for m in made])
+            values = [v for m in made for v in m]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(values, pa.string())], names)
+
+    return table.select("y", "id", "text").mapInArrow(run, f"y int, id {table.schema['id'].dataType.simpleString()}, {out}")
+
+
+def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of a fit as a table: ``id``, ``y`` (1: positive, 0: unlabelled), ``text``."""
+    order = [F.xxhash64("id"), F.col("id")]
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and length(text) > 0").where(~held_out(F.col("id")))
+    positive = own.select("id").join(known.where("y = 1"), "id", "left_semi").distinct().orderBy(*order).limit(POSITIVES)
+    any_kind = own.select("id").orderBy(*order).limit(UNLABELLED).distinct()
+    wanted = positive.select("id", F.lit(1).alias("y")).union(any_kind.select("id", F.lit(0).alias("y")))
+    found = own.join(F.broadcast(wanted), "id")  # at most POSITIVES + UNLABELLED ids
+    return cut(found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the rows that are not held out: at most POSITIVES labelled 1 and UNLABELLED of any kind, by hash of the id.
 
-    The class prior is the share of 1 among the labels that are not held out. A repeated id counts once.
+    Texts are read whole, by the executors: only counts of marks and the chosen marks of each row come to the driver. The
+    class prior is the share of 1 among the labels that are not held out. A repeated id counts once, by the greatest of
+    its labels and the text of the smallest hash; null ids, null labels and empty texts are left out. Without positives,
+    rows or marks every text gets the prior.
     """
     train = labels.where(~held_out(F.col(f"`{id_col}`"))).where(F.col(label_col).isNotNull() & F.col(f"`{id_col}`").isNotNull())
     known = train.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    prior = known.select(F.avg("y")).first()[0] or 0.0
-    order = [F.xxhash64("id"), F.col("id")]
-    # Some more ids than are wanted, as labels may name rows that are missing, null or too long.
-    positive = known.where("y = 1").orderBy(*order).limit(2 * POSITIVES).select("id", F.lit(1).alias("y"))
-    short = docs.where(F.length(f"`{text_col}`").between(1, LONGEST)).where(~held_out(F.col(f"`{id_col}`")) & F.col(f"`{id_col}`").isNotNull())
-    any_kind = short.select(F.col(f"`{id_col}`").alias("id")).orderBy(*order).limit(UNLABELLED).select("id", F.lit(0).alias("y"))
-    wanted = F.broadcast(positive.union(any_kind))  # at most 2 * POSITIVES + UNLABELLED ids
-    found = short.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id").dropDuplicates(["id", "y"]).toPandas()
-    found = found.sort_values("id")
-    return fit_texts(found.loc[found["y"] == 1, "text"].tolist()[:POSITIVES], found.loc[found["y"] == 0, "text"].tolist(), prior)
+    prior = min(max(known.select(F.avg("y")).first()[0] or 0.0, 1e-3), 0.999)
+    flat = Model({}, float(np.log(prior / (1 - prior))))
+    sample = _sample(docs, known, id_col, text_col)
+    sizes = dict(sample.groupBy("y").count().collect())
+    n_pos, n_any = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_pos or not n_any:
+        return flat
+    support = max(SUPPORT, SUPPORT_SHARE * n_pos)
+    # At most the mean number of bases of a positive text, divided by SUPPORT_SHARE.
+    frequent = _per_text(sample.where("y = 1"), "base string", lambda t, c, n: c).groupBy("base").count().where(F.col("count") >= support)
+    bases_ = frozenset(r[0] for r in frequent.select("base").collect())
+    marks = cut(_per_text(sample, "mark string", lambda t, c, n: (f"{i}{b}" for b, times in c.items() if b in bases_ for i in levels(times, n))))
+    counted = marks.groupBy("mark").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u")).where(F.col("p") >= support).toPandas().sort_values("mark")
+    dp, du = counted["p"].to_numpy(float), counted["u"].to_numpy(float)
+    share, pool = dp / n_pos - du / n_any, (dp + du) / (n_pos + n_any)
+    z = share / np.sqrt(pool * (1 - pool) * (1 / n_pos + 1 / n_any) + 1e-12)
+    chosen = np.argsort(-z, kind="stable")[:MARKS]
+    names = counted["mark"].to_numpy()[chosen[z[chosen] > LEAST_Z]].tolist()
+    if not names:
+        return flat
+    at = {m: i for i, m in enumerate(names)}
+    held = marks.where(F.col("mark").isin(names)).select("y", "id", "mark").toPandas()  # at most MARKS for each row of the sample
+    x = {1: np.zeros((n_pos, len(names)), np.float32), 0: np.zeros((n_any, len(names)), np.float32)}
+    for y, own in held.groupby("y"):
+        x[y][np.unique(own["id"].to_numpy(), return_inverse=True)[1], own["mark"].map(at).to_numpy()] = 1
+    w, bias = nnpu(x[1], x[0], prior)
+    weights: dict[str, list[float]] = {}
+    for name, value in zip(names, w, strict=True):
+        weights.setdefault(name[1:], [0.0] * (len(TIMES) + len(RATES)))[int(name[0])] = float(value)
+    return Model(weights, bias)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 256
 
 
-def valid(df: DataFrame, id_col: str, vec_col: str, nonzero: bool = False) -> DataFrame:
+def element(vec_col: str, *tables: DataFrame) -> str:
+    """The type in which components travel: float where all tables hold floats, else double."""
+    return "float" if all(t.schema[vec_col].dataType.simpleString() == "array<float>" for t in tables) else "double"
+
+
+def valid(df: DataFrame, id_col: str, vec_col: str, nonzero: bool = False, kind: str = "double") -> DataFrame:
     """``id`` and ``vec`` of the rows whose vector can take part: not null, all components finite; no null id."""
-    x = F.transform(f"`{vec_col}`", lambda v: v.cast("double"))
+    x = F.col(f"`{vec_col}`").cast(f"array<{kind}>")
     out = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("vec")).where("id is not null and vec is not null")
     out = out.where(F.forall("vec", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)))
     return out.where(F.exists("vec", lambda v: v != 0)) if nonzero else out
@@ -32,7 +37,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
         column = column.combine_chunks()
     if not len(column):
         return np.zeros((0, dim))
-    sizes = np.diff(column.offsets.to_numpy())
+    sizes = column.value_lengths().to_numpy()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if (sizes == dim).all():
         return flat.reshape(-1, dim)
@@ -49,8 +54,8 @@ def once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[np.sort(first)], x[np.sort(first)]
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int, slack: float = 0.0, rescore: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of ``scores`` (-inf: no candidate) its ``k`` best columns, ties to the smaller id.
+def best(scores: np.ndarray, ids: np.ndarray, k: int, slack: float = 0.0, rescore: Callable | None = None, none: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``scores`` (``none``: no candidate) its ``k`` best columns, ties to the smaller id.
 
     All columns within ``slack`` of the k-th score are kept before ``rescore(rows, columns)`` gives the scores that
     decide. Returns row, column and score.
@@ -59,9 +64,9 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int, slack: float = 0.0, rescor
     if not n or not len(scores):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     low = np.partition(scores, n - min(k, n), axis=1)[:, n - min(k, n)]
-    row, col = np.nonzero((scores >= (low - slack)[:, None]) & (scores > -np.inf))
+    row, col = np.nonzero((scores >= (low - slack if slack else low)[:, None]) & (scores > none))
     value = rescore(row, col) if rescore else scores[row, col]
-    order = np.lexsort((ids[col], -value, row))
+    order = np.lexsort((ids[col], -value, row))  # a score of int64 is never its least value, so it can be negated
     row, col, value = row[order], col[order], value[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     return row[place < k], col[place < k], value[place < k]
