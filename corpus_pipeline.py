@@ -6,38 +6,48 @@ each stage's rows as Parquet in the shared folder and reads them again for the n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, line_dedup, mixing, simhash, toxicity_nnpu
-from tracelake.llm.common import cut, table
+from tracelake.llm.common import table
 from tracelake.llm.queries import TOXIC, vocabulary
+from tracelake.scratch import cut, mark, release
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score TOXIC or more go."""
+    """Documents that score TOXIC or more go; null and empty texts score like a text without marks and stay."""
     model = toxicity_nnpu.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity_nnpu.score(docs, model, name="__toxic").where(F.col("__toxic") < TOXIC).select(docs.columns)
+    name = "toxic score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity_nnpu.score(docs, model, name=name).where(F.col(f"`{name}`") < TOXIC).select(*_own(docs))
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of repeated three-line windows go; every document stays, with its new length."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Lines of repeated three-line windows go; every document stays, with its new length. Null texts stay null."""
+    out = line_dedup.dedup_lines(docs, counts=False)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*_own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest id."""
+    """One document of each group stays: the one of the smallest id. Documents with a null id all stay."""
     return simhash.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies and parts of documents, so that the sources' words come near their targets."""
+    """Copies and parts of documents, so that the sources' words come near their targets. Documents without words go."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, and digests of ids and of the decoded text."""
+    """The number of ids of every text, and digests of ids and of the decoded text; a null text counts as empty."""
     return bpe.digests(docs, vocabulary())
 
 
@@ -48,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in a row. When a stage's rows are written, the tables that it and the stage before left are deleted."""
     docs = table(spark, sf_dir, "documents")
+    before = mark()
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        release(spark, before, keep=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,21 +4,59 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables that this process has written and not yet deleted, by path.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none (local tests), one of this machine."""
+    """The folder of ``spark.checkpoint.dir``. A local session that names none (tests) gets a folder of this machine; on a
+    cluster executors would not see it, so there the setting is required."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tracelake.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-tracelake-")
         spark.conf.set("spark.tracelake.scratch", found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back, so that a lost executor costs no recomputation of what lies before."""
+    """Write ``df`` once as a Parquet table in the shared folder and read it back.
+
+    This ends the lineage: a lost executor costs no recomputation of what lies before, and what is used more than
+    once is computed once. The table stays until ``drop`` or ``release`` deletes it.
+    """
     path = f"{shared_dir(df.sparkSession)}/tracelake/{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    hadoop = spark._jsc.hadoopConfiguration()
+    for p in list(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(hadoop).delete(path, True)
+        if p in _made:
+            _made.remove(p)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote and that nothing reads any more."""
+    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    _delete(df.sparkSession, [p for p in _made if p.rsplit("/", 1)[-1] in names])
+
+
+def mark() -> int:
+    """How many tables there are now: what is cut later can be released from here on."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Delete the tables cut from ``since`` on but those that ``keep`` reads: to be called when results have been written."""
+    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for k in keep for f in k.inputFiles()}
+    _delete(spark, [p for p in _made[since:] if p.rsplit("/", 1)[-1] not in names])
