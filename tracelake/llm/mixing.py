@@ -15,7 +15,7 @@ from tracelake.llm.common import WORD, cut
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SHARD_WORDS, SEED = 16, 250_000, "7"
-#: Quotients of a group that are ranked in one task.
+#: Shards, and quotients of a group, that are ranked in one task.
 SPAN = 200_000
 
 
@@ -43,32 +43,41 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.withColumn("target", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight"))).drop("most", "level")
 
 
-def apportion(items: DataFrame, by: list[str], order: str, size: str, seats: Column, cap: Column) -> DataFrame:
+def apportion(items: DataFrame, by: list[str], order: str, size: str, seats: Column, cap: Column, spread: bool = False) -> DataFrame:
     """``items`` and ``quota``: how many of the ``seats`` of its group each gets by the highest quotients.
 
     Sainte-Laguë rounds each share up or down but for a few: an item's quota lies within n * share / (2 seats) + 1 of
     its share, n the items of the group. What lies below that is given at once, and only the quotients within it are
     ranked; so the rows ranked are about as many as the items, however many the seats. No item gets more than ``cap``.
-    A group of many quotients is cut into spans of them, so that none is ranked in one task: whole spans win or lose,
-    and places count within the one between. ``items`` is read several times: give it as a table. Keys are not null.
+    With ``spread`` items are ranked in spans of their quotients, so that no group is ranked in one task: whole spans win or
+    lose, and places count within the one between. The result is the same; it reads ``items`` several times. Keys are not null.
     """
     keep = [c for c in items.columns if c not in (*by, order)]
-    sums = items.groupBy(*by).agg(F.sum(size).alias("__sum"), F.count(F.lit(1)).alias("__n"))
-    d = items.withColumn("__seats", seats).withColumn("__cap", cap).join(sums, by)
+    g = Window.partitionBy(*by)
+    d = items.withColumn("__seats", seats).withColumn("__cap", cap)
+    if spread:
+        d = d.join(items.groupBy(*by).agg(F.sum(size).alias("__sum"), F.count(F.lit(1)).alias("__n")), by)
+    else:
+        d = d.withColumn("__sum", F.sum(size).over(g)).withColumn("__n", F.count(F.lit(1)).over(g))
     d = d.withColumn("__share", F.when(F.col("__sum") > 0, F.col("__seats") * F.col(size) / F.col("__sum")).otherwise(0.0))
     d = d.withColumn("__near", F.when(F.col("__seats") > 0, F.ceil(F.col("__n") * F.col("__share") / (2 * F.col("__seats")))).otherwise(0) + 1)
     d = d.withColumn("__base", F.least(F.greatest(F.floor("__share") - F.col("__near"), F.lit(0)), F.col("__cap")))
     last = F.least(F.floor("__share") + F.col("__near"), F.col("__cap") - 1)
     seat = F.when(last >= F.col("__base"), F.sequence("__base", last)).otherwise(F.array().cast("array<bigint>"))
+    if not spread:
+        d = d.withColumn("__left", F.col("__seats") - F.sum("__base").over(g)).withColumn("__k", F.explode_outer(seat))
+        ranked = g.orderBy(F.when(F.col("__k").isNotNull(), F.col(size) / (2 * F.col("__k") + 1)).desc_nulls_last(), order)
+        d = d.withColumn("__won", (F.col("__k").isNotNull() & (F.row_number().over(ranked) <= F.col("__left"))).cast("long"))
+        return d.groupBy(*by, order).agg(*[F.first(c).alias(c) for c in keep], (F.first("__base") + F.sum("__won")).cast("long").alias("quota"))
     tries = d.withColumn("__k", F.explode(seat)).select(*by, order, (F.col(size) / (2 * F.col("__k") + 1)).alias("__q"))
     edges = tries.groupBy(*by).agg(F.min("__q").alias("__low"), F.max("__q").alias("__high"), F.ceil(F.count(F.lit(1)) / SPAN).alias("__spans"))
     left = d.groupBy(*by).agg((F.max("__seats") - F.sum("__base")).alias("__left"))
     at = F.least(F.floor((F.col("__high") - F.col("__q")) / (F.col("__high") - F.col("__low")) * F.col("__spans")), F.col("__spans") - 1)
-    spread = tries.join(edges, by).withColumn("__span", F.when(F.col("__high") > F.col("__low"), at).otherwise(0).cast("long"))
-    upto = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    before = spread.groupBy(*by, "__span").agg(F.count(F.lit(1)).alias("__own")).withColumn("__before", F.coalesce(F.sum("__own").over(upto), F.lit(0)))
+    cells = tries.join(edges, by).withColumn("__span", F.when(F.col("__high") > F.col("__low"), at).otherwise(0).cast("long"))
+    upto = g.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.groupBy(*by, "__span").agg(F.count(F.lit(1)).alias("__own")).withColumn("__before", F.coalesce(F.sum("__own").over(upto), F.lit(0)))
     ranked = Window.partitionBy(*by, "__span").orderBy(F.col("__q").desc(), order)
-    placed = spread.withColumn("__place", F.row_number().over(ranked)).join(before.join(left, by), [*by, "__span"])
+    placed = cells.withColumn("__place", F.row_number().over(ranked)).join(before.join(left, by), [*by, "__span"])
     won = placed.where(F.col("__before") + F.col("__place") <= F.col("__left")).groupBy(*by, order).agg(F.count(F.lit(1)).alias("__won"))
     return d.join(won, [*by, order], "left").select(*by, order, *keep, (F.col("__base") + F.coalesce("__won", F.lit(0))).cast("long").alias("quota"))
 
@@ -109,11 +118,13 @@ def _plan(rows: DataFrame) -> DataFrame:
 
     per_shard = placed.groupBy("ord", F.col("__shard").alias("shard")).agg(F.sum("__size").alias("shard_size"))
     per_shard = cut(per_shard.withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK_WORDS)))
+    spread = per_shard.count() > SPAN
     room = per_shard.groupBy("ord").agg((F.sum("blocks") * CAP).alias("room"))
     given = per_source.join(room, "ord")
     seats = F.floor(F.sum("target").over(Window.partitionBy()) / BLOCK_WORDS + 0.5)
     quotas = apportion(given.withColumn("__all", F.lit(0)), ["__all"], "ord", "target", seats, F.col("room")).select("ord", F.col("quota").alias("source_quota"))
-    shares = apportion(cut(per_shard.join(quotas, "ord")), ["ord"], "shard", "shard_size", F.col("source_quota"), F.col("blocks") * CAP)
+    shards = per_shard.join(quotas, "ord")
+    shares = apportion(cut(shards) if spread else shards, ["ord"], "shard", "shard_size", F.col("source_quota"), F.col("blocks") * CAP, spread)
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"start:{SEED}"), F.col("ord").cast("string"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("long")
     has = F.col("blocks") > 0
     shares = shares.select(
