@@ -144,3 +144,22 @@ def test_empty(spark, dim):
 
     assert completed_calls(spark.createDataFrame([], EVENTS), dim).collect() == []
     assert fdtable.resolve(fdtable.versions(pairing.valid_calls(pairing.match(spark.createDataFrame([], EVENTS)), dim)), spark.createDataFrame([], fdtable.NO_FDS)).collect() == []
+
+
+@pytest.mark.parametrize("options", [{"path": "/a"}, {"comm": "app1"}, {"path": "/a", "comm": "app1"}])
+def test_filter_first_equals_fold_on_random_traces(spark, dim, options):
+    for seed in (1, 5):
+        t = random_trace(seed, 150)
+        assert run(spark, dim, t, **options, filter_first=True) == fold(t, **options, filter_first=True)
+
+
+def test_hosts_do_not_meet(spark, dim):
+    from pyspark.sql import functions as F
+
+    a, b = random_trace(2), random_trace(3)
+    both = a.frame(spark).withColumn("host", F.lit("a")).unionByName(b.frame(spark).withColumn("host", F.lit("b"))).unionByName(b.frame(spark).withColumn("host", F.lit(None).cast("string")))
+    for options in ({"split_ns": 500}, {"comm": "app1", "path": "/a", "filter_first": True}):
+        rows = [r.asDict(recursive=True) for r in completed_calls(both, dim, Options(run=("host",), **options)).orderBy("exit_time_ns", "exit_seq").collect()]
+        for host, t in (("a", a), ("b", b), (None, b)):
+            k = {x: v for x, v in options.items() if x in ("comm", "path", "filter_first")}
+            assert [{x: v for x, v in r.items() if x != "host"} for r in rows if r["host"] == host] == fold(t, **{"filter_first": False} | k)

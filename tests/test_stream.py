@@ -61,3 +61,50 @@ def test_windowed_counts(spark):
     t = Trace(time=0).open(3, dt=1_000_000_000).call("read", fd=3, dt=100_000_000_000)
     counts = pairs.window_counts(completed_calls(t.frame(spark), syscall_dim(spark, IDS)))
     assert {(r["window"]["start"].minute, r["count"]) for r in counts.withColumn("x", F.lit(1)).collect()} == {(0, 1), (3, 1)}
+
+
+def test_stream_audit(spark, tmp_path):
+    t = Trace().add("enter", "read", fd=1).call("write", 5, dt=7_200_000, tid=12, fd=1).add("enter", "read", fd=2, tid=13).add("exit", "write", ret=1, tid=13).add("exit", "read", dt=7_200_000, ret=3)
+    rows = stream_rows(spark, tmp_path, spread(t, 3), max_pending_ns=3_600_000_000_000, audit=True)
+    assert [(r["name"], r["tid"], r["outcome"], r["exit_seq"] is None) for r in sorted(rows, key=lambda r: r["tid"])] == [("read", 11, "expired", True), ("write", 12, "completed", False), ("read", 13, "mismatch", False)]
+
+
+def stream_rows(spark, tmp_path, batches, **k):
+    folder, out = tmp_path / "events", []
+    t = Trace()
+    for rows in batches:
+        t.rows = rows
+        t.frame(spark).coalesce(1).write.mode("append").parquet(str(folder))
+        calls = pairs.pair_stream(pairs.read_events(spark, str(folder), files_per_trigger=1), FOLD_DIM, delay="2 seconds", **k)
+        pairs.run_once(calls, str(tmp_path / "checkpoint"), lambda df, _: out.extend(r.asDict(recursive=True) for r in df.collect()))
+    return out
+
+
+def test_stream_from_raw_records_with_snapshots_equals_batch(spark, tmp_path):
+    from tracelake.functions.dims import syscall_dim
+    from tracelake.operators.aggregate import agg6
+    from tracelake.plans.calls import Options, completed_calls, enriched_calls
+    from tracelake.sources.raw import encode_events
+    from tracelake.sources.trace import proc_exe_snapshot, proc_fd_snapshot
+
+    t = random_trace(8, 60)
+    batches = spread(t, 4)
+    fds = proc_fd_snapshot(spark.createDataFrame([(10, f, f"/a/snap{f}", "02") for f in range(3, 8)], "pid bigint, fd int, name string, flags_octal string"))
+    exes = proc_exe_snapshot(spark.createDataFrame([(100, "/bin/app1"), (201, "/bin/x")], "tid bigint, exe string"))
+    folder, own = tmp_path / "raw", Trace()
+    for i, rows in enumerate(batches):
+        own.rows = rows
+        encode_events(own.frame(spark)).coalesce(1).write.mode("append").parquet(str(folder))
+        calls = pairs.pair_stream(pairs.read_raw(spark, str(folder), 1), FOLD_DIM, "2 seconds", path="/a", proc_fd=fds, proc_exe=exes)
+        pairs.run_once(calls, str(tmp_path / "checkpoint"), pairs.add_to_aggregate(str(tmp_path / "saved")))
+    o = Options(path="/a", filter_first=True)
+    events = raw_again(spark, t)
+    want = agg6(enriched_calls(events, syscall_dim(spark, IDS), o, fds, exes), with_bytes=True)
+    assert sorted(pairs.saved_aggregate(spark, str(tmp_path / "saved")).collect()) == sorted(want.collect()) != []
+    assert completed_calls(events, syscall_dim(spark, IDS), o, fds, exes).count() > 10
+
+
+def raw_again(spark, t):
+    from tracelake.sources.raw import decode_events, encode_events
+
+    return decode_events(encode_events(t.frame(spark)))

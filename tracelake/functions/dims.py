@@ -25,6 +25,8 @@ KINDS = {
     "dup3": "dup3",
     "fcntl": "fcntl",
 }
+#: Calls that traces may hold besides, by the kind of record that fits their arguments.
+MORE_KINDS = {"fd": "copy_file_range", "null": "msync getcwd", "path": "name_to_handle_at", "open": "open_by_handle_at"}
 #: Beginnings of the names of each I/O class, whole names before a blank.
 READS = ("getdents", "pread", "process_vm_readv", "readlink", "readv", "recv")
 TRANSFERS = ("copy_file_range", "sendfile64", "splice", "tee", "vmsplice")
@@ -34,7 +36,7 @@ ENTER_IDS = {"openat": 798, "read": 858, "write": 856, "dup": 932, "close": 792,
 
 
 def record_kind(name: str) -> str | None:
-    return next((kind for kind, names in KINDS.items() if name in names.split()), None)
+    return next((kind for kinds in (KINDS, MORE_KINDS) for kind, names in kinds.items() if name in names.split()), None)
 
 
 def io_class(name: str) -> str:
@@ -58,10 +60,10 @@ def syscall_dim(spark: SparkSession, enter_ids: Mapping[str, int] | None = None)
 
 def listing_dim(listing: DataFrame) -> DataFrame:
     """The same from a listing (id, tracepoint), such as sys_enter_openat; names of other tracepoints are left out."""
-    dim = syscall_dim(listing.sparkSession, {n: 0 for names in KINDS.values() for n in names.split()}).where("phase = 'enter'").drop("trace_id", "phase")
+    dim = syscall_dim(listing.sparkSession, {n: 0 for kinds in (KINDS, MORE_KINDS) for names in kinds.values() for n in names.split()}).where("phase = 'enter'").drop("trace_id", "phase")
     own = listing.select(F.col("id").cast("int").alias("trace_id"), F.regexp_extract("tracepoint", "^sys_(enter|exit)_(.+)$", 1).alias("phase"), F.regexp_extract("tracepoint", "^sys_(enter|exit)_(.+)$", 2).alias("name"))
     kind = F.when(F.col("phase") == "exit", F.lit("ret")).otherwise(F.col("record_kind"))
-    return own.join(F.broadcast(dim), "name").select("trace_id", "name", "phase", kind.alias("record_kind"), "io_class")
+    return own.join(dim, "name").select("trace_id", "name", "phase", kind.alias("record_kind"), "io_class")
 
 
 def tracepoint(dim: DataFrame) -> Column:

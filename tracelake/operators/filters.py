@@ -37,7 +37,7 @@ def by_time(events: DataFrame, start_ns: int, seconds: float = 60) -> DataFrame:
     return events.where((F.col("time_ns") >= start_ns) & (F.col("time_ns") < int(start_ns + seconds * 1_000_000_000)))
 
 
-def by_tracepoint(events: DataFrame, dim: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+def by_tracepoint(events: DataFrame, dim: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), run: Sequence[str] = ()) -> DataFrame:
     """Events whose tracepoint's full name (sys_enter_read) no pattern of ``exclude`` finds and some of ``include``; none: all.
 
     Patterns are not anchored. A choice of enters alone leaves no exits and so no pairs.
@@ -51,7 +51,8 @@ def by_tracepoint(events: DataFrame, dim: DataFrame, include: Sequence[str] = ()
         for p in include:
             any_of = any_of | name.rlike(p)
         wanted = wanted & any_of
-    return events.join(F.broadcast(dim.where(wanted).select("trace_id").distinct()), "trace_id", "left_semi")
+    ids = ["trace_id", *(k for k in run if k in dim.columns)]
+    return events.join(dim.where(wanted).select(*ids).distinct(), ids, "left_semi")
 
 
 def raw_filter(kind: Column, comm: str | None = None, path: str | None = None) -> Column:

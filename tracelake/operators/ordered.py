@@ -12,10 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.scratch import cut
+
 ORDER = ("time_ns", "seq")
 
 
-def _null_safe(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
+def null_safe(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
+    """Whether the keys of ``a`` equal those of ``b``, which stand there behind two underscores; nulls are equal."""
     out = F.lit(True)
     for k in by:
         out = out & a[k].eqNullSafe(b[f"__{k}"])
@@ -31,15 +34,15 @@ def look_back(df: DataFrame, by: Sequence[str], value: Column, name: str, order:
     if split_ns is None:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    parts = df.withColumn("__value", value).withColumn("__span", F.floor(F.col(order[0]) / split_ns))
+    parts = cut(df.withColumn("__value", value).withColumn("__span", F.floor(F.col(order[0]) / split_ns)))  # read three times
     inner = Window.partitionBy(*by, "__span").orderBy(*order)
     near = parts.withColumn("__near", F.last("__value", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, end)))
-    ends = parts.where(F.col("__value").isNotNull()).groupBy(*by, "__span").agg(F.max_by("__value", F.struct(*order)).alias("__last"))
-    spans = parts.select(*by, "__span").distinct().join(ends, [*by, "__span"], "left")
+    told = F.when(F.col("__value").isNotNull(), F.struct(*order))
+    spans = parts.groupBy(*by, "__span").agg(F.max_by("__value", told).alias("__last"))
     outer = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__span").alias("__at"), F.last("__last", ignorenulls=True).over(outer).alias("__carried"))
-    found = near.join(carried, _null_safe(near, carried, by) & (F.col("__span") == F.col("__at")), "left")
-    return found.withColumn(name, F.coalesce("__near", "__carried")).drop("__value", "__span", "__near", "__at", "__carried", *[f"__{k}" for k in by])
+    carried = spans.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__span").alias("__its_span"), F.last("__last", ignorenulls=True).over(outer).alias("__carried"))
+    found = near.join(carried, null_safe(near, carried, by) & (F.col("__span") == F.col("__its_span")), "left")
+    return found.withColumn(name, F.coalesce("__near", "__carried")).drop("__value", "__span", "__near", "__its_span", "__carried", *[f"__{k}" for k in by])
 
 
 def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, split: int | None = None) -> DataFrame:
@@ -51,6 +54,6 @@ def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, sp
     near = parts.withColumn("__near", F.row_number().over(Window.partitionBy(*by, "__span").orderBy(*order)) - 1)
     counts = parts.groupBy(*by, "__span").agg(F.count("*").alias("__n"))
     outer = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__span").alias("__at"), F.coalesce(F.sum("__n").over(outer), F.lit(0)).alias("__before"))
-    found = near.join(before, _null_safe(near, before, by) & F.col("__span").eqNullSafe(F.col("__at")))
-    return found.withColumn(name, (F.col("__near") + F.col("__before")).cast("bigint")).drop("__span", "__near", "__at", "__before", *[f"__{k}" for k in by])
+    before = counts.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__span").alias("__its_span"), F.coalesce(F.sum("__n").over(outer), F.lit(0)).alias("__before"))
+    found = near.join(before, null_safe(near, before, by) & F.col("__span").eqNullSafe(F.col("__its_span")))
+    return found.withColumn(name, (F.col("__near") + F.col("__before")).cast("bigint")).drop("__span", "__near", "__its_span", "__before", *[f"__{k}" for k in by])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordered import look_back
+from tracelake.operators.ordered import look_back, null_safe
 
 ENTER_FIELDS = ("seq", "time_ns", "trace_id", "pid", "fd", "flags", "path", "oldname", "newname", "comm", "cmd", "arg")
 
@@ -20,7 +20,7 @@ ENTER_FIELDS = ("seq", "time_ns", "trace_id", "pid", "fd", "flags", "path", "old
 def match(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | None = None) -> DataFrame:
     """Every exit that consumes an enter, with ``valid``: the exit's id is the enter's less one.
 
-    Columns: tid, the enter's fields as ``enter_*`` or under their own names, ``exit_seq``, ``exit_time_ns``, ``exit_trace_id``,
+    Columns: those of ``by``, the enter's fields as ``enter_*`` or under their own names, ``exit_seq``, ``exit_time_ns``, ``exit_trace_id``,
     ``ret``. Rows with a null thread id are a thread of their own.
     """
     enter = F.struct(*[F.col(c) for c in ENTER_FIELDS], F.col("phase"))
@@ -33,10 +33,14 @@ def match(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | None
     )
 
 
-def valid_calls(matched: DataFrame, dim: DataFrame) -> DataFrame:
-    """The calls whose ids fit, with the name and the record kind of the call; ids that the dimension lacks are left out."""
-    names = dim.where("phase = 'enter'").select(F.col("trace_id").alias("enter_trace_id"), "name", "record_kind", "io_class")
-    return matched.where("valid").drop("valid").join(F.broadcast(names), "enter_trace_id")
+def valid_calls(matched: DataFrame, dim: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """The calls whose ids fit, with the name and the record kind of the call; ids that the dimension lacks are left out.
+
+    Columns of ``run`` that the dimension has belong to its ids, as kernels number their calls differently.
+    """
+    both = [k for k in run if k in dim.columns]
+    names = dim.where("phase = 'enter'").select(*both, F.col("trace_id").alias("enter_trace_id"), "name", "record_kind", "io_class")
+    return matched.where("valid").drop("valid").join(names, [*both, "enter_trace_id"])
 
 
 def mismatches(matched: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def mismatches(matched: DataFrame) -> DataFrame:
 
 def unknown_calls(matched: DataFrame, dim: DataFrame) -> DataFrame:
     """Calls whose ids fit but are not in the dimension."""
-    return matched.where("valid").join(F.broadcast(dim.where("phase = 'enter'").select(F.col("trace_id").alias("enter_trace_id"))), "enter_trace_id", "left_anti")
+    return matched.where("valid").join(dim.where("phase = 'enter'").select(F.col("trace_id").alias("enter_trace_id")), "enter_trace_id", "left_anti")
 
 
 def comm_gate(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | None = None) -> DataFrame:
@@ -57,7 +61,8 @@ def comm_gate(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | N
     opens = F.col("record_kind") == "open"
     early = events.where((F.col("phase") == "exit") | opens)
     done = match(early, by, split_ns).where("valid").groupBy(*by).agg(F.min(F.struct("exit_time_ns", "exit_seq")).alias("__known"))
-    gated = events.join(done, list(by), "left")
+    done = done.withColumnsRenamed({k: f"__{k}" for k in by})
+    gated = events.join(done, null_safe(events, done, by), "left").drop(*[f"__{k}" for k in by])
     after = F.coalesce(F.struct(F.col("time_ns").alias("exit_time_ns"), F.col("seq").alias("exit_seq")) > F.col("__known"), F.lit(False))
     return gated.where((F.col("phase") == "exit") | opens | after).drop("__known")
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.render import file_name
+from tracelake.operators.ordered import look_back
 
 
-def transitions(calls: DataFrame) -> DataFrame:
-    """How often one call of a thread follows another, and the time between them."""
-    before = F.lag("name").over(Window.partitionBy("tid").orderBy("exit_time_ns", "exit_seq"))
-    steps = calls.withColumn("previous", before).where("previous is not null")
+def transitions(calls: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | None = None) -> DataFrame:
+    """How often one call of a thread follows another, and the time between them; ``split_ns`` cuts long histories."""
+    steps = look_back(calls, by, F.col("name"), "previous", order=("exit_time_ns", "exit_seq"), split_ns=split_ns).where("previous is not null")
     return steps.groupBy(F.concat_ws("->", "previous", "name").alias("transition")).agg(F.count("*").alias("count"), F.sum("gap").alias("duration_to_prev"))
 
 

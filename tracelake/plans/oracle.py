@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.sources.trace import DUCKDB_TNS, TRACE_SQL
+from tracelake.sources.trace import DUCKDB_TNS, HELD_EXES_SQL, HELD_FDS_SQL, HOSTS_IDS, HOSTS_SQL, TRACE_SQL
 
 T = TRACE_SQL.replace("{TNS}", DUCKDB_TNS)
 EV = f"""WITH RECURSIVE ev AS ({T}),
@@ -124,7 +124,73 @@ kp AS (SELECT cm.*, file_name, file_flags FROM cm JOIN fl ON cm.exit_seq = fl.ex
        WHERE kind NOT IN ('fd', 'null', 'fcntl') OR (contains(comm, 'app1') AND kind <> 'null' AND contains(file_name, '/k')))
 SELECT exit_seq, name, comm, file_name, file_flags, exit_time_ns - enter_time_ns AS duration, {GAP} AS gap FROM kp {GAP_W}"""
 
+_KIND = {"openat": "open", "creat": "path", "newstat": "path", "rename": "name", "sync": "null", "msync": "null", "dup3": "dup3", "fcntl": "fcntl"}
+_IO = {"read": "read", "write": "write", "copy_file_range": "transfer"}
+
+
+def _hosts(path: str | None = None) -> str:
+    """The trace of two hosts, its pairs and comms, and ``fl``: each process's calls folded one by one over a list of its open files.
+
+    With ``path``, calls by descriptor whose file's name does not hold it are dropped before they change anything.
+    """
+    names = ", ".join(f"({i}, '{n}', '{_KIND.get(n, 'fd')}', '{_IO.get(n, 'none')}')" for n, i in HOSTS_IDS.items())
+    source, held, exes = (q.replace("{TNS}", DUCKDB_TNS).replace("{LIT}", "VARCHAR") for q in (HOSTS_SQL, HELD_FDS_SQL, HELD_EXES_SQL))
+    passes = "true" if path is None else f"(kind NOT IN ('path', 'name', 'open') OR contains(coalesce(path, ''), '{path}') OR contains(coalesce(oldname, ''), '{path}') OR contains(coalesce(newname, ''), '{path}'))"
+    kept = "true" if path is None else f"(c.kind NOT IN ('fd', 'dup3', 'fcntl', 'null') OR (c.kind <> 'null' AND contains(coalesce(f2.held.name, s.name, ''), '{path}')))"
+    w = "OVER (PARTITION BY host, tid ORDER BY time_ns, seq)"
+    cols = ", ".join(f"lag({c}) {w} AS p_{c}" for c in ("phase", "seq", "time_ns", "trace_id", "pid", "fd", "flags", "path", "oldname", "newname", "comm", "cmd", "arg"))
+    state = "STRUCT(fd BIGINT, name VARCHAR, flags BIGINT, snap BOOLEAN)"
+    copied = "CASE WHEN c.name IN ('dup', 'dup2') OR (c.name = 'fcntl' AND c.cmd = 0) THEN 0 WHEN c.name = 'dup3' THEN c.flags & 524288 WHEN c.name = 'fcntl' AND c.cmd = 1030 THEN 524288 END"
+    return f"""WITH RECURSIVE ev AS ({source}), nm AS (SELECT * FROM (VALUES {names}) v(trace_id, name, kind, io)), sn AS ({held}), ex AS ({exes}),
+ge AS (SELECT ev.* FROM ev LEFT JOIN nm ON ev.trace_id = nm.trace_id WHERE phase = 'exit' OR {passes}),
+lg AS (SELECT *, {cols} FROM ge),
+vc AS (SELECT host, tid, p_pid AS pid, p_seq AS enter_seq, seq AS exit_seq, p_trace_id AS enter_trace_id, ret, p_time_ns AS enter_time_ns, time_ns AS exit_time_ns, p_fd AS fd, p_flags AS flags,
+              p_path AS path, p_newname AS newname, p_comm AS comm0, p_cmd AS cmd, p_arg AS arg, nm.name, nm.kind, nm.io
+       FROM lg JOIN nm ON nm.trace_id = p_trace_id WHERE phase = 'exit' AND p_phase = 'enter' AND p_trace_id - 1 = lg.trace_id),
+cm AS (SELECT vc.*, row_number() OVER (PARTITION BY vc.host, pid ORDER BY exit_time_ns, exit_seq) AS n,
+              CASE WHEN kind = 'open' THEN CASE WHEN ret >= 0 THEN comm0 ELSE '' END ELSE coalesce(last_value(CASE WHEN kind = 'open' THEN comm0 END IGNORE NULLS)
+                OVER (PARTITION BY vc.host, vc.tid ORDER BY exit_time_ns, exit_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), string_split(ex.exe, '/')[-1], '') END AS comm
+       FROM vc LEFT JOIN ex ON vc.host = ex.host AND vc.tid = ex.tid),
+fo AS (SELECT host, pid, 0::BIGINT AS n, NULL::BIGINT AS exit_seq, []::{state}[] AS files, NULL::{state} AS shown, NULL::BOOLEAN AS kept FROM (SELECT DISTINCT host, pid FROM cm)
+       UNION ALL
+       SELECT host, pid, n, exit_seq,
+         CASE WHEN name IN ('openat', 'creat') AND ret >= 0 THEN list_append(list_filter(files, lambda x: x.fd <> ret), {{'fd': ret, 'name': path, 'flags': CASE WHEN name = 'creat' THEN 577 ELSE flags END, 'snap': false}})
+              WHEN name = 'close' THEN list_filter(files, lambda x: x.fd <> fd)
+              WHEN kept AND name = 'fcntl' AND cmd = 4 AND ret >= 0 THEN list_append(list_filter(files, lambda x: x.fd <> fd), shown)
+              WHEN kept AND added IS NOT NULL AND ret >= 0 THEN list_append(list_filter(files, lambda x: x.fd <> ret), {{'fd': ret, 'name': shown.name, 'flags': shown.flags | added, 'snap': shown.snap}})
+              ELSE files END, shown, kept
+       FROM (SELECT f2.host, f2.pid, c.n, c.exit_seq, c.name, c.ret, c.cmd, c.fd, c.path, c.flags, f2.files, {copied} AS added, {kept} AS kept,
+               CASE WHEN c.kind IN ('fd', 'dup3', 'fcntl') THEN {{'fd': c.fd::BIGINT, 'name': coalesce(f2.held.name, s.name, ''), 'flags': CASE WHEN c.name = 'fcntl' AND c.cmd = 4 AND c.ret >= 0 THEN c.arg & 289792
+                 ELSE coalesce(f2.held.flags, CASE WHEN s.flags_octal IS NOT NULL THEN 32770 END, -1) END::BIGINT, 'snap': coalesce(f2.held.snap, true)}} END AS shown
+             FROM (SELECT fo.host, fo.pid, fo.n, fo.files, list_filter(fo.files, lambda x: x.fd = c0.fd)[1] AS held FROM fo JOIN cm c0 ON c0.host = fo.host AND c0.pid = fo.pid AND c0.n = fo.n + 1) f2
+             JOIN cm c ON c.host = f2.host AND c.pid = f2.pid AND c.n = f2.n + 1 LEFT JOIN sn s ON s.host = c.host AND s.pid = c.pid AND s.fd = c.fd)),
+cf AS (SELECT cm.*, CASE WHEN kind = 'open' OR name = 'creat' THEN CASE WHEN ret >= 0 THEN path ELSE 'N:file' END WHEN kind = 'path' THEN path WHEN kind = 'name' THEN newname WHEN kind = 'null' THEN 'N:file'
+                ELSE shown.name END AS file_name,
+              (CASE WHEN kind = 'open' THEN CASE WHEN ret >= 0 THEN flags ELSE 0 END WHEN name = 'creat' THEN CASE WHEN ret >= 0 THEN 577 ELSE 0 END WHEN kind IN ('path', 'name') THEN -1 WHEN kind = 'null' THEN 0
+                ELSE shown.flags END)::INTEGER AS file_flags, coalesce(shown.snap, false) AS from_snapshot
+       FROM cm JOIN fo ON cm.host = fo.host AND cm.pid = fo.pid AND cm.n = fo.n WHERE fo.kept),
+done AS (SELECT *, exit_time_ns - enter_time_ns AS duration, coalesce(enter_time_ns - lag(exit_time_ns) OVER (PARTITION BY host, tid ORDER BY exit_time_ns, exit_seq), 0) AS gap FROM cf)"""
+
+
+HOSTS_ROWS = "SELECT host, pid, from_snapshot, exit_seq, name, comm, file_name, file_flags, duration, gap FROM done"
+LINE = f"""printf('%08d,%08d,%s@%d.%d,%s=>%d,', gap, duration, comm, pid, tid, name, ret) || CASE WHEN file_name = 'N:file' THEN 'N:file' WHEN kind = 'path' THEN 'pathname:' || path || '%(O_NONE)'
+    WHEN kind = 'name' THEN 'old:' || oldname || ' ->new:' || newname || '%(O_NONE)' ELSE CASE WHEN file_name = '' THEN 'E:name' ELSE file_name END || '%(' || CASE WHEN kind = 'open' THEN ret ELSE fd END || ',' ||
+    {_flags('file_flags')} || ')' END"""
+
 SQL: dict[str, str] = {
+    "calls_hosts": f"{_hosts()} {HOSTS_ROWS}",
+    "calls_hosts_split": f"{_hosts()} {HOSTS_ROWS}",
+    "calls_filter_first": f"{_hosts('/k1')} {HOSTS_ROWS}",
+    "filters_thread": f"{EV} SELECT seq, pid, tid FROM ev WHERE tid = 10071",
+    "stats_map_events": _profile(SERIES, "event_type"),
+    "saved_runs": f"""{_hosts()} SELECT trim(comm) || ';enter_' || name || ';' || tid AS stack, sum(CASE WHEN io <> 'none' AND ret > 0 THEN ret ELSE 0 END)::BIGINT AS value FROM done GROUP BY 1""",
+    "collapsed_file": f"""{_hosts()}, st AS (SELECT array_to_string(string_split(file_name, '/'), ';/') || ';' || {_flags('file_flags')} AS stack, count(*) AS c FROM done GROUP BY 1) SELECT stack || ' ' || c AS line FROM st""",
+    "rows_file": f"{FULL} SELECT {LINE} AS value FROM cf",
+    "render_pairs_full": f"{FULL} SELECT exit_seq, {LINE} AS value FROM cf",
+    "decode_present": f"{EV} SELECT seq, 'decoded' AS what FROM ev WHERE seq % 60 <> 0",
+    "scalar_text": "SELECT c_custkey, c_custkey::INTEGER AS number, c_name AS last, c_mktsegment AS comm FROM customer",
+    "periodicity_every_lag": f"""{SERIES},{_period(0).replace("range(1, 0 + 1)", "range(1, (SELECT max(n) FROM d) // 2)")} SELECT g AS event_type, is_periodic, best_lag, period_us::BIGINT AS period_us,
+        CASE WHEN correlation > 0 THEN round(correlation * pow(10.0::DOUBLE, 5 - floor(log10(correlation)))) ELSE 0 END::BIGINT AS correlation FROM pe""",
     "pair_calls": f"{PAIRED} SELECT {CALLS}, name FROM vc",
     "pair_calls_split": f"{PAIRED} SELECT {CALLS}, name FROM vc",
     "pair_mismatches": f"{PAIRED} SELECT {CALLS} FROM mt WHERE NOT valid",

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.dims import syscall_dim
-from tracelake.functions.render import file_flags, file_name
-from tracelake.functions.text import flags_text, path_stack
+from tracelake.functions.render import HEADER, file_flags, file_name
+from tracelake.functions.text import basename, flags_text, octal, path_stack, trim_comm
 from tracelake.operators import aggregate, fdtable, filters, pairing, patterns, profile, views
 from tracelake.plans.calls import Options, completed_calls, enriched_calls, selected
+from tracelake.scratch import cut, shared_dir
 from tracelake.sources import raw
-from tracelake.sources.sinks import row_stream
-from tracelake.sources.trace import trace
+from tracelake.sources.sinks import load_aggregate, row_stream, save_aggregate, write_collapsed, write_rows
+from tracelake.sources.trace import HOSTS_IDS, hosts_trace, trace
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Filters of the registered queries.
@@ -213,7 +215,7 @@ def patterns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace as raw records and decoded again."""
-    done = raw.decode_events(raw.encode_events(trace(spark, sf_dir)))
+    done = raw.decode_events(cut(raw.encode_events(trace(spark, sf_dir))))
     numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("fd", "flags", "cmd", "arg", "ret")]
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("path", "oldname", "newname", "comm")]
     return done.select("seq", "event_type", "phase", "trace_id", "time_ns", "pid", "tid", *numbers, *texts)
@@ -221,13 +223,13 @@ def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records of which every 50th has an unknown type and every 70th is cut off."""
-    r = raw.encode_events(trace(spark, sf_dir))
+    r = cut(raw.encode_events(trace(spark, sf_dir)))
     spoilt = F.when(F.pmod("seq", F.lit(50)) == 0, F.concat(F.unhex(F.lit("07")), F.expr("substring(payload, 2)"))).when(F.pmod("seq", F.lit(70)) == 0, F.expr("substring(payload, 1, 20)"))
     return raw.quarantine(r.withColumn("payload", F.coalesce(spoilt, F.col("payload")))).select("seq", "event_type", "reason")
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.transitions(pairing.durations(_valid(spark, sf_dir)))
+    return views.transitions(pairing.durations(_valid(spark, sf_dir)), split_ns=86_400_000_000_000)
 
 
 def gaps_by_call(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,12 +261,102 @@ def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.with_user(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), users)
 
 
+HOSTS = ("host",)
+#: Filters of the queries over the trace of two hosts.
+HOSTS_COMM, HOSTS_PATH = "app", "/k1"
+
+
+def _hosts(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    events, fds, exes = hosts_trace(spark, sf_dir)
+    return enriched_calls(events, syscall_dim(spark, HOSTS_IDS), Options(run=HOSTS, **options), fds, exes)
+
+
+def _hosts_flat(calls: DataFrame) -> DataFrame:
+    return _flat_with(calls, "host", "pid", F.coalesce("file.from_snapshot", F.lit(False)).alias("from_snapshot"))
+
+
+def _flat_with(calls: DataFrame, *more) -> DataFrame:
+    file = F.col("file")
+    return calls.select(*more, "exit_seq", "name", F.coalesce("comm", F.lit("")).alias("comm"), file_name(file).alias("file_name"), file_flags(file).alias("file_flags"), "duration", "gap")
+
+
+def calls_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed calls of two hosts whose processes, threads and numbers are the same, with snapshots of one of them."""
+    return _hosts_flat(_hosts(spark, sf_dir))
+
+
+def calls_hosts_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every history cut into days."""
+    return _hosts_flat(_hosts(spark, sf_dir, split_ns=86_400_000_000_000))
+
+
+def calls_filter_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls under filters that come before the table of open files: what they drop changes no descriptor."""
+    return _hosts_flat(_hosts(spark, sf_dir, path=HOSTS_PATH, filter_first=True))
+
+
+def filters_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.by_process(trace(spark, sf_dir), tid=10071).select("seq", "pid", "tid")
+
+
+def stats_map_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile with its figures in a struct for each column."""
+    m = profile.stats_map(io_profile_events(spark, sf_dir), ["event_type"])
+    return m.select("event_type", "count", "total_bytes", "total_latency", *[F.col(f"{c}.{n}").alias(f"{c}_{n}") for c in ("latency", "bytes") for n in ("min", "max", "mean", "median", "p95", "p99")])
+
+
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each host's aggregate saved as a run, loaded again, merged, and collapsed by bytes."""
+    calls, path = cut(_hosts(spark, sf_dir).select("host", "file", "enter_trace_id", "comm", "pid", "tid", "duration", "gap", "io_class", "ret")), f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    for host in ("h0", "h1"):
+        save_aggregate(aggregate.agg6(calls.where(F.col("host") == host), with_bytes=True), path, host, "run", "1")
+    merged = aggregate.merge(load_aggregate(spark, path))
+    return aggregate.collapse(merged, syscall_dim(spark, HOSTS_IDS), ("comm", "tracepoint", "tid"), "bytes")
+
+
+def collapsed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacks by count as written to compressed text, the second writing left out as the first is there."""
+    stacks = aggregate.collapse(aggregate.agg6(_hosts(spark, sf_dir)), syscall_dim(spark, HOSTS_IDS), ("path", "flags"), "count")
+    base = f"{shared_dir(spark)}/stacks-{uuid.uuid4().hex}"
+    path = write_collapsed(stacks, base, ("path", "flags"), "count")
+    write_collapsed(stacks.limit(0), base, ("path", "flags"), "count")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def rows_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row stream as written to text, without its header."""
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    write_rows(completed_calls(trace(spark, sf_dir)), path)
+    return spark.read.text(path).where(F.col("value") != HEADER)
+
+
+def decode_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records of which every 60th is empty: those are skipped, neither decoded nor quarantined."""
+    r = raw.encode_events(trace(spark, sf_dir))
+    r = cut(r.withColumn("payload", F.when(F.pmod("seq", F.lit(60)) == 0, F.unhex(F.lit(""))).otherwise(F.col("payload"))))
+    return raw.decode_events(r).select("seq", F.lit("decoded").alias("what")).unionByName(raw.quarantine(r).select("seq", F.lit("quarantined").alias("what")))
+
+
+def scalar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Octal numbers, last parts of paths and trimmed names, over values that the table gives."""
+    c = _table(spark, sf_dir, "customer").select("c_custkey", F.conv(F.col("c_custkey").cast("string"), 10, 8).alias("digits"), F.concat(F.lit("/usr/"), "c_mktsegment", F.lit("/"), "c_name").alias("path"), F.concat(F.lit("\t "), "c_mktsegment", F.lit(" \n")).alias("comm"))
+    return c.select("c_custkey", octal(F.col("digits")).alias("number"), basename(F.col("path")).alias("last"), trim_comm(F.col("comm")).alias("comm"))
+
+
+def periodicity_every_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all lags below half of each group's rows; the correlation in six significant digits."""
+    p = patterns.periodicity(_events_series(spark, sf_dir), ["event_type"], tie=["event_id"], split_us=SPAN_US)
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.greatest("correlation", F.lit(1e-300)))))
+    return p.withColumn("correlation", F.when(F.col("correlation") > 0, F.round(F.col("correlation") * scale)).otherwise(0.0).cast("bigint"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         pair_calls, pair_calls_split, pair_mismatches, run_stats, durations_gaps, comm_asof, fd_asof_roots, fd_asof_full, calls_full, calls_filtered, filters_open, filters_path,
         filters_name, filters_process, comm_gate, tracepoint_select, is_call, flags_path_text, render_pairs, render_pairs_full, agg6, agg6_bytes, rollup_merge, collapse_default, collapse_comm_flags,
         rollup_paths, io_profile_events, io_profile_lineitem, time_series, bursts_events, bursts_lineitem, periodicity_events, trend_orders, patterns_events, decode_round_trip,
-        quarantined, transitions, gaps_by_call, call_times, path_buckets, by_directory, by_mount, by_user,
+        quarantined, transitions, gaps_by_call, calls_hosts, calls_hosts_split, calls_filter_first, filters_thread, stats_map_events, saved_runs, collapsed_file,
+        rows_file, decode_present, scalar_text, periodicity_every_lag, call_times, path_buckets, by_directory, by_mount, by_user,
     )
 }

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,24 +77,26 @@ def quarantine(raw: DataFrame) -> DataFrame:
     return _typed(raw).where("not __ok").withColumn("reason", F.when(known, F.lit("too short")).otherwise(F.lit("unknown type"))).drop("__ok")
 
 
+def _number(value: Column, size: int) -> Column:
+    """The bytes of a whole number, least significant first; null counts as 0."""
+    v = F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+    digits = F.lpad(F.hex(v if size == 8 else v.bitwiseAND(F.lit((1 << 8 * size) - 1))), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))
+
+
+def _text(value: Column, size: int) -> Column:
+    """The first ``size`` bytes of a text, filled up with zeros; null counts as no text."""
+    return F.rpad(F.substring(F.encode(F.coalesce(value, F.lit("")), "utf-8"), 1, size), size, F.unhex(F.lit("00")))
+
+
 def encode_events(events: DataFrame) -> DataFrame:
     """Typed events as raw records, laid out as ``LAYOUT`` says: the source of a replay. Nulls become 0 or no text."""
-    formats = {"u32": "<I", "s32": "<i", "s64": "<q"}
-
-    def pack(row: dict) -> bytes:
-        layout = LAYOUT[KIND_OF_TYPE[row["event_type"]]]
-        out = bytearray(_least(KIND_OF_TYPE[row["event_type"]]))
-        struct.pack_into("<IIq", out, 0, row["event_type"], row["trace_id"], row["time_ns"])
-        for name, (how, offset, size) in layout.items():
-            if how == "text":
-                text = (row[name] or "").encode()[:size]
-                out[offset : offset + len(text)] = text
-            else:
-                struct.pack_into(formats[how], out, offset, row[name] or 0)
-        return bytes(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("seq"), pa.array(map(pack, b.to_pylist()), pa.binary())], ["seq", "payload"])
-
-    return events.select(*[c.split(" ")[0] for c in EVENTS.split(", ")]).mapInArrow(run, "seq bigint, payload binary")
+    c = F.col
+    head = [_number(c("event_type"), 4), _number(c("trace_id"), 4), _number(c("time_ns"), 8)]
+    payload = None
+    for kind, layout in LAYOUT.items():
+        types = [t for t, k in KIND_OF_TYPE.items() if k == kind]
+        fields = [_text(c(n), size) if how == "text" else _number(c(n), size) for n, (how, offset, size) in sorted(layout.items(), key=lambda f: f[1][1])]
+        made = F.concat(*head, *fields)
+        payload = F.when(c("event_type").isin(types), made) if payload is None else payload.when(c("event_type").isin(types), made)
+    return events.select("seq", payload.alias("payload"))

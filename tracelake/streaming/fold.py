@@ -22,6 +22,7 @@ class ProcessState:
     files: dict[int, tuple[str, int, bool]] = field(default_factory=dict)
     last_exit: dict[int, int] = field(default_factory=dict)
     mismatches: int = 0
+    mismatched: dict | None = None
 
 
 def _file(kind: str, fd: int | None, name: str, flags: int, oldname: str | None = None, snap: bool = False) -> dict:
@@ -29,7 +30,12 @@ def _file(kind: str, fd: int | None, name: str, flags: int, oldname: str | None
 
 
 def step(s: ProcessState, e: dict, dim: dict[int, tuple[str, str]], comm: str = "", path: str = "", filter_first: bool = True) -> dict | None:
-    """Take one event and return the call that it completes, if any. ``dim``: name and record kind by enter id."""
+    """Take one event and return the call that it completes, if any. ``dim``: name and record kind by enter id.
+
+    An enter may carry what the snapshots of the process table say of its thread and descriptor: ``exe_comm``, ``snap_name``,
+    ``snap_flags``. A pair whose ids do not fit is left in ``s.mismatched``.
+    """
+    s.mismatched = None
     tid, name_kind = e["tid"], dim.get(e["trace_id"])
     if e["phase"] == "enter":
         kind = name_kind[1] if name_kind else None
@@ -44,12 +50,12 @@ def step(s: ProcessState, e: dict, dim: dict[int, tuple[str, str]], comm: str =
     if enter is None:
         return None
     if enter["trace_id"] - 1 != e["trace_id"]:
-        s.mismatches += 1
+        s.mismatches, s.mismatched = s.mismatches + 1, enter
         return None
     if enter["trace_id"] not in dim:
         return None
     name, kind = dim[enter["trace_id"]]
-    ret, fd, known = e["ret"], enter["fd"], s.comms.get(tid, "")
+    ret, fd, known = e["ret"], enter["fd"], s.comms.get(tid, enter.get("exe_comm") or "")
     new_fd, failed = (None, True) if ret is None else (int32(ret), ret < 0)
     file, held = None, None
     if kind == "open":
@@ -68,7 +74,8 @@ def step(s: ProcessState, e: dict, dim: dict[int, tuple[str, str]], comm: str =
     elif kind == "path":
         file = _file("path", None, enter["path"] or "", UNKNOWN)
     elif kind in ("fd", "dup3", "fcntl"):
-        held = s.files.get(fd, ("", UNKNOWN, True))
+        flags = enter.get("snap_flags")
+        held = s.files.get(fd, (enter.get("snap_name") or "", UNKNOWN if flags is None else flags, True))
         file = _file("fd", fd, held[0], held[1], snap=held[2])
         if name == "close":
             s.files.pop(fd, None)

@@ -2,7 +2,8 @@
 
 Each process keeps its events in a buffer until the watermark has passed them, sorts what is due by (time, number), and folds it
 into its state. Pending enters wait for their exits without limit; with ``max_pending_ns`` they are dropped when the watermark has
-left them behind by more than that, and their later exits complete nothing. Needs the RocksDB state store provider.
+left them behind by more than that, and their later exits complete nothing. With ``audit`` every row has an ``outcome``: completed,
+mismatch (the ids of enter and exit do not fit) or expired. Needs the RocksDB state store provider.
 """
 
 from __future__ import annotations
@@ -15,12 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tracelake.schema import EVENTS, KEYS6, PAIRS
+from tracelake.functions.dims import KINDS, MORE_KINDS, io_class
+from tracelake.functions.render import file_flags, file_name
+from tracelake.functions.text import trim_comm
+from tracelake.operators.aggregate import agg6, merge, moved_bytes
+from tracelake.schema import AGG6, EVENTS, KEYS6, PAIRS
+from tracelake.sources.raw import decode_events
 from tracelake.streaming.fold import ProcessState, step
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = [c.split(" ")[0] for c in EVENTS.split(", ")]
 OUT = PAIRS
+NAMES = [c.split(" ")[0] for c in OUT.split(", ")]
+#: What the snapshots of the process table add to an enter.
+HELD = ("exe_comm", "snap_name", "snap_flags")
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -29,9 +38,15 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int | None =
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
+def read_raw(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same over files of raw records (seq, payload), decoded on the way; records that no layout fits are left out."""
+    reader = spark.readStream.schema("seq bigint, payload binary")
+    return decode_events((reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path))
+
+
 class PairProcessor(StatefulProcessor):
-    def __init__(self, dim: Mapping[int, tuple[str, str]], comm: str, path: str, max_pending_ns: int | None):
-        self.dim, self.comm, self.path, self.max_pending_ns = dict(dim), comm, path, max_pending_ns
+    def __init__(self, dim: Mapping[int, tuple[str, str]], comm: str, path: str, max_pending_ns: int | None, filter_first: bool, audit: bool):
+        self.dim, self.comm, self.path, self.max_pending_ns, self.filter_first, self.audit = dict(dim), comm, path, max_pending_ns, filter_first, audit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -44,7 +59,8 @@ class PairProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for r in pdf[COLUMNS].astype(object).where(pdf[COLUMNS].notna(), None).to_dict("records"):
+            own = pdf[[c for c in (*COLUMNS, *HELD) if c in pdf.columns]]
+            for r in own.astype(object).where(own.notna(), None).to_dict("records"):
                 row = {k: v if v is None or isinstance(v, str) else int(v) for k, v in r.items()}
                 self.buffer.updateValue((row["time_ns"], row["seq"]), (json.dumps(row),))
                 # Event times are whole milliseconds to a timer: one later, so that the watermark has passed the row.
@@ -64,10 +80,15 @@ class PairProcessor(StatefulProcessor):
         old = ({k: v["seq"] for k, v in s.pending.items()}, dict(s.comms), dict(s.files), dict(s.last_exit))
         out = []
         for k in due:
-            if (made := step(s, json.loads(self.buffer.getValue(k)[0]), self.dim, self.comm, self.path)) is not None:
-                out.append(made)
+            event = json.loads(self.buffer.getValue(k)[0])
+            if (made := step(s, event, self.dim, self.comm, self.path, self.filter_first)) is not None:
+                out.append(made | {"outcome": "completed"})
+            elif self.audit and s.mismatched is not None:
+                out.append(self._lost(s.mismatched, event) | {"outcome": "mismatch"})
             self.buffer.removeKey(k)
         if self.max_pending_ns is not None:
+            if self.audit:
+                out += [self._lost(e) | {"outcome": "expired"} for e in s.pending.values() if e["time_ns"] < due_ns - self.max_pending_ns]
             s.pending = {t: e for t, e in s.pending.items() if e["time_ns"] >= due_ns - self.max_pending_ns}
         new = ({k: v["seq"] for k, v in s.pending.items()}, s.comms, s.files, s.last_exit)
         write = (lambda t: (json.dumps(s.pending[t]),), lambda t: (s.comms[t],), lambda f: s.files[f], lambda t: (s.last_exit[t],))
@@ -78,16 +99,38 @@ class PairProcessor(StatefulProcessor):
             for k in a:
                 if k not in b:
                     state.removeKey((k,))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
+        if not self.audit:
+            yield pd.DataFrame(out, columns=NAMES)
+            return
+        whole = pd.DataFrame([dict.fromkeys(NAMES) | row for row in out], columns=[*NAMES, "outcome"], dtype=object)
+        yield whole.where(whole.notna(), None)
+
+    def _lost(self, enter: dict, end: dict | None = None) -> dict:
+        """An enter that completes nothing, with the exit that consumed it, if any."""
+        end = end or dict.fromkeys(COLUMNS)
+        row = {"pid": enter["pid"], "tid": enter["tid"], "enter_seq": enter["seq"], "exit_seq": end["seq"], "enter_time_ns": enter["time_ns"], "exit_time_ns": end["time_ns"]}
+        return row | {"enter_trace_id": enter["trace_id"], "exit_trace_id": end["trace_id"], "name": self.dim.get(enter["trace_id"], ("",))[0], "ret": end["ret"]}
 
     def close(self) -> None:
         pass
 
 
-def pair_stream(events: DataFrame, dim: Mapping[int, tuple[str, str]], delay: str = "10 seconds", comm: str = "", path: str = "", max_pending_ns: int | None = None) -> DataFrame:
-    """A stream of completed calls from a stream of typed events, with the state kept by process."""
-    timed = events.withColumn("ts", F.timestamp_micros((F.col("time_ns") / 1000).cast("bigint"))).withWatermark("ts", delay)
-    return timed.groupBy("pid").transformWithStateInPandas(PairProcessor(dim, comm, path, max_pending_ns), OUT, "append", "eventTime")
+def pair_stream(
+    events: DataFrame, dim: Mapping[int, tuple[str, str]], delay: str = "10 seconds", comm: str = "", path: str = "", max_pending_ns: int | None = None, filter_first: bool = True, audit: bool = False,
+    proc_fd: DataFrame | None = None, proc_exe: DataFrame | None = None,
+) -> DataFrame:
+    """A stream of completed calls from a stream of typed events, with the state kept by process.
+
+    With ``filter_first`` a call that the filters drop does not change the table of open files; the batch form's option of
+    that name is off by default. ``proc_fd`` and ``proc_exe`` are snapshots as for the batch form, joined to the enters.
+    """
+    if proc_exe is not None:
+        events = events.join(proc_exe.select("tid", "exe_comm"), "tid", "left")
+    if proc_fd is not None:
+        events = events.join(proc_fd.select("pid", "fd", F.col("name").alias("snap_name"), F.col("flags").alias("snap_flags")), ["pid", "fd"], "left")
+    timed = events.withColumn("ts", F.timestamp_micros(F.expr("time_ns div 1000"))).withWatermark("ts", delay)
+    out = OUT + ", outcome string" if audit else OUT
+    return timed.groupBy("pid").transformWithStateInPandas(PairProcessor(dim, comm, path, max_pending_ns, filter_first, audit), out, "append", "eventTime")
 
 
 def dim_map(dim: DataFrame) -> dict[int, tuple[str, str]]:
@@ -95,16 +138,40 @@ def dim_map(dim: DataFrame) -> dict[int, tuple[str, str]]:
     return {r[0]: (r[1], r[2]) for r in dim.where("phase = 'enter'").select("trace_id", "name", "record_kind").collect()}
 
 
+def _with_class(calls: DataFrame) -> DataFrame:
+    """``calls`` with ``io_class``, from the names of the calls."""
+    if "io_class" in calls.columns:
+        return calls
+    of = {n: io_class(n) for kinds in (KINDS, MORE_KINDS) for names in kinds.values() for n in names.split()}
+    known = F.create_map(*[F.lit(x) for n, k in of.items() if k != "none" for x in (n, k)])
+    return calls.withColumn("io_class", F.coalesce(known[F.col("name")], F.lit("none")))
+
+
 def window_counts(calls: DataFrame, width: str = "1 minute", delay: str = "10 seconds") -> DataFrame:
     """The six-key aggregate in windows of the exit's time, from a stream (or a table) of completed calls."""
-    from tracelake.functions.render import file_flags, file_name
-    from tracelake.functions.text import trim_comm
-
-    rows = calls.select(
-        F.timestamp_micros((F.col("exit_time_ns") / 1000).cast("bigint")).alias("ts"), file_name(F.col("file")).alias("path"), F.col("enter_trace_id").alias("trace_id"),
-        trim_comm(F.col("comm")).alias("comm"), "pid", "tid", file_flags(F.col("file")).alias("flags"), "duration", "gap",
+    rows = _with_class(calls).select(
+        F.timestamp_micros(F.expr("exit_time_ns div 1000")).alias("ts"), file_name(F.col("file")).alias("path"), F.col("enter_trace_id").alias("trace_id"),
+        trim_comm(F.col("comm")).alias("comm"), "pid", "tid", file_flags(F.col("file")).alias("flags"), "duration", "gap", moved_bytes().alias("moved"),
     )
-    return rows.withWatermark("ts", delay).groupBy(F.window("ts", width), *KEYS6).agg(F.count("*").alias("count"), F.sum("duration").alias("duration"), F.sum("gap").alias("duration_to_prev"))
+    sums = [F.count("*").alias("count"), F.sum("duration").alias("duration"), F.sum("gap").alias("duration_to_prev"), F.sum("moved").alias("bytes")]
+    return rows.withWatermark("ts", delay).groupBy(F.window("ts", width), *KEYS6).agg(*sums)
+
+
+def add_to_aggregate(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``run_once``: each batch's six-key aggregate, bytes included, as a part of the table at ``path``.
+
+    A batch that is tried again replaces its part, so every call counts once. ``saved_aggregate`` merges the parts.
+    """
+
+    def sink(calls: DataFrame, batch: int) -> None:
+        agg6(_with_class(calls), with_bytes=True).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return sink
+
+
+def saved_aggregate(spark: SparkSession, path: str) -> DataFrame:
+    """The aggregate of all batches so far."""
+    return merge(spark.read.schema(AGG6).option("basePath", path).parquet(path))
 
 
 def run_once(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", timeout: float | None = None) -> None:
