@@ -31,6 +31,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make a context sensitive, in lower case.
 SENSITIVE = ("key", "secret", "token", "passw", "pwd", "credential", "bearer", "authorization", "private", "signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PARTS = re.compile(r"[+/_=-]+")
 #: Characters before a candidate that must hold a sensitive word, characters around it that prime the compressor, the
 #: least share of new bytes in its characters, their least number, and the share, of the bytes that random characters of
 #: its alphabet take, from which on it is new anyway.
@@ -87,8 +88,9 @@ class Novelty:
     repeats: bool = True
 
     def added(self, before: str, candidate: str, after: str) -> int:
-        if not self.repeats:
+        if not self.repeats:  # first, as a window may hold a part of another occurrence
             before, after = before.replace(candidate, " "), after.replace(candidate, " ")
+        before, after = before[-AROUND:], after[:AROUND]
         prime = f"{self.identifiers} {self.identifiers.upper()} {after} {before}".encode("utf-8", "replace")
         packer = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
         return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
@@ -98,7 +100,7 @@ class Novelty:
         candidate = text[start:end]
         # A long random string takes less than a byte a character, as its alphabet is limited.
         least = min(LEAST_SHARE * len(candidate), RANDOM_SHARE * random_bytes(alphabet(candidate), len(candidate)))
-        return self.added(text[max(0, start - AROUND) : start], candidate, text[end : end + AROUND]) >= max(LEAST_BYTES, least)
+        return self.added(text[:start], candidate, text[end:]) >= max(LEAST_BYTES, least)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -113,9 +115,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _named(s: str) -> bool:
+    """Whether words make up most of a string, as in names and paths: parts of letters alone in the case of a word."""
+    return sum(len(p) + 1 for p in PARTS.split(s) if len(p) > 2 and p.isalpha() and (p.islower() or p.isupper() or p.istitle())) > 0.6 * len(s)
+
+
 def _mixed(s: str) -> bool:
     kinds = (any(c.isdigit() for c in s), any(c.islower() for c in s), any(c.isupper() for c in s))
-    return sum(kinds) >= 2 and kinds[0]
+    return sum(kinds) >= 2 and kinds[0] and not _named(s)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:

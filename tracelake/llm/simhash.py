@@ -91,7 +91,7 @@ def long_masks(pieces: int = PAIR_PIECES) -> tuple[list[int], list[int]]:
     """
     masks, starts = [], []
     for i, chain in enumerate(ring()):
-        bits = [b for b in range(BITS) if chain[2] & ~chain[0] >> b & 1]
+        bits = [b for b in range(BITS) if (chain[2] & ~chain[0]) >> b & 1]
         for p, q in combinations(range(pieces), 2):
             out = [b for k, b in enumerate(bits) if k * pieces // len(bits) not in (p, q)]
             masks.append(chain[0] | sum(1 << b for b in out))
