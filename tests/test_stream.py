@@ -64,7 +64,7 @@ def test_windowed_counts(spark):
 
 
 def test_stream_audit(spark, tmp_path):
-    t = Trace().add("enter", "read", fd=1).call("write", 5, dt=7_200_000, tid=12, fd=1).add("enter", "read", fd=2, tid=13).add("exit", "write", ret=1, tid=13).add("exit", "read", dt=7_200_000, ret=3)
+    t = Trace().add("enter", "read", fd=1).call("write", 5, dt=1_000, tid=12, fd=1).add("enter", "read", fd=2, tid=13).add("exit", "write", ret=1, tid=13).add("exit", "read", dt=7_200_000, ret=3)
     rows = stream_rows(spark, tmp_path, spread(t, 3), max_pending_ns=3_600_000_000_000, audit=True)
     assert [(r["name"], r["tid"], r["outcome"], r["exit_seq"] is None) for r in sorted(rows, key=lambda r: r["tid"])] == [("read", 11, "expired", True), ("write", 12, "completed", False), ("read", 13, "mismatch", False)]
 
