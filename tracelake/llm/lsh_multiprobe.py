@@ -172,12 +172,10 @@ def calibrate(rows: DataFrame, asked: DataFrame, h: Hashes, k: int, dim: int) ->
     return need, float((first < need).mean())
 
 
-def _meet(hits: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Query and row of each pair: ``hits`` are the buckets that each query probes, rows lie sorted by bucket."""
-    q = np.repeat(np.arange(len(hits)), [sizes[h].sum() for h in hits])
-    b = np.concatenate(hits)
+def _meet(q: np.ndarray, b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Query and row of each pair: query ``q`` probes bucket ``b``, and rows lie sorted by bucket."""
     n = sizes[b]
-    return q, np.repeat(starts[b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(q, n), np.repeat(starts[b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Part:
@@ -246,11 +244,15 @@ def _pairs(data: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: st
                     r, part = np.divmod(np.unique(np.concatenate(where)), parts)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), t, np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(r), bool)), *(v.take(pa.array(r)) for v in c.columns)], ["t", "part", "asks", "id", "vec"])
 
-    def answer(t: int, part: Part, asker: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    def answer(t: int, p: int, part: Part, asker: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         probed = h.probes(t, unit(own), n)
-        at = np.minimum(np.searchsorted(part.keys, probed), len(part.keys) - 1)
-        hits = [np.unique(a[found]) for a, found in zip(at, part.keys[at] == probed, strict=True)]
-        row, col = _meet(hits, part.starts, part.counts)
+        # Only probes of buckets that this part may hold are looked up.
+        here = (p - part_of(probed, np.zeros(1, np.int64), parts)) % parts < salts(t, probed)
+        q, wanted = np.nonzero(here)[0], probed[here]
+        at = np.minimum(np.searchsorted(part.keys, wanted), len(part.keys) - 1)
+        found = part.keys[at] == wanted
+        q, bucket = np.divmod(np.unique(q[found] * len(part.keys) + at[found]), len(part.keys))
+        row, col = _meet(q, bucket, part.starts, part.counts)
         other = asker[row] != part.ids[col]
         row, col = row[other], col[other]
         met = np.bincount(row, minlength=len(own))
@@ -283,7 +285,7 @@ def _pairs(data: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: st
                     part = Part(h, int(t[i]), *(np.concatenate(z) for z in zip(*held, strict=True)))
                 for s in range(i, j if held else i, QUERY_BLOCK):
                     e = min(j, s + QUERY_BLOCK)
-                    yield answer(int(t[i]), part, ids[s:e], matrix(b.column(4).slice(s, e - s), dim))
+                    yield answer(int(t[i]), int(p[i]), part, ids[s:e], matrix(b.column(4).slice(s, e - s), dim))
 
     cells = f"t int, part int, asks boolean, id long, vec array<{kind}>"
     dealt = rows.mapInArrow(place, cells).union(asked.mapInArrow(ask, cells)).repartition("t", "part").sortWithinPartitions("t", "part", "asks")
