@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on small tables and on odd rows."""
 
 import hashlib
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -292,6 +293,19 @@ def test_lines_of_a_key_and_long_names():
         assert secrets_zstd.novel_spans(f"key {name}", [], n) == [], name
 
 
+@pytest.mark.parametrize("size", [20, 300])
+def test_other_occurrences_at_the_edge_of_what_primes_are_left_out(size):
+    """Wherever the text around a key is cut, no part of another occurrence stays in it."""
+    r, n = np.random.default_rng(size), secrets_zstd.Novelty(repeats=False)
+    key = "".join(r.choice(list(string.ascii_letters + string.digits), size))
+    for gap in range(secrets_zstd.AROUND - size - 2, secrets_zstd.AROUND + 3):
+        t = f"{key}{'.' * gap}{key}{'.' * gap}{key}"
+        before, after = n._around(t, size + gap, 2 * size + gap)
+        assert not set(before + after) - {".", " "}, gap
+        assert len(before) <= secrets_zstd.AROUND + 1 and len(after) <= secrets_zstd.AROUND + 1
+    assert n._around(key * 50, 20 * size, 21 * size)[0].strip() == ""
+
+
 def test_secret_scan_counts(spark, data):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = QUERIES["op10_secrets"](spark, data).collect()

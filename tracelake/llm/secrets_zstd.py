@@ -87,10 +87,19 @@ class Novelty:
     identifiers: str = IDENTIFIERS
     repeats: bool = True
 
-    def added(self, before: str, candidate: str, after: str) -> int:
-        if not self.repeats:  # first, as a window may hold a part of another occurrence
-            before, after = before.replace(candidate, " "), after.replace(candidate, " ")
-        before, after = before[-AROUND:], after[:AROUND]
+    def _around(self, text: str, start: int, end: int) -> tuple[str, str]:
+        """AROUND characters on each side. Without ``repeats`` other occurrences are left out, those that a side's far end cuts too."""
+        candidate, size, lo, hi = text[start:end], end - start, max(0, start - AROUND), end + AROUND
+        if self.repeats:
+            return text[lo:start], text[end:hi]
+        if (cut := text.find(candidate, max(0, lo - size + 1), min(start, lo + size - 1))) >= 0:
+            lo = cut
+        if (cut := text.find(candidate, max(end, hi - size + 1), hi + size - 1)) >= 0:
+            hi = cut + size
+        return text[lo:start].replace(candidate, " "), text[end:hi].replace(candidate, " ")
+
+    def added(self, text: str, start: int, end: int) -> int:
+        candidate, (before, after) = text[start:end], self._around(text, start, end)
         prime = f"{self.identifiers} {self.identifiers.upper()} {after} {before}".encode("utf-8", "replace")
         packer = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
         return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
@@ -100,7 +109,7 @@ class Novelty:
         candidate = text[start:end]
         # A long random string takes less than a byte a character, as its alphabet is limited.
         least = min(LEAST_SHARE * len(candidate), RANDOM_SHARE * random_bytes(alphabet(candidate), len(candidate)))
-        return self.added(text[:start], candidate, text[end:]) >= max(LEAST_BYTES, least)
+        return self.added(text, start, end) >= max(LEAST_BYTES, least)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
