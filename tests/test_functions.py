@@ -110,6 +110,8 @@ def test_collapse_and_sinks(spark, tmp_path):
     assert {r["count"] for r in aggregate.merge(sinks.load_aggregate(spark, str(tmp_path / "agg"))).collect()} == {2, 4}
     first = sinks.write_collapsed(stacks, str(tmp_path / "run"), ("pid", "path"), "count")
     assert sinks.write_collapsed(stacks.limit(0), str(tmp_path / "run"), ("pid", "path"), "count") == first and spark.read.text(first).count() == 2
+    remote = sinks.write_collapsed(stacks, f"file://{tmp_path}/uri", ("pid", "path"), "count")
+    assert remote.startswith("file:///") and list(tmp_path.glob("uri.pid_path-by-count.collapsed/part-*")) and spark.read.text(remote).count() == 2
     nodes = aggregate.rollup_paths(a, 2)
     assert {(r["level1"], r["level2"], r["count"]) for r in nodes.collect()} == {(None, None, 3), ("a", None, 3), ("a", "b", 3)}
 

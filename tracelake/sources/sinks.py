@@ -34,11 +34,12 @@ def load_aggregate(spark: SparkSession, path: str) -> DataFrame:
 
 
 def collapsed_path(base: str, fields: Sequence[str], count: str) -> str:
-    return f"{base}.{':'.join(fields)}-by-{count}.collapsed"
+    """``base``, which may name a file system, and a suffix without a colon, which cannot stand in the last part of a Hadoop path."""
+    return f"{base}.{'_'.join(fields)}-by-{count}.collapsed"
 
 
 def write_collapsed(stacks: DataFrame, base: str, fields: Sequence[str], count: str) -> str:
     """The lines of the stacks as compressed text under a name that tells fields and measure; kept as it is if it exists."""
-    path = collapsed_path(base, fields, count).replace(":", "_")  # a colon cannot stand in a Hadoop path
+    path = collapsed_path(base, fields, count)
     lines(stacks).write.mode("ignore").option("compression", "gzip").text(path)
     return path
