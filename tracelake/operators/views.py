@@ -33,15 +33,16 @@ def by_directory(aggregate: DataFrame) -> DataFrame:
 def by_mount(aggregate: DataFrame, mounts: DataFrame) -> DataFrame:
     """The aggregate by mount point (``mount``, ``device``): the longest that is a beginning of the path.
 
-    Every path offers its beginnings as keys, as many as it has parts, so this is an equi-join.
+    Every path offers its beginnings as keys, as many as it has parts, so this is an equi-join; the sums of a path go with
+    it, so the aggregate is read once.
     """
     parts = F.split("path", "/", -1)
     starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n), "/")))
-    paths = aggregate.select("path").distinct().where(F.col("path").startswith("/"))
-    keys = paths.select("path", F.explode(F.array_distinct(starts)).alias("mount"))
-    best = keys.join(mounts, "mount").groupBy("path").agg(F.max_by(F.struct("mount", "device"), F.length("mount")).alias("m"))
-    j = aggregate.join(best, "path", "left")
-    return j.groupBy(F.coalesce("m.mount", F.lit("none")).alias("mount"), F.coalesce("m.device", F.lit("none")).alias("device")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
+    sums = aggregate.groupBy("path").agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
+    keys = sums.withColumn("mount", F.explode_outer(F.when(F.col("path").startswith("/"), F.array_distinct(starts))))
+    met = keys.join(mounts.select("mount", "device", F.length("mount").alias("length")), "mount", "left")
+    best = met.groupBy("path").agg(F.max_by(F.struct("mount", "device"), "length").alias("m"), F.first("count").alias("count"), F.first("duration").alias("duration"))
+    return best.groupBy(F.coalesce("m.mount", F.lit("none")).alias("mount"), F.coalesce("m.device", F.lit("none")).alias("device")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
 
 
 def gaps_by_call(calls: DataFrame) -> DataFrame:
