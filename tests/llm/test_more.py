@@ -277,3 +277,13 @@ def test_spans_of_quotients_give_the_same_quotas(spark, monkeypatch):
     items = spark.createDataFrame(rows, "g int, i bigint, s double")
     made = [sorted(map(tuple, mixing.apportion(items, ["g"], "i", "s", F.lit(333).cast("bigint"), F.lit(30), spread).select("g", "i", "quota").collect())) for spread in (False, True)]
     assert made[0] == made[1] and sum(q for *_, q in made[0]) == 666
+
+
+def test_mix_agrees_where_different_texts_share_id_and_size(spark):
+    texts = [f"w{i} " + " ".join(f"x{i}y{j}" for j in range(30)) for i in range(40)]
+    rows = [(None if i % 2 else 3, s, t, len(t)) for i, t in enumerate(texts) for s in ("a", "b", "c", None)]
+    made = []
+    for order, parts in ((1, 2), (-1, 7)):
+        docs = spark.createDataFrame(rows[::order], "doc_id bigint, source string, text string, n_chars int").repartition(parts)
+        made.append(sorted(map(repr, mixing.mix(docs).collect())))
+    assert made[0] == made[1] and len(made[0]) > 100

@@ -92,7 +92,9 @@ PLANNED = ("source_size", "target", "taken", "passes", "from1", "to1", "from2",
 
 def _packed(rows: DataFrame, id_col: str, source_col: str, size: Column) -> DataFrame:
     """The columns of ``rows`` in one struct, so that no name of theirs can clash, and what the plan works on."""
-    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__src"), size.alias("__size"))
+    every = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()])
+    packed = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.select(packed.alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__src"), size.alias("__size"), every.alias("__all"))
 
 
 def plan(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
@@ -100,9 +102,9 @@ def plan(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
     the word ranges [``from1``, ``to1``), [``from2``, ``to2``) of one more copy, each empty where from = to.
 
     ``size_col`` holds each row's words. Sources are ordered by code point, null last, and weigh 5, 2, 1 in turn. Rows
-    without words get 0. Repeated rows count each on its own; a null id is an id of its own. The sums over
-    a source come near its target, off by less than a block for each shard and pass; no row exceeds CAP times its size.
-    Reruns agree. Columns named like those that are added are replaced. An empty table gives an empty result.
+    without words get 0. Repeated rows count each on its own; a null id is an id of its own. Rows that share
+    id and size stand in the order of a hash over all their columns, so reruns agree. The sums over a source come near its
+    target, off by less than a block for each shard and pass; no row exceeds CAP times its size. Columns named like those that are added are replaced. An empty table gives an empty result.
     """
     planned = _plan(_packed(rows, id_col, source_col, F.col(f"`{size_col}`")))
     return planned.select(*[F.col(f"__row.`{c}`").alias(c) for c in rows.columns if c not in PLANNED], *PLANNED)
@@ -133,7 +135,7 @@ def _plan(rows: DataFrame) -> DataFrame:
         F.when(has, F.expr("quota % blocks")).otherwise(0).alias("rest"),
         F.when(has, start % F.col("blocks")).otherwise(0).alias("begin"),
     )
-    line = Window.partitionBy("ord", "__shard").orderBy(_digest("__id", "order"), "__id", "__size")
+    line = Window.partitionBy("ord", "__shard").orderBy(_digest("__id", "order"), "__id", "__size", "__all")
     lined = placed.withColumn("__end", F.sum("__size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     lined = lined.join(shares, (F.col("ord") == F.col("__ord")) & (F.col("__shard") == F.col("__sh")))
     begin, size = F.col("__end") - F.col("__size"), F.col("__size")
