@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, knn_voronoi, line_dedup, lsh_multiprobe, mixing, pii_feistel, rule_quality, secrets_zstd, simhash, toxicity_nnpu
+from tracelake.llm import bpe, cross_parse, knn_voronoi, line_dedup, lsh_multiprobe, merkle_manifest, mixing, pii_feistel, rule_quality, secrets_zstd, simhash, token_align, toxicity_nnpu
 from tracelake.llm.common import cut, held_out, table
 
 #: The key of the registered query; whoever runs the operator on real data passes their own.
@@ -75,6 +75,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_zstd.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cross_parse.predict(docs, cross_parse.fit(docs))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.query(table(spark, sf_dir, "documents"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.links(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
+    "op11_cross_parse": op11_cross_parse,
+    "op12_merkle": op12_merkle,
+    "op13_token_align": op13_token_align,
 }
 SQL: dict[str, str] = {
     "op1_voronoi_knn": """
@@ -97,4 +113,5 @@ SELECT * FROM r WHERE rank <= 10
 """,
     "op5_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op12_merkle": merkle_manifest.SQL,
 }
