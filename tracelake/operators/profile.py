@@ -80,6 +80,67 @@ def approx_profile(rows: DataFrame, by: Sequence[str], latency: str = "latency_n
     return rows.groupBy(*by).agg(F.count("*").alias("count"), *cells)
 
 
+#: Entries that bound the size of a sketch, and so its error.
+SKETCH_K = 800
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """How far, as a share of the rows, a quantile's place may be from that asked for, in 99 of 100 sketches of size ``k``."""
+    return 2.296 / k**0.9723
+
+
+def sketch_profile(rows: DataFrame, by: Sequence[str], latency: str = "latency_ns", size: str = "bytes", k: int = SKETCH_K) -> DataFrame:
+    """A row for each group that can be stored and merged later (``merge_sketches``): ``count``, the rows with a latency; for both columns total,
+    least and greatest, and a KLL sketch of its values.
+
+    A sketch holds a few thousand numbers at most, however many rows it has seen, and partial sketches are made before the
+    shuffle, so no group is sorted or gathered. Nulls are left out of their column; a group without values of a column has no
+    sketch of it. Null keys make a group of their own.
+    """
+    cells = []
+    for name, c in (("latency", latency), ("bytes", size)):
+        v = F.col(c).cast("bigint")
+        cells += [F.count(v).alias(f"{name}_count"), F.sum(v).alias(f"{name}_total"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), F.kll_sketch_agg_bigint(v, k).alias(f"{name}_sketch")]
+    return rows.groupBy(*by).agg(*cells)
+
+
+def merge_sketches(parts: DataFrame, by: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """One row a group from the rows of any number of runs or days; the same columns, so merged ones merge again. ``parts`` may hold coarser
+    keys than they were made with: what is not in ``by`` is summed up."""
+    cells = []
+    for name in ("latency", "bytes"):
+        cells += [F.sum(f"{name}_count").alias(f"{name}_count"), F.sum(f"{name}_total").alias(f"{name}_total"), F.min(f"{name}_min").alias(f"{name}_min"), F.max(f"{name}_max").alias(f"{name}_max")]
+        cells.append(F.kll_merge_agg_bigint(f"{name}_sketch", k).alias(f"{name}_sketch"))
+    return parts.groupBy(*by).agg(*cells)
+
+
+def sketch_quantiles(profile: DataFrame, by: Sequence[str], quantiles: Sequence[float] = (0.5, *QUANTILES)) -> DataFrame:
+    """``by``, ``what`` (latency or bytes), ``count``, ``q`` and ``value``: a value that occurs, whose place is within ``rank_error`` of q.
+
+    The places 0 and 1 are the exact extremes, which travel beside the sketches.
+    """
+    what = [F.struct(F.lit(n).alias("what"), F.col(f"{n}_count").alias("count"), F.col(f"{n}_min").alias("low"), F.col(f"{n}_max").alias("high"), F.col(f"{n}_sketch").alias("sketch")) for n in ("latency", "bytes")]
+    rows = profile.select(*by, F.explode(F.array(*what)).alias("x")).select(*by, "x.*").where("count > 0")
+
+    def value(q: float) -> Column:
+        return F.col("low") if q <= 0 else F.col("high") if q >= 1 else F.kll_sketch_get_quantile_bigint("sketch", F.lit(q))
+
+    places = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), value(q).alias("value")) for q in map(float, quantiles)])).alias("p")
+    return rows.select(*by, "what", "count", places).select(*by, "what", "count", "p.q", "p.value")
+
+
+def rank_bounds(rows: DataFrame, found: DataFrame, by: Sequence[str], latency: str = "latency_ns", size: str = "bytes") -> DataFrame:
+    """``found`` (of ``sketch_quantiles``) with the exact places of its values: ``below`` and ``upto``, the shares of rows less than the value, and not more.
+
+    Equal values are counted before the join, so a group's rows never meet the quantiles one by one.
+    """
+    both = F.array(F.struct(F.lit("latency").alias("what"), F.col(latency).cast("bigint").alias("v")), F.struct(F.lit("bytes").alias("what"), F.col(size).cast("bigint").alias("v")))
+    counted = rows.select(*by, F.explode(both).alias("x")).select(*by, "x.*").where("v is not null").groupBy(*by, "what", "v").agg(F.count("*").alias("n"))
+    met = counted.join(found, [*by, "what"])
+    places = [F.sum(F.when(test, F.col("n")).otherwise(0)) for test in (F.col("v") < F.col("value"), F.col("v") <= F.col("value"))]
+    return met.groupBy(*by, "what", "count", "q", "value").agg(*[(p / F.col("count")).alias(n) for p, n in zip(places, ("below", "upto"), strict=True)])
+
+
 def time_series(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), latency: str = "latency_ns", size: str = "bytes", split_us: int | None = None) -> DataFrame:
     """The rows in the order of time within each group, with their places from 1."""
     d = rows.select(*by, *tie, micros(ts).alias("__us"), F.col(ts).alias("ts"), F.col(latency).alias("latency_ns"), F.col(size).alias("bytes"))

@@ -258,4 +258,10 @@ SQL: dict[str, str] = {
         SELECT CASE WHEN path NOT LIKE '/%' THEN 'none' WHEN len(t) % 2 = 0 THEN '/data/' || t ELSE '/' END AS mount,
         CASE WHEN path NOT LIKE '/%' THEN 'none' WHEN len(t) % 2 = 0 THEN 'dev-' || t ELSE 'root' END AS device, sum(count)::BIGINT AS count, sum(duration)::BIGINT AS duration FROM mo GROUP BY 1, 2""",
     "by_user": f"""{AGG} SELECT coalesce(c_name, '?') AS "user", sum(count)::BIGINT AS count, sum(duration)::BIGINT AS duration FROM ag LEFT JOIN customer ON pid = c_custkey + 1000 GROUP BY 1""",
+    "sketch_runs": f"""{SERIES}, n AS (SELECT g AS event_type, count(lat) AS latency, count(bytes) AS bytes FROM s GROUP BY g)
+        SELECT event_type, what, q::DOUBLE AS q, CASE WHEN what = 'bytes' THEN bytes ELSE latency END AS count, true AS near
+        FROM n, (VALUES ('latency'), ('bytes')) w(what), (VALUES (0.5), (0.95), (0.99)) p(q) WHERE CASE WHEN what = 'bytes' THEN bytes ELSE latency END > 0""",
+    "dump_round_trip": f"""{EV} SELECT row_number() OVER (ORDER BY seq) - 1 AS place, CASE WHEN phase = 'exit' THEN 8 WHEN kind = 'open' THEN 1 WHEN kind = 'fd' THEN 3 WHEN kind = 'null' THEN 5
+        WHEN kind = 'name' THEN 9 WHEN kind = 'path' THEN 11 ELSE 13 END AS event_type, phase, ev.trace_id, time_ns, pid, tid, coalesce(ret, 0)::BIGINT AS ret,
+        coalesce(path, '') AS path, coalesce(oldname, '') AS oldname, coalesce(newname, '') AS newname, coalesce(comm, '') AS comm FROM ev LEFT JOIN nm ON ev.trace_id = nm.trace_id AND phase = 'enter'""",
 }

@@ -12,10 +12,11 @@ from tracelake.functions.dims import syscall_dim
 from tracelake.functions.render import HEADER, file_flags, file_name
 from tracelake.functions.text import basename, flags_text, octal, path_stack, trim_comm
 from tracelake.operators import aggregate, fdtable, filters, pairing, patterns, profile, views
+from tracelake.operators.ordered import places
 from tracelake.plans.calls import Options, completed_calls, enriched_calls, selected
 from tracelake.scratch import cut, shared_dir
-from tracelake.sources import raw
-from tracelake.sources.sinks import load_aggregate, row_stream, save_aggregate, write_collapsed, write_rows
+from tracelake.sources import dump, raw
+from tracelake.sources.sinks import load_aggregate, load_runs, row_stream, save_aggregate, save_run, write_collapsed, write_rows
 from tracelake.sources.trace import HOSTS_IDS, hosts_trace, trace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,6 +351,35 @@ def periodicity_every_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("correlation", F.when(F.col("correlation") > 0, F.round(F.col("correlation") * scale)).otherwise(0.0).cast("bigint"))
 
 
+def sketch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from the sketches of two saved runs, one of them saved twice, and whether their exact places are as near as is promised.
+
+    Sketches are random: a place is held to twice the error that 99 of 100 keep.
+    """
+    rows, path = _events_series(spark, sf_dir), f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    for host, rest in (("even", 0), ("odd", 1), ("even", 0)):
+        save_run(profile.sketch_profile(rows.where(F.pmod("event_id", F.lit(2)) == rest), ["event_type"]), path, host, "events", "1")
+    found = profile.sketch_quantiles(profile.merge_sketches(load_runs(spark, path), ["event_type"]), ["event_type"])
+    e = 2 * profile.rank_error()
+    near = (F.col("below") <= F.col("q") + e) & (F.col("upto") >= F.col("q") - e)
+    return profile.rank_bounds(rows, cut(found), ["event_type"]).select("event_type", "what", "q", "count", near.alias("near"))
+
+
+def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace as a binary dump of several files, read again by ranges that cut records, and decoded; ``place`` is that of the record in the trace."""
+    dump.register(spark)
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    records = raw.encode_events(trace(spark, sf_dir)).repartitionByRange(6, "seq").sortWithinPartitions("seq")
+    records.write.format(dump.NAME).mode("append").save(path)
+    done = cut(raw.decode_events(spark.read.format(dump.NAME).option("rangeBytes", 1_000_003).load(path)))
+    file = F.shiftright("seq", dump.FILE_SHIFT)
+    at = places(done.withColumn("file", file), ["file"], ("seq",), "at")
+    before = {r["file"]: r["n"] for r in at.groupBy("file").agg(F.count("*").alias("n")).collect()}  # a row for each file
+    starts = F.create_map(*[F.lit(x) for f in before for x in (f, sum(n for g, n in before.items() if g < f))]) if before else F.create_map()
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("path", "oldname", "newname", "comm")]
+    return at.select((F.col("at") + starts[F.col("file")]).alias("place"), "event_type", "phase", "trace_id", "time_ns", "pid", "tid", F.coalesce("ret", F.lit(0)).alias("ret"), *texts)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -357,6 +387,6 @@ QUERIES: dict[str, Query] = {
         filters_name, filters_process, comm_gate, tracepoint_select, is_call, flags_path_text, render_pairs, render_pairs_full, agg6, agg6_bytes, rollup_merge, collapse_default, collapse_comm_flags,
         rollup_paths, io_profile_events, io_profile_lineitem, time_series, bursts_events, bursts_lineitem, periodicity_events, trend_orders, patterns_events, decode_round_trip,
         quarantined, transitions, gaps_by_call, calls_hosts, calls_hosts_split, calls_filter_first, filters_thread, stats_map_events, saved_runs, collapsed_file,
-        rows_file, decode_present, scalar_text, periodicity_every_lag, call_times, path_buckets, by_directory, by_mount, by_user,
+        rows_file, decode_present, scalar_text, periodicity_every_lag, call_times, path_buckets, by_directory, by_mount, by_user, sketch_runs, dump_round_trip,
     )
 }

@@ -23,14 +23,34 @@ def write_rows(calls: DataFrame, path: str) -> None:
     head.unionByName(row_stream(calls)).orderBy("exit_time_ns", "exit_seq").select("value").write.text(path)
 
 
+RUN = ("host", "run_name", "run_ts")
+
+
+def save_run(rows: DataFrame, path: str, host: str, run_name: str, run_ts: str) -> None:
+    """A run's rows (an aggregate, sketches) as the run's part of a table partitioned by host, run and time.
+
+    Saving a run again, or after a try that failed, replaces its part and no other; a failure midway leaves what was there.
+    """
+    tagged = rows.withColumns(dict(zip(RUN, map(F.lit, (host, run_name, run_ts)), strict=True)))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*RUN).parquet(path)
+
+
+def load_runs(spark: SparkSession, path: str, host: str | None = None, run_name: str | None = None, run_ts: str | None = None) -> DataFrame:
+    """The rows of the runs of these names (all, where none is given), with the columns of ``RUN`` as text; only their folders are read."""
+    found = spark.read.parquet(path)
+    found = found.withColumns({c: F.col(c).cast("string") for c in RUN})
+    for column, value in zip(RUN, (host, run_name, run_ts), strict=True):
+        found = found if value is None else found.where(F.col(column) == value)
+    return found
+
+
 def save_aggregate(aggregate: DataFrame, path: str, host: str, run_name: str, run_ts: str) -> None:
-    """Add a run's aggregate to a table partitioned by host, run and time; a run that fails leaves nothing."""
-    tagged = aggregate.select(*KEYS6, *MEASURES).withColumns({"host": F.lit(host), "run_name": F.lit(run_name), "run_ts": F.lit(run_ts)})
-    tagged.write.mode("append").partitionBy("host", "run_name", "run_ts").option("compression", "zstd").parquet(path)
+    """``save_run`` of a six-key aggregate."""
+    save_run(aggregate.select(*KEYS6, *MEASURES), path, host, run_name, run_ts)
 
 
-def load_aggregate(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_aggregate(spark: SparkSession, path: str, host: str | None = None) -> DataFrame:
+    return load_runs(spark, path, host)
 
 
 def collapsed_path(base: str, fields: Sequence[str], count: str) -> str:
