@@ -108,3 +108,47 @@ def raw_again(spark, t):
     from tracelake.sources.raw import decode_events, encode_events
 
     return decode_events(encode_events(t.frame(spark)))
+
+
+def test_two_hosts_with_initial_state_equal_batch(spark, tmp_path):
+    from tracelake.functions.dims import syscall_dim
+    from tracelake.operators.aggregate import agg6
+    from tracelake.plans.calls import Options, enriched_calls
+    from tracelake.schema import EVENTS
+    from tracelake.sources.trace import proc_exe_snapshot, proc_fd_snapshot
+
+    run, traces = ("host",), {"h0": random_trace(11, 60), "h1": random_trace(12, 60)}
+    parts = {h: spread(t, 5) for h, t in traces.items()}
+    schema = EVENTS + ", host string"
+    columns = [c.split(" ")[0] for c in EVENTS.split(", ")]
+    frame = lambda rows: spark.createDataFrame([(*(r[c] for c in columns), h) for h, r in rows], schema)
+    fds = proc_fd_snapshot(spark.createDataFrame([("h0", 10, f, f"/a/h0-{f}", "02") for f in range(3, 8)] + [("h1", 10, 3, "/b/h1", None)], "host string, pid bigint, fd int, name string, flags_octal string"), run)
+    exes = proc_exe_snapshot(spark.createDataFrame([("h0", 10, 100, "/bin/app1"), ("h1", 20, 201, "/bin/x")], "host string, pid bigint, tid bigint, exe string"), run)
+    plans = []
+
+    def sink(df, batch):
+        plans.append(df._jdf.queryExecution().toString())
+        pairs.add_to_aggregate(str(tmp_path / "saved"))(df, batch)
+
+    for k in range(4):
+        frame([(h, r) for h in parts for r in parts[h][k]]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        calls = pairs.pair_stream(pairs.read_events(spark, str(tmp_path / "in"), 1, "host string"), FOLD_DIM, "2 seconds", path="/a", proc_fd=fds, proc_exe=exes, run=run)
+        pairs.run_once(calls, str(tmp_path / "checkpoint"), sink)
+    assert calls.columns[:2] == ["host", "pid"] and not any("Join" in p for p in plans)
+    events = frame([(h, r) for h, t in traces.items() for r in t.rows])
+    want = agg6(enriched_calls(events, syscall_dim(spark, IDS), Options(path="/a", filter_first=True, run=run), fds, exes), with_bytes=True)
+    assert sorted(pairs.saved_aggregate(spark, str(tmp_path / "saved")).collect()) == sorted(want.collect()) != []
+
+
+def test_what_is_kept_of_a_process_ends(spark, tmp_path):
+    t = Trace().open(3, path="/a/x", comm="one").call("read", 5, fd=3).add("enter", "write", fd=3).open(4, pid=20, tid=21, comm="two")
+    batches = spread(t, 7)
+    far = batches[-1][0]
+    later = [far | {"seq": 10_002, "time_ns": far["time_ns"] + 7_200_000_000_000}, far | {"seq": 10_003, "time_ns": far["time_ns"] + 7_200_000_000_001}]
+    rows = stream_rows(spark, tmp_path, [*batches, *[[x] for x in later]], audit=True, idle_ns=3_600_000_000_000)
+    done = [(r["pid"], r["name"]) for r in rows if r["outcome"] == "completed"]
+    assert sorted(done) == [(10, "openat"), (10, "read"), (20, "openat")]
+    gone = sorted((r["pid"], r["outcome"], r["comm"] or (r["file"] or {}).get("name") or r["name"]) for r in rows if r["outcome"] != "completed")
+    assert gone[:5] == [(10, "expired", "write"), (10, "forgotten", "/a/x"), (10, "forgotten", "one"), (20, "forgotten", "testfile.txt"), (20, "forgotten", "two")]
+    left = spark.read.format("statestore").option("stateVarName", "files").load(str(tmp_path / "checkpoint"))
+    assert left.count() == 0 and spark.read.format("statestore").option("stateVarName", "comms").load(str(tmp_path / "checkpoint")).count() == 0

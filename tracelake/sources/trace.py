@@ -131,7 +131,8 @@ def proc_fd_snapshot(table: DataFrame, run: Sequence[str] = ()) -> DataFrame:
 
 
 def proc_exe_snapshot(table: DataFrame, run: Sequence[str] = ()) -> DataFrame:
-    """Program names as captured: the last part of each thread's program path."""
+    """Program names as captured: the last part of each thread's program path. The stream takes them as initial state if the table has a ``pid``."""
     from tracelake.functions.text import basename
 
-    return table.select(*run, F.col("tid").cast("bigint"), basename(F.col("exe")).alias("exe_comm")).dropDuplicates([*run, "tid"])
+    pid = [F.col("pid").cast("bigint")] if "pid" in table.columns else []
+    return table.select(*run, *pid, F.col("tid").cast("bigint"), basename(F.col("exe")).alias("exe_comm")).dropDuplicates([*run, "tid"])
