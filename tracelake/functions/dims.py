@@ -50,12 +50,21 @@ def io_class(name: str) -> str:
     return "none"
 
 
+def _literal(text: str | None) -> str:
+    return "CAST(NULL AS STRING)" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def syscall_dim(spark: SparkSession, enter_ids: Mapping[str, int] | None = None) -> DataFrame:
     """Two rows a call: its enter tracepoint and its exit, whose id is one less. Unknown names have no record kind."""
     rows = []
     for name, i in (ENTER_IDS if enter_ids is None else enter_ids).items():
         rows += [(i, name, "enter", record_kind(name), io_class(name)), (i - 1, name, "exit", "ret", io_class(name))]
-    return spark.createDataFrame(rows, "trace_id int, name string, phase string, record_kind string, io_class string")
+    # A table of values has a size that the optimizer knows, so it is the side that is sent around; one made by createDataFrame has none.
+    values = ", ".join(f"({int(i)}, {', '.join(map(_literal, rest))})" for i, *rest in rows)
+    columns = "trace_id, name, phase, record_kind, io_class"
+    if not rows:
+        return spark.createDataFrame([], "trace_id int, name string, phase string, record_kind string, io_class string")
+    return spark.sql(f"SELECT {columns} FROM VALUES {values} AS t({columns})")
 
 
 def listing_dim(listing: DataFrame) -> DataFrame:

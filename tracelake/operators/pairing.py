@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators.ordered import look_back, null_safe
@@ -85,8 +85,48 @@ def run_stats(events: DataFrame, matched: DataFrame, filtered: DataFrame, second
     b = matched.agg(F.count("*").alias("syscalls"), F.coalesce(F.sum((~F.col("valid")).cast("bigint")), F.lit(0)).alias("mismatches"))
     c = filtered.agg(F.count("*").alias("syscalls_after_filter"))
     # Three one-row tables.
-    one = a.join(b, F.lit(True)).join(c, F.lit(True))
+    return _rates(a.join(b, F.lit(True)).join(c, F.lit(True)), seconds)
+
+
+def _rates(one: DataFrame, seconds: float) -> DataFrame:
     out = one.withColumn("mismatch_percent", F.when(F.col("tracepoints") > 0, 100.0 * F.col("mismatches") / F.col("tracepoints")).otherwise(0.0))
     for name in ("tracepoints", "syscalls", "syscalls_after_filter"):
         out = out.withColumn(f"{name}_per_second", F.col(name) / F.lit(float(seconds)))
     return out
+
+
+class RunReport:
+    """The same figures from the main job itself, which reads nothing more: each step is watched as its rows pass.
+
+        report = RunReport()
+        matched = report.matched(match(report.events(events)))
+        calls = report.filtered(valid_calls(matched, dim))
+        calls.write.parquet(path)
+        report.row(spark, 60.0)
+
+    Steps must be read whole, once, by the first job over the result. A step that is never watched counts as empty. If Spark runs a stage again after a
+    loss, rows that pass again may be counted again; ``run_stats`` is exact whatever is lost.
+    """
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def _watch(self, df: DataFrame, step: str, *figures: Column) -> DataFrame:
+        self._seen[step] = Observation()
+        return df.observe(self._seen[step], *figures)
+
+    def events(self, events: DataFrame) -> DataFrame:
+        return self._watch(events, "events", F.count(F.lit(1)).alias("tracepoints"))
+
+    def matched(self, matched: DataFrame) -> DataFrame:
+        return self._watch(matched, "matched", F.count(F.lit(1)).alias("syscalls"), F.count(F.when(~F.col("valid"), 1)).alias("mismatches"))
+
+    def filtered(self, calls: DataFrame) -> DataFrame:
+        return self._watch(calls, "filtered", F.count(F.lit(1)).alias("syscalls_after_filter"))
+
+    def row(self, spark: SparkSession, seconds: float) -> DataFrame:
+        """The figures, once the job is done; waits for it if it still runs."""
+        names = ("tracepoints", "syscalls", "mismatches", "syscalls_after_filter")
+        got = {k: v for o in self._seen.values() for k, v in o.get.items()}
+        one = spark.range(1).select(*[F.lit(got.get(n, 0)).cast("bigint").alias(n) for n in names])
+        return _rates(one, seconds)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.render import file_name
@@ -23,26 +23,36 @@ def path_buckets(calls: DataFrame, pattern: str) -> DataFrame:
     return calls.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("count"), F.sum("duration").alias("duration"))
 
 
+def directory(path: Column) -> Column:
+    """The directory of a path; a dot for paths without one."""
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    return F.when(~path.contains("/"), F.lit(".")).when(folder == "", F.lit("/")).otherwise(folder)
+
+
 def by_directory(aggregate: DataFrame) -> DataFrame:
     """The aggregate by the directory of its paths; paths without one are under a dot."""
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    named = F.when(~F.col("path").contains("/"), F.lit(".")).when(folder == "", F.lit("/")).otherwise(folder)
-    return aggregate.groupBy(named.alias("directory")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
+    return aggregate.groupBy(directory(F.col("path")).alias("directory")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
 
 
-def by_mount(aggregate: DataFrame, mounts: DataFrame) -> DataFrame:
-    """The aggregate by mount point (``mount``, ``device``): the longest that is a beginning of the path.
+def mounts_of(paths: DataFrame, mounts: DataFrame) -> DataFrame:
+    """Distinct ``paths`` (path and sums that go with it) with ``mount`` and ``device``: the longest mount point that is a beginning of the path, else null.
 
-    Every path offers its beginnings as keys, as many as it has parts, so this is an equi-join; the sums of a path go with
-    it, so the aggregate is read once.
+    Every path offers its beginnings as keys, as many as it has parts, so this is an equi-join.
     """
     parts = F.split("path", "/", -1)
     starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n), "/")))
-    sums = aggregate.groupBy("path").agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
-    keys = sums.withColumn("mount", F.explode_outer(F.when(F.col("path").startswith("/"), F.array_distinct(starts))))
+    keys = paths.withColumn("mount", F.explode_outer(F.when(F.col("path").startswith("/"), F.array_distinct(starts))))
     met = keys.join(mounts.select("mount", "device", F.length("mount").alias("length")), "mount", "left")
-    best = met.groupBy("path").agg(F.max_by(F.struct("mount", "device"), "length").alias("m"), F.first("count").alias("count"), F.first("duration").alias("duration"))
-    return best.groupBy(F.coalesce("m.mount", F.lit("none")).alias("mount"), F.coalesce("m.device", F.lit("none")).alias("device")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
+    rest = [c for c in paths.columns if c != "path"]
+    best = met.groupBy("path").agg(F.max_by(F.struct("mount", "device"), "length").alias("m"), *[F.first(c).alias(c) for c in rest])
+    return best.select("path", *rest, "m.mount", "m.device")
+
+
+def by_mount(aggregate: DataFrame, mounts: DataFrame) -> DataFrame:
+    """The aggregate by mount point (``mount``, ``device``): the longest that is a beginning of the path. The sums of a path go with
+    it, so the aggregate is read once."""
+    best = mounts_of(aggregate.groupBy("path").agg(F.sum("count").alias("count"), F.sum("duration").alias("duration")), mounts)
+    return best.groupBy(F.coalesce("mount", F.lit("none")).alias("mount"), F.coalesce("device", F.lit("none")).alias("device")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
 
 
 def gaps_by_call(calls: DataFrame) -> DataFrame:

@@ -264,4 +264,17 @@ SQL: dict[str, str] = {
     "dump_round_trip": f"""{EV} SELECT row_number() OVER (ORDER BY seq) - 1 AS place, CASE WHEN phase = 'exit' THEN 8 WHEN kind = 'open' THEN 1 WHEN kind = 'fd' THEN 3 WHEN kind = 'null' THEN 5
         WHEN kind = 'name' THEN 9 WHEN kind = 'path' THEN 11 ELSE 13 END AS event_type, phase, ev.trace_id, time_ns, pid, tid, coalesce(ret, 0)::BIGINT AS ret,
         coalesce(path, '') AS path, coalesce(oldname, '') AS oldname, coalesce(newname, '') AS newname, coalesce(comm, '') AS comm FROM ev LEFT JOIN nm ON ev.trace_id = nm.trace_id AND phase = 'enter'""",
+    "stacks_user": f"""{FULL}, st AS (SELECT *, lag(name) OVER (PARTITION BY tid ORDER BY exit_time_ns, exit_seq) AS previous FROM cf)
+        SELECT coalesce(c_name, '?') || ';' || trim(comm) || ';' || pid || ';' || tid || ';' || coalesce(previous, 'start') || '->' || name AS stack, sum(gap)::BIGINT AS value
+        FROM st LEFT JOIN customer ON pid = c_custkey + 1000 GROUP BY 1""",
+    "stacks_device": f"""{FULL}, mo AS (SELECT *, string_split(file_name, '/')[3] AS t, CASE WHEN io <> 'none' AND ret > 0 THEN ret ELSE 0 END AS moved FROM cf)
+        SELECT CASE WHEN file_name NOT LIKE '/%' THEN 'none;none' WHEN len(t) % 2 = 0 THEN 'dev-' || t || ';/data/' || t ELSE 'root;/' END || ';' ||
+        CASE WHEN NOT contains(file_name, '/') THEN '.' ELSE regexp_extract(file_name, '^(.*)/[^/]*$', 1) END || ';' ||
+        CASE WHEN regexp_matches(file_name, '/k[0-4]') THEN 'PATHMATCH' ELSE 'OTHER' END || ';' || name AS stack, sum(moved)::BIGINT AS value FROM mo GROUP BY 1""",
+    "flame_tree": f"""{AGG}, sk AS (SELECT trim(comm) || ';' || array_to_string(string_split(path, '/'), ';/') || ';enter_' || name AS stack, sum(duration)::BIGINT AS value
+          FROM ag JOIN nm ON ag.trace_id = nm.trace_id GROUP BY 1),
+        ex AS (SELECT value, string_split(stack, ';') AS f, unnest(range(1, len(string_split(stack, ';')) + 1)) AS depth FROM sk)
+        SELECT array_to_string(f[1:depth], ';') AS node, CASE WHEN depth > 1 THEN array_to_string(f[1:depth - 1], ';') END AS parent, f[depth] AS frame, depth::INTEGER AS depth,
+        sum(value)::BIGINT AS total, sum(CASE WHEN depth = len(f) THEN value ELSE 0 END)::BIGINT AS self FROM ex GROUP BY ALL""",
 }
+SQL["run_report"] = SQL["run_stats"]

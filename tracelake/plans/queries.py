@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.dims import syscall_dim
 from tracelake.functions.render import HEADER, file_flags, file_name
 from tracelake.functions.text import basename, flags_text, octal, path_stack, trim_comm
-from tracelake.operators import aggregate, fdtable, filters, pairing, patterns, profile, views
+from tracelake.operators import aggregate, fdtable, filters, pairing, patterns, profile, stacks, views
 from tracelake.operators.ordered import places
 from tracelake.plans.calls import Options, completed_calls, enriched_calls, selected
 from tracelake.scratch import cut, shared_dir
@@ -251,15 +251,11 @@ def by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def by_mount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mount points: the root, and one for each event type with an even length of its name."""
-    types = _table(spark, sf_dir, "events").select("event_type").distinct()
-    mounts = types.where("length(event_type) % 2 = 0").select(F.concat(F.lit("/data/"), "event_type").alias("mount"), F.concat(F.lit("dev-"), "event_type").alias("device"))
-    mounts = mounts.unionByName(types.select(F.lit("/").alias("mount"), F.lit("root").alias("device")).distinct())
-    return views.by_mount(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), mounts)
+    return views.by_mount(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), _mounts(spark, sf_dir))
 
 
 def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = _table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).cast("bigint").alias("pid"), F.col("c_name").alias("user"))
-    return views.with_user(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), users)
+    return views.with_user(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), _users(spark, sf_dir))
 
 
 HOSTS = ("host",)
@@ -380,6 +376,41 @@ def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select((F.col("at") + starts[F.col("file")]).alias("place"), "event_type", "phase", "trace_id", "time_ns", "pid", "tid", F.coalesce("ret", F.lit(0)).alias("ret"), *texts)
 
 
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of ``run_stats`` from the one job that writes the calls."""
+    report = pairing.RunReport()
+    matched = report.matched(pairing.match(report.events(trace(spark, sf_dir))))
+    cut(report.filtered(pairing.valid_calls(matched, syscall_dim(spark))))
+    return report.row(spark, 60.0)
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).cast("bigint").alias("pid"), F.col("c_name").alias("user"))
+
+
+def _mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = _table(spark, sf_dir, "events").select("event_type").distinct()
+    some = types.where("length(event_type) % 2 = 0").select(F.concat(F.lit("/data/"), "event_type").alias("mount"), F.concat(F.lit("dev-"), "event_type").alias("device"))
+    return some.unionByName(types.select(F.lit("/").alias("mount"), F.lit("root").alias("device")).distinct())
+
+
+def stacks_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users, programs, processes, threads, and each call behind the one before it."""
+    calls = enriched_calls(trace(spark, sf_dir))
+    return stacks.stacks(calls, ("user", "comm", "pid", "tid", "transition"), "durationToPrev", stacks.Tables(users=_users(spark, sf_dir)), split_ns=86_400_000_000_000)
+
+
+def stacks_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices, mount points, directories, a bucket of paths, and the call, by bytes."""
+    tables = stacks.Tables(mounts=_mounts(spark, sf_dir), buckets=(("PATHMATCH", "/k[0-4]"),))
+    return stacks.stacks(enriched_calls(trace(spark, sf_dir)), ("device", "mount", "directory", "bucket", "call"), "bytes", tables)
+
+
+def flame_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the flame graph of programs, paths and calls, by duration."""
+    return stacks.flame_tree(stacks.stacks(enriched_calls(trace(spark, sf_dir)), ("comm", "path", "tracepoint"), "duration"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -387,6 +418,6 @@ QUERIES: dict[str, Query] = {
         filters_name, filters_process, comm_gate, tracepoint_select, is_call, flags_path_text, render_pairs, render_pairs_full, agg6, agg6_bytes, rollup_merge, collapse_default, collapse_comm_flags,
         rollup_paths, io_profile_events, io_profile_lineitem, time_series, bursts_events, bursts_lineitem, periodicity_events, trend_orders, patterns_events, decode_round_trip,
         quarantined, transitions, gaps_by_call, calls_hosts, calls_hosts_split, calls_filter_first, filters_thread, stats_map_events, saved_runs, collapsed_file,
-        rows_file, decode_present, scalar_text, periodicity_every_lag, call_times, path_buckets, by_directory, by_mount, by_user, sketch_runs, dump_round_trip,
+        rows_file, decode_present, scalar_text, periodicity_every_lag, call_times, path_buckets, by_directory, by_mount, by_user, sketch_runs, dump_round_trip, run_report, stacks_user, stacks_device, flame_tree,
     )
 }
