@@ -169,7 +169,7 @@ class Aligner:
     def __init__(self, pair: Pair, extra=None, room: int = CACHE_CHUNKS):
         self.pair, self.extra, self.room = pair, extra, room
         self.at: dict[str, int] = {}
-        self.columns = np.zeros((0, 3 if extra is None else 5), np.int64)
+        self.columns = np.zeros((0, 3 if extra is None else 6), np.int64)
         self.keys, self.groups = np.zeros(0, np.int64), []
         self.used, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if extra is not None:
@@ -478,16 +478,15 @@ def links(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
 def _second(docs: DataFrame, pair, counts, id_col: str, text_col: str, total: DataFrame | None = None) -> DataFrame:
     wide, held = pair.value.wide, total is None
 
-    def look(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each link: whether its count is the highest, its count, whether it is not held."""
         c = counts.value
         n = c.get(keys)
-        if held and (n < 0).any():
-            raise RuntimeError("a pair of the second pass was not met in the first")
-        return (n >= 0) & (n == c.best[keys % wide]), np.maximum(n, 0)
+        return (n >= 0) & (n == c.best[keys % wide]), np.maximum(n, 0), n < 0
 
     def run(texts: list[str]) -> list[list]:
         aligner = pair.value.kept(counts.value.name, lambda: Aligner(pair.value, look))
-        sums, digests, rest = np.zeros((len(texts), 5), np.int64), [], []
+        sums, digests, rest = np.zeros((len(texts), 6), np.int64), [], []
         for i, own in enumerate(aligner.read(texts)):
             if not len(own):
                 digests.append("")
@@ -499,7 +498,9 @@ def _second(docs: DataFrame, pair, counts, id_col: str, text_col: str, total: Da
             if not held:
                 keys = linked(groups, wide)
                 rest.append(keys[counts.value.get(keys) < 0].tolist())
-        a, b, n, best, total_n = sums.T.tolist()
+        if held and sums[:, 5].any():  # chunks of texts that count nothing may have pairs that are not held
+            raise RuntimeError("a pair of the second pass was not met in the first")
+        a, b, n, best, total_n, _ = sums.T.tolist()
         made = [a, b, n, n, best, total_n, digests]
         return made if held else [*made, rest]
 
