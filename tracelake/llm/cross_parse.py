@@ -14,15 +14,18 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
+from pyspark.sql.window import WindowSpec
 
 from tracelake.llm.common import held_out, map_texts
 from tracelake.scratch import cut
 
 #: Characters of labelled text of each language that an automaton is made of, rows that are looked at for them, and the longest text among these.
 CHARS, ROWS, LONGEST = 60_000, 400, 10_000
+#: Parts of a language's rows that are ranked on their own.
+PARTS = 64
 #: A phrase ends at every so many characters of a text, for all languages alike, so that long texts are parsed side by side too.
 BLOCK = 1_024
 #: Blocks that are parsed at once.
@@ -212,8 +215,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     own = own.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.length("text").between(1, LONGEST) & F.col("text").rlike(r"\p{L}"))
-    # Ranks of ids only: each task keeps its first ROWS of a language before anything is shuffled.
-    drawn = own.select("id", "lang", F.row_number().over(_by_hash()).alias("k")).where(F.col("k") <= ROWS).select("id", "lang").distinct()
+    # Ranks of ids only, first in each of PARTS parts of a language: at most ROWS of a part are left, whatever the rows.
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS)).alias("part")
+    some = own.select("id", "lang", part).withColumn("k", F.row_number().over(_by_hash("lang", "part"))).where(F.col("k") <= ROWS)
+    drawn = some.withColumn("k", F.row_number().over(_by_hash("lang"))).where(F.col("k") <= ROWS).select("id", "lang").distinct()
     texts = cut(own.join(F.broadcast(drawn), ["id", "lang"]).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("s")).select("id", "s.*"))
     taken: dict[str, list[str]] = {}
     sizes: Counter[str] = Counter()
@@ -224,10 +229,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(tuple(Reference.of(lang, taken[lang]) for lang in sorted(taken)))
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+def _by_hash(*keys: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
