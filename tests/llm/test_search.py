@@ -186,3 +186,25 @@ def test_candidates_grow_slower_than_the_table(spark):
         want = {(q, i) for q, _, i, _ in exact(rows, [r for r in rows if r[0] % 50 == 0], 5, cosine)}
         found[name] = len(want & {(r[0], r[2]) for r in lsh_multiprobe.search(data, asked).collect()}) / len(want)
     assert share["sf0.1"] < 0.95 * share["sf0.01"] and min(found.values()) >= 0.9
+
+
+def test_recall_holds_where_probes_are_too_few(spark, monkeypatch):
+    import numpy as np
+
+    from tracelake.llm import lsh_multiprobe as lsh
+
+    real = lsh.probe_sets
+    monkeypatch.setattr(lsh, "probe_sets", lambda hashes, limit=20: real(hashes, 20))
+    x = np.random.default_rng(3).standard_normal((1_500, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 10 = 0")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u[::10] @ u.T
+    s[np.arange(150), np.arange(0, 1_500, 10)] = -9
+    true = {(10 * q, int(j)) for q, row in enumerate(s) for j in np.argsort(-row, kind="stable")[:5]}
+    for hashes in (30, 0):
+        monkeypatch.setattr(lsh, "hashes_for", lambda count, n=hashes: n)
+        found = lsh.calibrate(lsh.valid(df, "vec_id", "embedding", nonzero=True, kind="double"), lsh.valid(asked, "vec_id", "embedding", nonzero=True, kind="double"), 1_500, 5, 24)
+        assert found.recall >= lsh.RECALL and (found.h.hashes < 30)
+        got = {(r["query_id"], r["vec_id"]) for r in lsh.search(df, asked, 5).collect()}
+        assert len(got & true) / len(true) >= (0.9 if hashes else 1.0)

@@ -4,7 +4,9 @@ A vector of length 1 has in each table the key floor((a . x + b) / w) of some Ga
 with the logarithm of the rows, so that buckets stay small. A query looks into its own bucket and into perturbed ones, in the
 order of estimated success: its projections' distances to the cell borders are sorted, and a fixed list of sets of these
 ranks, by expected squared distance, is walked through (Lv et al. 2007). How many sets are walked is set on a bounded
-sample of queries, compared with brute force over all rows, so that recall reaches a target. Every row is indexed; no
+sample of queries, compared with brute force over all rows, so that recall reaches a target. Where all sets are too few for it, the tables
+get fewer projections, and so larger buckets, until they are not; without any, one bucket holds all rows and the search is exact, by blocks.
+So recall does not fall as tables grow: the share of rows that a query meets rises instead. Every row is indexed; no
 bucket is capped: those with many rows are split over parts by id, and every part is searched. Each part takes the exact
 cosine of the pairs that meet in a bucket and gives each query's best.
 """
@@ -12,7 +14,9 @@ cosine of the pairs that meet in a bucket and gives each query's best.
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import cut
 from tracelake.llm.vectors import QUERY_BLOCK, best, element, matrix, once, one_row_per_id, rank, valid
 
+LOG = logging.getLogger("tracelake")
 TABLES, WIDTH, SEED = 8, 3.0, 11
 #: Projections of a table: so many for each doubling of the rows, within these bounds.
 PER_DOUBLING, LEAST_HASHES, MOST_HASHES = 1.15, 6, 40
@@ -42,6 +47,8 @@ def hashes_for(count: int) -> int:
 
 def probe_sets(hashes: int, limit: int = SETS) -> list[tuple[int, ...]]:
     """Sets of ranks (0: the nearest border of 2 * ``hashes``) in order of expected squared distance, the empty set first."""
+    if not hashes:
+        return [()]
     m = hashes
     rising = [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
     # The border opposite the j-th nearest one is a whole cell less that distance away.
@@ -64,6 +71,7 @@ class Hashes:
     def __init__(self, dim: int, hashes: int = 8):
         rng = np.random.default_rng(SEED)
         self.hashes = hashes
+        self.tables = TABLES if hashes else 1
         self.a = rng.standard_normal((TABLES, dim, hashes))
         self.b = rng.random((TABLES, hashes)) * WIDTH
         self.mix = rng.integers(1, 1 << 62, (TABLES, hashes), dtype=np.int64) | 1
@@ -150,26 +158,46 @@ def _brute(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int, dim: int) ->
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def calibrate(rows: DataFrame, asked: DataFrame, h: Hashes, k: int, dim: int) -> tuple[int, float]:
-    """The number of probes that reaches RECALL on at most SAMPLE queries, and the recall measured with it."""
+@dataclass(frozen=True)
+class Settings:
+    """How a table is searched: its projections, the buckets that a query looks into in each table, and the recall that these gave on the sample."""
+
+    h: Hashes
+    probes: int
+    recall: float
+
+
+def needed(h: Hashes, x: np.ndarray, q: np.ndarray, y: np.ndarray) -> tuple[int, float]:
+    """The probes with which queries ``x`` find RECALL of their neighbours (row i of ``y`` is one of query ``q[i]``), all if none do, and the share found."""
+    most = len(h.size)
+    first = np.full(len(q), most)
+    for t in range(h.tables):
+        match = h.probes(t, x, most)[q] == h.keys(t, y)[:, None]
+        first = np.minimum(first, np.where(match.any(1), match.argmax(1), most))
+    n = min(most, int(np.sort(first)[max(0, int(np.ceil(RECALL * len(first))) - 1)]) + 1)
+    return n, float((first < n).mean())
+
+
+def calibrate(rows: DataFrame, asked: DataFrame, count: int, k: int, dim: int) -> Settings:
+    """The settings that reach RECALL on at most SAMPLE queries, by hash of the id, then id: as many projections as the number of rows asks for, or, if SETS probes
+    do not reach it, the most that do. Ties among the neighbours go to the smaller id, as in the search."""
     some = asked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     x = matrix(pa.array([[float(c) for c in v] for v in some["vec"]], pa.list_(pa.float64())), dim)
     ids = some["id"].to_numpy()
     true = _brute(rows, ids, x, k, dim).select("query_id", "vec").toPandas()
+    hashes = hashes_for(count)
     if true.empty:
-        return 1, 1.0
+        return Settings(Hashes(dim, hashes), 1, 1.0)
     at = {q: i for i, q in enumerate(ids)}
     q = np.array([at[i] for i in true["query_id"]])
     y = unit(matrix(pa.array(true["vec"].tolist(), pa.list_(pa.float64())), dim))
-    most = len(h.size)
-    first = np.full(len(q), most)
-    for t in range(TABLES):
-        probes = h.probes(t, unit(x), most)
-        match = probes[q] == h.keys(t, y)[:, None]
-        first = np.minimum(first, np.where(match.any(1), match.argmax(1), most))
-    need = int(np.sort(first)[min(len(first) - 1, int(np.ceil(RECALL * len(first))) - 1)]) + 1
-    need = min(need, most)
-    return need, float((first < need).mean())
+    while True:
+        h = Hashes(dim, hashes)
+        n, recall = needed(h, unit(x), q, y)
+        if recall >= RECALL or not hashes:
+            LOG.info("%d projections, %d probes, recall %.3f on %d queries", hashes, n, recall, len(ids))
+            return Settings(h, n, recall)
+        hashes -= 1
 
 
 def _meet(q: np.ndarray, b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,14 +227,14 @@ def _pairs(data: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: st
     dim = max(dim or 0, asked.select(F.max(F.size("vec"))).first()[0] or 0)
     if not count or not dim:
         return None
-    h = Hashes(dim, hashes_for(count))
-    n, _ = calibrate(rows, asked, h, k, dim)
+    found = calibrate(rows, asked, count, k, dim)
+    h, n = found.h, found.probes
     parts = int(np.ceil(count / PART))
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = unit(matrix(b.column(0), dim))
-            for t in range(TABLES):
+            for t in range(h.tables):
                 keys, counts = np.unique(h.keys(t, x), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), pa.array(counts)], ["t", "key", "n"])
 
@@ -227,7 +255,7 @@ def _pairs(data: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: st
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, x = b.column(0).to_numpy(), unit(matrix(b.column(1), dim))
-            for t in range(TABLES):
+            for t in range(h.tables):
                 keys = h.keys(t, x)
                 part = part_of(keys, salt_of(ids, salts(t, keys)), parts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(part), pa.array(np.zeros(len(ids), bool)), *b.columns], ["t", "part", "asks", "id", "vec"])
@@ -237,7 +265,7 @@ def _pairs(data: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: st
             for s in range(0, b.num_rows, QUERY_BLOCK):
                 c = b.slice(s, QUERY_BLOCK)
                 x = unit(matrix(c.column(1), dim))
-                for t in range(TABLES):
+                for t in range(h.tables):
                     keys = h.probes(t, x, n)
                     many = salts(t, keys)
                     where = [part_of(keys[r, at], np.full(len(r), salt), parts).astype(np.int64) + r * parts for salt in range(int(min(many.max(), parts))) for r, at in [np.nonzero(many > salt)]]
@@ -295,6 +323,8 @@ def _pairs(data: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: st
 def search(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` of largest cosine that each query's probes find.
 
+    Recall is held on a sample: the buckets are made so large, and so many are looked into, that at most SAMPLE queries find RECALL of their true neighbours,
+    however many rows there are (``calibrate``); of all queries it then differs from that by chance only, about 0.02 with 200 queries of five.
     Scores are exact cosines of the original vectors. Ties go to the smaller id; a candidate with the query's own
     id is none. Null ids and vectors that are null, zero or hold a null or non-finite component take no part. Shorter
     vectors are filled up with zeros. Repeated rows of ``data`` are one candidate; a repeated query id is asked once, by its
