@@ -2,7 +2,8 @@
 
 Each value that passes its check (Luhn, modulus 97, ranges of octets, the calendar) is permuted by a keyed Feistel network
 within the set of valid values of its format, so that the result passes the same check, looks the same, and equal values
-stay equal across documents. The key holder can turn it round.
+stay equal across documents. The key holder can turn it round, but for the writing of a date: one whose day or month has lost or gained
+a digit comes back as the same day in the other writing.
 """
 
 from __future__ import annotations
@@ -70,10 +71,14 @@ def fill(pattern: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in pattern)
 
 
+#: Letters beyond ASCII that are permuted among each other; of other scripts they stay as they are.
+SCRIPTS = {"l": "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "g": "αβγδεζηθικλμνξοπρστυφχψω", "c": "абвгдежзийклмнопрстуфхцчшщъыьэюя"}
+
+
 def _characters(run: Callable, tag: str, s: str, skip: int = 0) -> str:
     """Letters and digits of ``s`` from ``skip`` on, permuted within their classes as one mixed-radix number."""
-    sets = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    kind = ["" if i < skip or not c.isascii() or not c.isalnum() else "0" if c.isdigit() else "a" if c.islower() else "A" for i, c in enumerate(s)]
+    sets = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | SCRIPTS
+    kind = ["" if i < skip else next((k for k, own in sets.items() if c in own), "") for i, c in enumerate(s)]
     x, n = 0, 1
     for c, k in zip(s, kind, strict=True):
         if k:
@@ -178,23 +183,25 @@ def _date(run: Callable, s: str) -> str | None:
 def _email(run: Callable, s: str) -> str | None:
     """Addresses that differ in case alone are one; each keeps the cases of its letters, so that it can be turned round."""
     local, domain = s.rsplit("@", 1)
-    new = _characters(run, "email@" + domain.lower(), local.lower())
+    new = _characters(run, "email@" + domain.lower(), "".join(low if len(low := c.lower()) == 1 else c for c in local))
     return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new, strict=True)) + "@" + domain
 
 
 #: The formats. At one place the first kind whose check a value passes wins.
 FORMATS = {
-    "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.+%-])[^\W_][\w.%+'’-]*@(?:[\w-]+\.)+[^\W0-9_]{2,}",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     # A date may stand before the T of a time.
     "date": r"(?<![\w./-])(?:[0-9]{4}(?P<m>[./-])[0-9]{1,2}(?P=m)[0-9]{1,2}|[0-9]{1,2}(?P<n>[./-])[0-9]{1,2}(?P=n)[0-9]{4})(?![/-]|(?![Tt][0-9]{2}:?[0-9]{2})\w)",
-    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w|-\w)",
     "phone": r"(?<!\w)\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){1,4}(?!\w)|(?<!\w)\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?!\w)",
     "card": r"(?<![\w+.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-]|\.[0-9])",
 }
 #: Cards whose digits stand together or as printed: these go before a longer run of digits that passes by chance.
 PRINTED = r"(?<![\w+.-])(?:[0-9]{13,19}|[0-9]{4}(?P<a>[\x20-])[0-9]{4}(?P=a)[0-9]{4}(?P=a)[0-9]{4}|[0-9]{4}(?P<b>[\x20-])[0-9]{6}(?P=b)[0-9]{4,5})(?!\w|\.[0-9]|-[^\W0-9])"
+#: Cards in other groups, of three digits at least: these may begin behind any row of digits.
+GROUPED = r"(?<![\w+.-])[0-9]{3,16}(?:[\x20-][0-9]{3,16}){1,5}(?!\w|\.[0-9]|-[^\W0-9])"
 #: Phones of country 1 have ten more digits: what follows is not theirs.
 NORTH = r"(?<!\w)\+1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?!\w)"
 #: Phones without a country's code: three, three and four digits, pairs from 0 on, or an area from 0 on.
@@ -212,7 +219,7 @@ LENGTHS = {
     ).split()
 }
 #: The forms in the order that they are tried.
-FORMS = [(k, re.compile(f)) for k, f in [*list(FORMATS.items())[:-2], ("phone", NORTH), ("phone", FORMATS["phone"]), ("card", PRINTED), ("phone", NATIONAL), ("card", FORMATS["card"])]]
+FORMS = [(k, re.compile(f)) for k, f in [*list(FORMATS.items())[:-2], ("phone", NORTH), ("phone", FORMATS["phone"]), ("card", PRINTED), ("card", GROUPED), ("phone", NATIONAL), ("card", FORMATS["card"])]]
 OTHERS = [form for kind, form in FORMS if kind in ("ip", "date", "ssn")]
 PATTERN = re.compile("|".join(form.pattern for _, form in FORMS))
 
@@ -292,7 +299,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", keep: list[s
     """Columns ``keep`` (all but the text) of every row, the text with its values replaced, and the counts ``n_<kind>``.
 
     The same ``key`` gives the same pseudonyms everywhere. Whole texts are searched; a null text becomes empty with
-    counts of zero. Numbers that fail their check stay as they are. Rows with null ids and repeated rows each come out.
+    counts of zero. Numbers that fail their check stay as they are, and so do IBANs in small letters or with dashes, which are no format here; letters of
+    a mail's name beyond ASCII are replaced in Latin, Greek and Cyrillic script, domains stay. Rows with null ids and repeated rows each come out.
     Columns named like the counts are replaced. An empty table gives an empty result.
     """
     names = [f"n_{k}" for k in KINDS]
