@@ -49,6 +49,18 @@ LEAKS = [
 ]
 
 
+#: In other groups, behind other digits, with other letters, and with a dash behind: all of the value goes.
+LEAKS += [(t.format(v), v) for v in ("6212 3456 7890 1234 569", "411111 1111 111111", "4111 1111 11111111", "4111-111-111-111-111") for t in ("{}", "ref 7 {}", "12 {}", "order 55 {}, paid", "1 22 {}")]
+LEAKS += [("to josé.garcia@ex.com", "josé.garcia@ex.com"), ("müller@ex.com", "müller@ex.com"), ("<bob@exämple.com>", "bob@exämple.com"), ("o'brien@ex.com", "o'brien@ex.com"), ("Иван@пример.рф", "Иван@пример.рф"), ("'bob@ex.com'", "bob@ex.com"), ("SSN 123-45-6789-", "123-45-6789")]
+
+
+@pytest.mark.parametrize("mail", ["josé.garcia@ex.com", "O'Brien@ex.com", "Ürgén+x@exämple.com", "Иван@пример.рф", "İx@ex.com", "straße@ex.de"])
+def test_mails_come_back(mail):
+    p = pii_feistel.Pseudonyms("key")
+    new = p.apply(mail)[0]
+    assert new != mail and p.back("email", new) == mail and [c.isalpha() for c in new] == [c.isalpha() for c in mail]
+
+
 @pytest.mark.parametrize(("text", "value"), LEAKS)
 def test_no_value_leaks_next_to_another(text, value):
     made, found = pii_feistel.Pseudonyms("key").apply(text)
@@ -287,3 +299,19 @@ def test_mix_agrees_where_different_texts_share_id_and_size(spark):
         docs = spark.createDataFrame(rows[::order], "doc_id bigint, source string, text string, n_chars int").repartition(parts)
         made.append(sorted(map(repr, mixing.mix(docs).collect())))
     assert made[0] == made[1] and len(made[0]) > 100
+
+
+@pytest.mark.parametrize("kind", ["letters", "small letters", "digits", "letters and digits", "with dots", "with signs", "large hex"])
+def test_keys_of_any_alphabet_are_found(kind):
+    import string
+
+    letters, r = string.ascii_letters, random.Random(kind)
+    own = {"letters": letters, "small letters": letters[:26], "digits": string.digits, "letters and digits": letters + string.digits, "with dots": letters + string.digits + ".", "with signs": letters + string.digits + "$!@#%^&*", "large hex": "0123456789ABCDEF"}[kind]
+    novelty, found = secrets_zstd.Novelty(repeats=False), 0
+    for _ in range(100):
+        key = "k" + "".join(r.choice(own) for _ in range(38)) + "9"
+        text = f"some words of a note stand here\nthe api key is {key} and more words follow, as they do\n"
+        base = secrets_zstd.base_spans(text)
+        at = text.index(key)
+        found += any(a <= at and b >= at + len(key) for a, b, _ in base + secrets_zstd.novel_spans(text, base, novelty))
+    assert found >= 95

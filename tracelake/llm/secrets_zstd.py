@@ -30,8 +30,10 @@ KINDS = ("assign", "access", "hex", "novel")
 
 #: Words that make a context sensitive, in lower case.
 SENSITIVE = ("key", "secret", "token", "passw", "pwd", "credential", "bearer", "authorization", "private", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-PARTS = re.compile(r"[+/_=-]+")
+CANDIDATE = re.compile(r"(?:[A-Za-z0-9+/_=$!@#%^&*~-]|\.(?=[A-Za-z0-9])){16,}")
+PARTS = re.compile(r"[^A-Za-z0-9]+")
+#: Letters of a word at most.
+LONGEST_WORD = 24
 #: Characters before a candidate that must hold a sensitive word, characters around it that prime the compressor, the
 #: least share of new bytes in its characters, their least number, and the share, of the bytes that random characters of
 #: its alphabet take, from which on it is new anyway.
@@ -125,17 +127,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _named(s: str) -> bool:
-    """Whether words make up most of a string, as in names and paths: parts of letters alone in the case of a word."""
-    return sum(len(p) + 1 for p in PARTS.split(s) if len(p) > 2 and p.isalpha() and (p.islower() or p.isupper() or p.istitle())) > 0.6 * len(s)
-
-
-def _mixed(s: str) -> bool:
-    kinds = (any(c.isdigit() for c in s), any(c.islower() for c in s), any(c.isupper() for c in s))
-    return sum(kinds) >= 2 and kinds[0] and not _named(s)
+    """Whether words make up most of a string, as in names and paths: parts of at most LONGEST_WORD letters alone in the case of a word."""
+    return sum(len(p) + 1 for p in PARTS.split(s) if 2 < len(p) <= LONGEST_WORD and p.isalpha() and (p.islower() or p.isupper() or p.istitle())) > 0.6 * len(s)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Candidates near a sensitive word that no base span touches and that are new to what surrounds them.
+    """Candidates near a sensitive word that no base span touches and that are new to what surrounds them: 16 characters or more of CANDIDATE in a row that words do
+    not make up for the most part, of letters, digits or both.
 
     A candidate that directly follows one near a sensitive word, as the next line of a key does, counts as near it too.
     """
@@ -150,7 +148,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
         near = text[max(0, start - BEFORE) : start].lower()
         sensitive = any(w in near for w in SENSITIVE) or (sensitive and CONTINUES.fullmatch(text, last, start) is not None)
         last = end
-        if any(s < end and e > start for s, e, _ in busy[at : at + 3]) or not _mixed(m[0]) or not sensitive:
+        if any(s < end and e > start for s, e, _ in busy[at : at + 3]) or not sensitive or _named(m[0]):
             continue
         if novelty.novel(text, start, end):
             out.append((start, end, "novel"))
