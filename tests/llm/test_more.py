@@ -309,7 +309,8 @@ def test_keys_of_any_alphabet_are_found(kind):
     own = {"letters": letters, "small letters": letters[:26], "digits": string.digits, "letters and digits": letters + string.digits, "with dots": letters + string.digits + ".", "with signs": letters + string.digits + "$!@#%^&*", "large hex": "0123456789ABCDEF"}[kind]
     novelty, found = secrets_zstd.Novelty(repeats=False), 0
     for _ in range(100):
-        key = "k" + "".join(r.choice(own) for _ in range(38)) + "9"
+        key = "".join(r.choice(own) for _ in range(40))
+        key = f"k{key}9" if kind.startswith("with") else key  # a dot at an end is no part of a key
         text = f"some words of a note stand here\nthe api key is {key} and more words follow, as they do\n"
         base = secrets_zstd.base_spans(text)
         at = text.index(key)
