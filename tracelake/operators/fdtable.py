@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import CREAT_FLAGS, F_DUPFD, F_DUPFD_CLOEXEC, F_SETFL, O_CLOEXEC, SETTABLE
-from tracelake.operators.ordered import look_back
+from tracelake.operators.ordered import Rows, look_back
 from tracelake.schema import UNKNOWN, file_struct
 from tracelake.scratch import cut, drop
 
@@ -87,7 +87,7 @@ def versions(calls: DataFrame, scope: str = "pid", strict_minus_one: bool = Fals
     )
 
 
-def _sources(states: DataFrame, run: Sequence[str], split_ns: int | None) -> DataFrame:
+def _sources(states: DataFrame, run: Sequence[str], split_ns: int | Rows | None) -> DataFrame:
     """The links of ``states`` and ``found``, the version that each refers to."""
     fields = ("pid", "src_fd", "and_mask", "or_mask")
     version = F.struct("vid", "kind", "file_name", "file_flags")
@@ -151,13 +151,13 @@ def _follow(links: DataFrame, proc_fd: DataFrame | None, run: Sequence[str], rou
     )
 
 
-def resolve(states: DataFrame, proc_fd: DataFrame | None, split_ns: int | None = None, run: Sequence[str] = ()) -> DataFrame:
+def resolve(states: DataFrame, proc_fd: DataFrame | None, split_ns: int | Rows | None = None, run: Sequence[str] = ()) -> DataFrame:
     """``vid``, ``file_name``, ``file_flags`` and ``from_snapshot`` of every version of ``versions`` that is a file."""
     linked = _follow(_sources(states, run, split_ns), proc_fd, run)
     return linked.unionByName(states.where("kind = 'root'").select(*run, "vid", "file_name", "file_flags", F.lit(False).alias("from_snapshot")))
 
 
-def _dropped(calls: DataFrame, proc_fd: DataFrame | None, scope: str, x: tuple[bool, bool], comm: str | None, path: str | None, split_ns: int | None, run: Sequence[str]) -> DataFrame:
+def _dropped(calls: DataFrame, proc_fd: DataFrame | None, scope: str, x: tuple[bool, bool], comm: str | None, path: str | None, split_ns: int | Rows | None, run: Sequence[str]) -> DataFrame:
     """``vid`` of the duplicates and F_SETFLs that change nothing, as their calls are filtered out before the table sees them.
 
     A link passes if its program's name and its source's file do. Links take the names of their sources, so only one
@@ -185,7 +185,7 @@ def _dropped(calls: DataFrame, proc_fd: DataFrame | None, scope: str, x: tuple[b
 
 
 def attach_files(
-    calls: DataFrame, proc_fd: DataFrame | None = None, scope: str = "pid", strict_minus_one: bool = False, keep_access_mode: bool = False, split_ns: int | None = None, run: Sequence[str] = (),
+    calls: DataFrame, proc_fd: DataFrame | None = None, scope: str = "pid", strict_minus_one: bool = False, keep_access_mode: bool = False, split_ns: int | Rows | None = None, run: Sequence[str] = (),
     first: tuple[str | None, str | None] | None = None,
 ) -> DataFrame:
     """``calls`` and ``file``: what the call worked on, or null.
@@ -242,7 +242,7 @@ def attach_files(
     return j.select(*names, file.alias("file"))
 
 
-def attach_comm(calls: DataFrame, proc_exe: DataFrame | None = None, split_ns: int | None = None, run: Sequence[str] = ()) -> DataFrame:
+def attach_comm(calls: DataFrame, proc_exe: DataFrame | None = None, split_ns: int | Rows | None = None, run: Sequence[str] = ()) -> DataFrame:
     """``calls`` with ``comm``: the program name of the thread.
 
     A successful open has its own; a failed one has none but still tells the later calls of its thread. Other calls have that

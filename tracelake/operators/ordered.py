@@ -2,12 +2,14 @@
 
 A plain window sends a key's rows to one task. With ``split_ns`` a key's history is cut into spans of time that are sorted
 on their own; what a span needs from those before it is one small row a span, found by a partial aggregate and looked
-up over the spans alone.
+up over the spans alone. ``Rows`` cuts by number instead of time: a count finds the keys that hold too many rows, only their
+histories are cut, and every span has the same number of rows however crowded a time is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,16 +27,63 @@ def null_safe(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
     return out
 
 
-def look_back(df: DataFrame, by: Sequence[str], value: Column, name: str, order: Sequence[str] = ORDER, split_ns: int | None = None, current: bool = False) -> DataFrame:
+#: ``monotonically_increasing_id`` counts within a partition in its lower bits.
+_IN_PARTITION = (1 << 33) - 1
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Spans of at most ``most`` rows for the keys that hold more than that; other keys stay whole.
+
+    The spans come from a range sort of those keys' rows by key and order, so they follow the order itself, and rows of one time are told
+    apart by what else is in the order. The sort's borders are sampled: it gets twice the tasks that ``most`` rows each would need. Spans are counted off in
+    sorted rows and never hold more. Keys may be null.
+    """
+
+    most: int = 1_000_000
+
+    def __post_init__(self) -> None:
+        if self.most < 1:
+            raise ValueError("a span holds one row at least")
+
+    def crowded(self, df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
+        """The keys with more than ``most`` rows, as ``__<key>``, and how many rows they hold together."""
+        counts = df.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(F.count("*").alias("__rows")).where(F.col("__rows") > self.most)
+        keys = cut(counts)  # at most one key for each ``most`` rows
+        return keys, keys.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
+
+    def parts(self, df: DataFrame, by: Sequence[str], order: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
+        """The rows of crowded keys with ``__span``, ascending within the key, or None if there are none; and the rest."""
+        keys, held = self.crowded(df.select(*by), by)
+        if not held:
+            return None, df
+        rows = cut(df)  # read for both parts, and for the borders of the sort
+        same = null_safe(rows, keys, by)
+        sorted_ = rows.join(keys, same, "left_semi").repartitionByRange(-(-2 * held // self.most), *by, *order).sortWithinPartitions(*by, *order)
+        numbered = sorted_.withColumn("__at", F.monotonically_increasing_id())
+        span = F.col("__at") - F.col("__at").bitwiseAND(F.lit(_IN_PARTITION)) % F.lit(self.most)
+        return cut(numbered.withColumn("__span", span).drop("__at")), rows.join(keys, same, "left_anti")
+
+
+def look_back(df: DataFrame, by: Sequence[str], value: Column, name: str, order: Sequence[str] = ORDER, split_ns: int | Rows | None = None, current: bool = False) -> DataFrame:
     """``df`` and ``name``: the last ``value`` that is not null in an earlier row of the key (``current``: or in this one).
 
     Give a struct to look at the row just before: a struct is not null even if its fields are.
     """
     end = 0 if current else -1
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     if split_ns is None:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    parts = cut(df.withColumn("__value", value).withColumn("__span", F.floor(F.col(order[0]) / split_ns)))  # read three times
+    valued = df.withColumn("__value", value)
+    if isinstance(split_ns, Rows):
+        crowded, rest = split_ns.parts(valued, by, order)
+        plain = rest.withColumn(name, F.last("__value", ignorenulls=True).over(w)).drop("__value")
+        return plain if crowded is None else _over_spans(crowded, by, name, order, end).unionByName(plain)
+    return _over_spans(cut(valued.withColumn("__span", F.floor(F.col(order[0]) / split_ns))), by, name, order, end)  # read three times
+
+
+def _over_spans(parts: DataFrame, by: Sequence[str], name: str, order: Sequence[str], end: int) -> DataFrame:
+    """``look_back`` over rows with ``__value`` and ``__span``: within the span, else what the spans before it carry."""
     inner = Window.partitionBy(*by, "__span").orderBy(*order)
     near = parts.withColumn("__near", F.last("__value", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, end)))
     told = F.when(F.col("__value").isNotNull(), F.struct(*order))
@@ -45,12 +94,20 @@ def look_back(df: DataFrame, by: Sequence[str], value: Column, name: str, order:
     return found.withColumn(name, F.coalesce("__near", "__carried")).drop("__value", "__span", "__near", "__its_span", "__carried", *[f"__{k}" for k in by])
 
 
-def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, split: int | None = None) -> DataFrame:
-    """``df`` and ``name``: each row's place in its key, from 0. With ``split``, spans of the first column of the order are
+def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, split: int | Rows | None = None) -> DataFrame:
+    """``df`` and ``name``: each row's place in its key, from 0. With ``split``, spans of the first column of the order (or of so many rows) are
     numbered on their own, and the rows before a span are counted over the spans alone."""
+    place = (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint")
     if split is None:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
-    parts = df.withColumn("__span", F.floor(F.col(order[0]) / split))
+        return df.withColumn(name, place)
+    if isinstance(split, Rows):
+        crowded, rest = split.parts(df, by, order)
+        plain = rest.withColumn(name, place)
+        return plain if crowded is None else _places_over_spans(crowded, by, order, name).unionByName(plain)
+    return _places_over_spans(df.withColumn("__span", F.floor(F.col(order[0]) / split)), by, order, name)
+
+
+def _places_over_spans(parts: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     near = parts.withColumn("__near", F.row_number().over(Window.partitionBy(*by, "__span").orderBy(*order)) - 1)
     counts = parts.groupBy(*by, "__span").agg(F.count("*").alias("__n"))
     outer = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordered import look_back, null_safe
+from tracelake.operators.ordered import Rows, look_back, null_safe
 
 ENTER_FIELDS = ("seq", "time_ns", "trace_id", "pid", "fd", "flags", "path", "oldname", "newname", "comm", "cmd", "arg")
 
 
-def match(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | None = None) -> DataFrame:
+def match(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | Rows | None = None) -> DataFrame:
     """Every exit that consumes an enter, with ``valid``: the exit's id is the enter's less one.
 
     Columns: those of ``by``, the enter's fields as ``enter_*`` or under their own names, ``exit_seq``, ``exit_time_ns``, ``exit_trace_id``,
@@ -53,7 +53,7 @@ def unknown_calls(matched: DataFrame, dim: DataFrame) -> DataFrame:
     return matched.where("valid").join(dim.where("phase = 'enter'").select(F.col("trace_id").alias("enter_trace_id")), "enter_trace_id", "left_anti")
 
 
-def comm_gate(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | None = None) -> DataFrame:
+def comm_gate(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | Rows | None = None) -> DataFrame:
     """With a filter on comm, only opens count until a thread has completed one: then its comm is known.
 
     The first completed open of each thread comes from pairing opens and exits alone; enters up to it are dropped.
@@ -67,7 +67,7 @@ def comm_gate(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | N
     return gated.where((F.col("phase") == "exit") | opens | after).drop("__known")
 
 
-def durations(calls: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | None = None) -> DataFrame:
+def durations(calls: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | Rows | None = None) -> DataFrame:
     """``duration``, and ``gap`` to the exit of the thread's previous call among ``calls`` (0 where there is none).
 
     Apply it to the calls that are left after all filters. An exit time of 0 counts as none. A negative duration

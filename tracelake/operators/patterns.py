@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordered import look_back, places
+from tracelake.operators.ordered import Rows, look_back, places
 
 BURST, PERIODIC, STABLE = 1000, 0.7, 0.1
 #: Microseconds from 1970 to 2000.
@@ -23,7 +23,7 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
 
 
-def bursts(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", threshold: int = BURST, split_us: int | None = None) -> DataFrame:
+def bursts(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", threshold: int = BURST, split_us: int | Rows | None = None) -> DataFrame:
     """``burst_count`` and ``burst_us`` of each group.
 
     A burst is a run of rows above ``threshold``; it lasts from its first row to the first row after it. A run that is
@@ -77,7 +77,7 @@ def _every_lag(d: DataFrame, keys: list[str], block: int) -> DataFrame:
     return made.groupBy(*keys, "n", "lag").agg(F.sum("s").alias("s")).select(*keys, "lag", (F.col("s") / (F.col("n") - F.col("lag"))).alias("correlation"))
 
 
-def periodicity(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", max_lag: int | None = None, normalized: bool = False, split_us: int | None = None, block: int = BLOCK) -> DataFrame:
+def periodicity(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", max_lag: int | None = None, normalized: bool = False, split_us: int | Rows | None = None, block: int = BLOCK) -> DataFrame:
     """``is_periodic``, ``best_lag``, ``period_us`` and ``correlation`` of each group.
 
     For each lag below half the group's rows, the mean of the products of deviations that far apart; the best is the
@@ -132,7 +132,7 @@ def trend(rows: DataFrame, by: Sequence[str], ts: str = "ts", size: str = "bytes
     return out.select(*keys, F.when(F.col("n") < 2, 0.0).otherwise(slope).alias("slope"), direction.alias("direction"))
 
 
-def analyze(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", max_lag: int | None = None, split_us: int | None = None) -> DataFrame:
+def analyze(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), size: str = "bytes", max_lag: int | None = None, split_us: int | Rows | None = None) -> DataFrame:
     """One row a group with its bursts, period and trend."""
     run, period = bursts(rows, by, ts, tie, size, split_us=split_us), periodicity(rows, by, ts, tie, size, max_lag, split_us=split_us)
     return run.join(period, list(by)).join(trend(rows, by, ts, size), list(by))

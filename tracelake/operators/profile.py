@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordered import places
+from tracelake.operators.ordered import Rows, places
 from tracelake.operators.patterns import micros
 
 QUANTILES = (0.95, 0.99)
@@ -141,7 +141,7 @@ def rank_bounds(rows: DataFrame, found: DataFrame, by: Sequence[str], latency: s
     return met.groupBy(*by, "what", "count", "q", "value").agg(*[(p / F.col("count")).alias(n) for p, n in zip(places, ("below", "upto"), strict=True)])
 
 
-def time_series(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), latency: str = "latency_ns", size: str = "bytes", split_us: int | None = None) -> DataFrame:
+def time_series(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), latency: str = "latency_ns", size: str = "bytes", split_us: int | Rows | None = None) -> DataFrame:
     """The rows in the order of time within each group, with their places from 1."""
     d = rows.select(*by, *tie, micros(ts).alias("__us"), F.col(ts).alias("ts"), F.col(latency).alias("latency_ns"), F.col(size).alias("bytes"))
     return places(d, list(by), ("__us", *tie), "__i", split_us).select(*by, (F.col("__i") + 1).alias("place"), "ts", "latency_ns", "bytes")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.render import file_flags, file_name
 from tracelake.functions.text import flags_text, path_stack, trim_comm
 from tracelake.operators.aggregate import measure, moved_bytes
-from tracelake.operators.ordered import look_back
+from tracelake.operators.ordered import Rows, look_back
 from tracelake.operators.views import directory, mounts_of
 from tracelake.schema import MEASURES
 
@@ -81,7 +81,7 @@ def _with_mounts(sums: DataFrame, t: Tables) -> DataFrame:
 ADD = {"users": _with_users, "mounts": _with_mounts}
 
 
-def stacks(calls: DataFrame, levels: Sequence[str], count: str = "count", tables: Tables = Tables(), by: Sequence[str] = ("tid",), split_ns: int | None = None) -> DataFrame:
+def stacks(calls: DataFrame, levels: Sequence[str], count: str = "count", tables: Tables = Tables(), by: Sequence[str] = ("tid",), split_ns: int | Rows | None = None) -> DataFrame:
     """``stack`` and ``value``: the levels, joined by semicolons, of enriched calls, and the chosen measure.
 
     ``by`` are the columns of a thread and ``split_ns`` cuts its history, for levels that look at the call before. Unknown levels, and levels whose table is

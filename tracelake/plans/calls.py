@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.dims import syscall_dim
 from tracelake.operators import fdtable, filters, pairing
+from tracelake.operators.ordered import Rows
 from tracelake.schema import PAIRS
 
 
@@ -19,7 +20,7 @@ from tracelake.schema import PAIRS
 class Options:
     """What a run is asked for.
 
-    ``split_ns`` cuts long histories of a thread into spans of that many nanoseconds. ``run`` names the columns of the
+    ``split_ns`` cuts long histories of a thread into spans of that many nanoseconds, or with ``Rows`` those of crowded threads and descriptors into spans of so many rows. ``run`` names the columns of the
     events (host, run) that tell traces apart: equal threads, processes and numbers of two of them have nothing to do
     with each other; the dimension and the snapshots may have them too. With ``filter_first`` a call that the filters
     drop does not change the table of open files, as in the stream; without, files are looked up before the filters.
@@ -35,7 +36,7 @@ class Options:
     scope: str = "pid"
     strict_minus_one: bool = False
     keep_access_mode: bool = False
-    split_ns: int | None = None
+    split_ns: int | Rows | None = None
     run: tuple[str, ...] = ()
     filter_first: bool = False
 

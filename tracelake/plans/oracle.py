@@ -193,6 +193,8 @@ SQL: dict[str, str] = {
         CASE WHEN correlation > 0 THEN round(correlation * pow(10.0::DOUBLE, 5 - floor(log10(correlation)))) ELSE 0 END::BIGINT AS correlation FROM pe""",
     "pair_calls": f"{PAIRED} SELECT {CALLS}, name FROM vc",
     "pair_calls_split": f"{PAIRED} SELECT {CALLS}, name FROM vc",
+    "calls_crowded": f"""{EV}, cr AS (SELECT * REPLACE ((CASE WHEN tid % 10 < 9 THEN 1 ELSE tid END)::BIGINT AS tid) FROM ev),
+{_pairs('cr')} SELECT tid, exit_seq, name, {COMM} AS comm, exit_time_ns - enter_time_ns AS duration, {GAP} AS gap FROM vc {GAP_W}""",
     "pair_mismatches": f"{PAIRED} SELECT {CALLS} FROM mt WHERE NOT valid",
     "run_stats": f"""{PAIRED}, n AS (SELECT (SELECT count(*) FROM ev) AS tracepoints, (SELECT count(*) FROM mt) AS syscalls, (SELECT count(*) FROM mt WHERE NOT valid) AS mismatches,
         (SELECT count(*) FROM vc) AS syscalls_after_filter)

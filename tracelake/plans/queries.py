@@ -12,7 +12,7 @@ from tracelake.functions.dims import syscall_dim
 from tracelake.functions.render import HEADER, file_flags, file_name
 from tracelake.functions.text import basename, flags_text, octal, path_stack, trim_comm
 from tracelake.operators import aggregate, fdtable, filters, pairing, patterns, profile, stacks, views
-from tracelake.operators.ordered import places
+from tracelake.operators.ordered import Rows, places
 from tracelake.plans.calls import Options, completed_calls, enriched_calls, selected
 from tracelake.scratch import cut, shared_dir
 from tracelake.sources import dump, raw
@@ -56,6 +56,14 @@ def pair_calls_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.valid_calls(split, syscall_dim(spark)).select(*CALL_COLUMNS, "name")
 
 
+def calls_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with comm, duration and gap when nine in ten threads are one, which holds most of the trace: its history is cut into spans of equal rows."""
+    crowded, split = F.col("tid") % 10 < 9, Rows(2_000)
+    events = trace(spark, sf_dir).withColumn("tid", F.when(crowded, F.lit(1)).otherwise(F.col("tid")).cast("bigint"))
+    calls = fdtable.attach_comm(pairing.valid_calls(pairing.match(events, split_ns=split), syscall_dim(spark)), split_ns=split)
+    return pairing.durations(calls, split_ns=split).select("tid", "exit_seq", "name", F.coalesce("comm", F.lit("")).alias("comm"), "duration", "gap")
+
+
 def pair_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.mismatches(_matched(spark, sf_dir)).select(*CALL_COLUMNS)
 
@@ -414,7 +422,7 @@ def flame_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        pair_calls, pair_calls_split, pair_mismatches, run_stats, durations_gaps, comm_asof, fd_asof_roots, fd_asof_full, calls_full, calls_filtered, filters_open, filters_path,
+        pair_calls, pair_calls_split, calls_crowded, pair_mismatches, run_stats, durations_gaps, comm_asof, fd_asof_roots, fd_asof_full, calls_full, calls_filtered, filters_open, filters_path,
         filters_name, filters_process, comm_gate, tracepoint_select, is_call, flags_path_text, render_pairs, render_pairs_full, agg6, agg6_bytes, rollup_merge, collapse_default, collapse_comm_flags,
         rollup_paths, io_profile_events, io_profile_lineitem, time_series, bursts_events, bursts_lineitem, periodicity_events, trend_orders, patterns_events, decode_round_trip,
         quarantined, transitions, gaps_by_call, calls_hosts, calls_hosts_split, calls_filter_first, filters_thread, stats_map_events, saved_runs, collapsed_file,
