@@ -146,3 +146,44 @@ def test_what_is_kept_of_a_process_ends(spark, tmp_path):
     assert gone[:5] == [(10, "expired", "write"), (10, "forgotten", "/a/x"), (10, "forgotten", "one"), (20, "forgotten", "testfile.txt"), (20, "forgotten", "two")]
     left = spark.read.format("statestore").option("stateVarName", "files").load(str(tmp_path / "checkpoint"))
     assert left.count() == 0 and spark.read.format("statestore").option("stateVarName", "comms").load(str(tmp_path / "checkpoint")).count() == 0
+
+
+def with_late(t, seed):
+    """Batches of ``spread`` and, between them, events of the first half that come when the watermark has long passed them."""
+    first, second, *ends = spread(t, seed)
+    held, first = [e for e in first if e["seq"] % 9 == 0], [e for e in first if e["seq"] % 9]
+    pause = Trace(pid=98, tid=98).add("enter", "read", fd=1).rows[0] | {"seq": 9_000, "time_ns": max(e["time_ns"] for e in first + held) + 2_500_000_000}
+    # The watermark of a batch comes from those before it.
+    shift = 120_000_000_000
+    for e in (*second, *(x for b in ends for x in b)):
+        e["time_ns"] += shift
+    return [first, [pause], held, second, *ends], {e["seq"] for e in held}
+
+
+def test_windows_chained_to_the_pairing_with_late_rows(spark, tmp_path):
+    t = random_trace(21, 80)
+    for e in t.rows:
+        e["time_ns"] *= 40  # the windows of a minute get several rows
+    batches, held = with_late(t, 8)
+    folder, own, out, late = tmp_path / "events", Trace(), [], []
+    for rows in batches:
+        own.rows = rows
+        own.frame(spark).coalesce(1).write.mode("append").parquet(str(folder))
+        for name, to in (("windows", out), ("audit", late)):
+            calls = pairs.pair_stream(pairs.read_events(spark, str(folder), 1), FOLD_DIM, "2 seconds", audit=True, event_time=True)
+            result = pairs.window_counts(calls) if name == "windows" else calls.where("outcome = 'late'").drop("ts")
+            pairs.run_once(result, str(tmp_path / f"checkpoint-{name}"), lambda df, _, to=to: to.extend(r.asDict(recursive=True) for r in df.collect()))
+    behind = {r["enter_seq"] or r["exit_seq"] for r in late}
+    assert behind and behind <= held
+    t.rows = [e for e in t.rows if e["seq"] not in behind]
+    want = {}
+    for c in fold(t):
+        k = (c["exit_time_ns"] // 60_000_000_000, c["enter_trace_id"], c["comm"].strip(), c["pid"], c["tid"])
+        n, d, g = want.get(k, (0, 0, 0))
+        want[k] = (n + 1, d + c["duration"], g + c["gap"])
+    got = {}
+    for r in out:
+        k = (int(r["window"]["start"].timestamp()) // 60, r["trace_id"], r["comm"], r["pid"], r["tid"])
+        n, d, g = got.get(k, (0, 0, 0))
+        got[k] = (n + r["count"], d + r["duration"], g + r["duration_to_prev"])
+    assert got == want and len({k[0] for k in want}) > 1

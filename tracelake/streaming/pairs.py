@@ -5,8 +5,9 @@ into its state. A process has one timer, for the earliest thing that it waits fo
 the rest of the state only what their events touch. Pending enters wait for their exits without limit; with ``max_pending_ns`` they are
 dropped when the watermark has left them behind by more than that, and their later exits complete nothing. With ``idle_ns`` all that is
 kept of a process goes when the watermark has left its last event behind by more than that. With ``audit`` every row has an
-``outcome``: completed, mismatch (the ids of enter and exit do not fit), expired (an enter), or forgotten (a name or an open file of
-a process that went). Needs the RocksDB state store provider.
+``outcome``: completed, mismatch (the ids of enter and exit do not fit), expired (an enter), forgotten (a name or an open file of
+a process that went), or late (an event that came behind the watermark and takes no part). With ``event_time`` the watermark goes on with the
+result, so that windows (``window_counts``) can be chained to it in the same query. Needs the RocksDB state store provider.
 """
 
 from __future__ import annotations
@@ -35,7 +36,12 @@ NAMES = [c.split(" ")[0] for c in OUT.split(", ")]
 HELD = ("exe_comm",)
 #: The rows of the initial state: an open file (fd, name, flags) or the program of a thread (tid, exe_comm) of a process each.
 KNOWN = "tid bigint, fd int, name string, flags int, exe_comm string"
-SECOND, MILLI = 1_000_000_000, 1_000_000
+SECOND, MILLI, MICRO = 1_000_000_000, 1_000_000, 1_000
+
+
+def passed(watermark_ms: int) -> int:
+    """The first time in nanoseconds that the watermark has not passed: Spark compares microseconds, and what equals it counts as passed."""
+    return watermark_ms * MILLI + MICRO if watermark_ms > 0 else 0
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = None, more: str = "") -> DataFrame:
@@ -90,9 +96,9 @@ class Held:
 
 
 class PairProcessor(StatefulProcessor):
-    def __init__(self, dim: Mapping[int, tuple[str, str]], comm: str, path: str, max_pending_ns: int | None, filter_first: bool, audit: bool, run: tuple[str, ...], idle_ns: int | None, snapshots: bool):
+    def __init__(self, dim: Mapping[int, tuple[str, str]], comm: str, path: str, max_pending_ns: int | None, filter_first: bool, audit: bool, run: tuple[str, ...], idle_ns: int | None, snapshots: bool, event_time: bool = False):
         self.dim, self.comm, self.path, self.max_pending_ns, self.filter_first, self.audit = dict(dim), comm, path, max_pending_ns, filter_first, audit
-        self.run, self.idle_ns, self.snapshots = run, idle_ns, snapshots
+        self.run, self.idle_ns, self.snapshots, self.event_time = run, idle_ns, snapshots, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -116,22 +122,26 @@ class PairProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         came: dict[int, list[dict]] = {}
+        late, passed_ns = [], passed(timerValues.getCurrentWatermarkInMs())
         for pdf in rows:
             own = pdf[[c for c in (*COLUMNS, *HELD) if c in pdf.columns]]
             for r in own.astype(object).where(own.notna(), None).to_dict("records"):
                 row = {k: v if v is None or isinstance(v, str) else int(v) for k, v in r.items()}
-                came.setdefault(row["time_ns"] // SECOND, []).append(row)
+                if self.audit and row["time_ns"] < passed_ns:
+                    late.append(self._late(row))
+                else:
+                    came.setdefault(row["time_ns"] // SECOND, []).append(row)
         for second, new in came.items():
             old = self.buffer.getValue((second,))
             self.buffer.updateValue((second,), (json.dumps((json.loads(old[0]) if old else []) + new),))
-        times = [r["time_ns"] for new in came.values() for r in new]
-        timer, seen = self.clock.get() or (None, None)
-        self._wake(timer, min(times), max(times) if seen is None else max(seen, *times), keep=True)
-        yield pd.DataFrame()
+        if times := [r["time_ns"] for new in came.values() for r in new]:
+            timer, seen = self.clock.get() or (None, None)
+            self._wake(timer, min(times), max(times) if seen is None else max(seen, *times), keep=True)
+        yield self._frame(key, late, passed_ns) if late else pd.DataFrame()
 
     def _wake(self, timer: int | None, at_ns: int | None, seen_ns: int, keep: bool = False) -> None:
         """Set the one timer to when the watermark is past ``at_ns``; with ``keep`` an earlier one stays. Timers are whole milliseconds."""
-        want = None if at_ns is None else at_ns // MILLI + 1
+        want = None if at_ns is None else -(at_ns // MICRO // -1_000)
         if keep and timer is not None and (want is None or timer <= want):
             want = timer
         if timer is not None and timer != want:
@@ -157,7 +167,7 @@ class PairProcessor(StatefulProcessor):
         return sorted(due, key=lambda r: (r["time_ns"], r["seq"])), min(later, default=None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due_ns = timerValues.getCurrentWatermarkInMs() * MILLI
+        due_ns = passed(timerValues.getCurrentWatermarkInMs())
         due, next_ns = self._due(due_ns)
         timer, seen_ns = self.clock.get()
         out = []
@@ -190,7 +200,7 @@ class PairProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         else:
             self._wake(timer, min(waits + ([] if ends_ns is None else [ends_ns]), default=None), seen_ns)
-        yield self._frame(key, out)
+        yield self._frame(key, out, due_ns)
 
     def _forget(self, key) -> list[dict]:
         """Drop all that is kept of the process, and say what that was."""
@@ -202,13 +212,26 @@ class PairProcessor(StatefulProcessor):
             state.clear()
         return out
 
-    def _frame(self, key, out: list[dict]) -> pd.DataFrame:
+    def _frame(self, key, out: list[dict], passed_ns: int) -> pd.DataFrame:
         own = dict(zip(self.run, key[:-1], strict=True))
         names = [*self.run, *NAMES]
-        if not self.audit:
-            return pd.DataFrame([own | r for r in out if r["outcome"] == "completed"], columns=names)
-        whole = pd.DataFrame([dict.fromkeys(names) | own | r for r in out], columns=[*names, "outcome"], dtype=object)
-        return whole.where(whole.notna(), None)
+        if self.audit:
+            whole = pd.DataFrame([dict.fromkeys(names) | own | r for r in out], columns=[*names, "outcome"], dtype=object)
+            made = whole.where(whole.notna(), None)
+        else:
+            out = [r for r in out if r["outcome"] == "completed"]
+            made = pd.DataFrame([own | r for r in out], columns=names)
+        if self.event_time:
+            # A call is as old as its exit, which the watermark has just passed; what is older than that counts as of now.
+            at = [r["exit_time_ns"] if r["outcome"] in ("completed", "mismatch") else passed_ns for r in out]
+            made["ts"] = pd.to_datetime(pd.Series(at, dtype="int64") // 1_000, unit="us", utc=True)
+        return made
+
+    def _late(self, event: dict) -> dict:
+        """An event that came too late, as a call without its other half."""
+        half = "enter" if event["phase"] == "enter" else "exit"
+        row = dict.fromkeys(NAMES) | {"outcome": "late", "pid": event["pid"], "tid": event["tid"], "ret": event["ret"]}
+        return row | {f"{half}_seq": event["seq"], f"{half}_time_ns": event["time_ns"], f"{half}_trace_id": event["trace_id"]}
 
     def _lost(self, enter: dict, end: dict | None = None) -> dict:
         """An enter that completes nothing, with the exit that consumed it, if any."""
@@ -233,7 +256,7 @@ def _known(proc_fd: DataFrame | None, proc_exe: DataFrame | None, run: Sequence[
 
 def pair_stream(
     events: DataFrame, dim: Mapping[int, tuple[str, str]], delay: str = "10 seconds", comm: str = "", path: str = "", max_pending_ns: int | None = None, filter_first: bool = True, audit: bool = False,
-    proc_fd: DataFrame | None = None, proc_exe: DataFrame | None = None, run: Sequence[str] = (), idle_ns: int | None = None,
+    proc_fd: DataFrame | None = None, proc_exe: DataFrame | None = None, run: Sequence[str] = (), idle_ns: int | None = None, event_time: bool = False,
 ) -> DataFrame:
     """A stream of completed calls from a stream of typed events, with the state kept by process.
 
@@ -241,16 +264,20 @@ def pair_stream(
     ``filter_first`` a call that the filters drop does not change the table of open files; the batch form's option of
     that name is off by default. ``proc_fd`` and ``proc_exe`` are snapshots as for the batch form, with the columns of ``run``. They become
     the initial state of their processes, once, when the query first starts; a ``proc_exe`` without a ``pid`` is joined to the events.
+    Events later than the watermark are dropped by Spark, or with ``audit`` are rows of their own. With ``event_time`` there is a column
+    ``ts``, the time of the exit, which carries the watermark on.
     """
     if proc_exe is not None and "pid" not in proc_exe.columns:
         events, proc_exe = events.join(proc_exe.select(*run, "tid", "exe_comm"), [*run, "tid"], "left"), None
     timed = events.withColumn("ts", F.timestamp_micros(F.expr("time_ns div 1000"))).withWatermark("ts", delay)
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in events.schema if f.name in run]
-    out = ", ".join([*kinds, OUT] + ["outcome string"] * audit)
+    out = ", ".join([*kinds, OUT] + ["outcome string"] * audit + ["ts timestamp"] * event_time)
+    if audit:
+        timed = timed.drop("ts")  # the watermark moves on as before, but Spark drops nothing behind it
     known = _known(proc_fd, proc_exe, run)
-    made = PairProcessor(dim, comm, path, max_pending_ns, filter_first, audit, tuple(run), idle_ns, known is not None)
+    made = PairProcessor(dim, comm, path, max_pending_ns, filter_first, audit, tuple(run), idle_ns, known is not None, event_time)
     keys = [*run, "pid"]
-    return timed.groupBy(*keys).transformWithStateInPandas(made, out, "append", "eventTime", initialState=None if known is None else known.groupBy(*keys))
+    return timed.groupBy(*keys).transformWithStateInPandas(made, out, "append", "eventTime", initialState=None if known is None else known.groupBy(*keys), eventTimeColumnName="ts" if event_time else "")
 
 
 def dim_map(dim: DataFrame) -> dict[int, tuple[str, str]]:
@@ -267,14 +294,21 @@ def _with_class(calls: DataFrame) -> DataFrame:
     return calls.withColumn("io_class", F.coalesce(known[F.col("name")], F.lit("none")))
 
 
-def window_counts(calls: DataFrame, width: str = "1 minute", delay: str = "10 seconds") -> DataFrame:
-    """The six-key aggregate in windows of the exit's time, from a stream (or a table) of completed calls."""
+def window_counts(calls: DataFrame, width: str = "1 minute", delay: str = "10 seconds", run: Sequence[str] = ()) -> DataFrame:
+    """The six-key aggregate in windows of the exit's time, from completed calls: a table, a stream of them, or ``pair_stream`` itself.
+
+    With its option ``event_time`` the windows are chained to the pairing in one query: its watermark closes them, and ``delay`` is not used. Of a stream
+    with outcomes completed calls count. ``run`` are further keys.
+    """
+    chained = "ts" in calls.columns
+    if "outcome" in calls.columns:
+        calls = calls.where("outcome = 'completed'")
     rows = _with_class(calls).select(
-        F.timestamp_micros(F.expr("exit_time_ns div 1000")).alias("ts"), file_name(F.col("file")).alias("path"), F.col("enter_trace_id").alias("trace_id"),
-        trim_comm(F.col("comm")).alias("comm"), "pid", "tid", file_flags(F.col("file")).alias("flags"), "duration", "gap", moved_bytes().alias("moved"),
+        F.col("ts") if chained else F.timestamp_micros(F.expr("exit_time_ns div 1000")).alias("ts"), file_name(F.col("file")).alias("path"), F.col("enter_trace_id").alias("trace_id"),
+        trim_comm(F.col("comm")).alias("comm"), "pid", "tid", file_flags(F.col("file")).alias("flags"), "duration", "gap", moved_bytes().alias("moved"), *run,
     )
     sums = [F.count("*").alias("count"), F.sum("duration").alias("duration"), F.sum("gap").alias("duration_to_prev"), F.sum("moved").alias("bytes")]
-    return rows.withWatermark("ts", delay).groupBy(F.window("ts", width), *KEYS6).agg(*sums)
+    return (rows if chained else rows.withWatermark("ts", delay)).groupBy(F.window("ts", width), *run, *KEYS6).agg(*sums)
 
 
 def add_to_aggregate(path: str) -> Callable[[DataFrame, int], None]:
