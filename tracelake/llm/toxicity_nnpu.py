@@ -120,6 +120,22 @@ def _per_text(table: DataFrame, out: str, make: Callable[[str, Counter, int], It
     return table.select("y", "id", "text").mapInArrow(run, f"y int, id {table.schema['id'].dataType.simpleString()}, {out}")
 
 
+def _mark_counts(table: DataFrame) -> DataFrame:
+    """``mark``, ``p`` and ``u``: in how many positive and unlabelled texts each mark is, summed up over a few texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (w.slice(i, 64) for w in batches for i in range(0, w.num_rows, 64)):
+            seen = (Counter(), Counter())
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts, n = _counts(text)
+                seen[y].update(f"{i}{base}" for base, times in counts.items() for i in levels(times, n))
+            marks = list(seen[0].keys() | seen[1].keys())
+            columns = [pa.array(marks, pa.string()), *(pa.array([seen[y][m] for m in marks], pa.int64()) for y in (1, 0))]
+            yield pa.RecordBatch.from_arrays(columns, ["mark", "p", "u"])
+
+    return table.select("y", "text").mapInArrow(run, "mark string, p bigint, u bigint")
+
+
 def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of a fit as a table: ``id``, ``y`` (1: positive, 0: unlabelled), ``text``."""
     order = [F.xxhash64("id"), F.col("id")]
@@ -134,7 +150,8 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> Da
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the rows that are not held out: at most POSITIVES labelled 1 and UNLABELLED of any kind, by hash of the id.
 
-    Texts are read whole, by the executors: only counts of marks and the chosen marks of each row come to the driver. The
+    Texts are read whole, by the executors, which also rank the marks: the driver gets MARKS marks at most, and of each row of the sample those that
+    it has, at most (POSITIVES + UNLABELLED) * MARKS names, whatever the length of texts. The
     class prior is the share of 1 among the labels that are not held out. A repeated id counts once, by the greatest of
     its labels and the text of the smallest hash; null ids, null labels and empty texts are left out. Without positives,
     rows or marks every text gets the prior.
@@ -149,20 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n_pos or not n_any:
         return flat
     support = max(SUPPORT, SUPPORT_SHARE * n_pos)
-    # At most the mean number of bases of a positive text, divided by SUPPORT_SHARE.
-    frequent = _per_text(sample.where("y = 1"), "base string", lambda t, c, n: c).groupBy("base").count().where(F.col("count") >= support)
-    bases_ = frozenset(r[0] for r in frequent.select("base").collect())
-    marks = cut(_per_text(sample, "mark string", lambda t, c, n: (f"{i}{b}" for b, times in c.items() if b in bases_ for i in levels(times, n))))
-    counted = marks.groupBy("mark").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u")).where(F.col("p") >= support).toPandas().sort_values("mark")
-    dp, du = counted["p"].to_numpy(float), counted["u"].to_numpy(float)
-    share, pool = dp / n_pos - du / n_any, (dp + du) / (n_pos + n_any)
-    z = share / np.sqrt(pool * (1 - pool) * (1 / n_pos + 1 / n_any) + 1e-12)
-    chosen = np.argsort(-z, kind="stable")[:MARKS]
-    names = counted["mark"].to_numpy()[chosen[z[chosen] > LEAST_Z]].tolist()
+    p, u = F.col("p"), F.col("u")
+    pool = (p + u) / (n_pos + n_any)
+    z = (p / n_pos - u / n_any) / F.sqrt(pool * (1 - pool) * (1 / n_pos + 1 / n_any) + 1e-12)
+    counted = _mark_counts(sample).groupBy("mark").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(p >= support).withColumn("z", z)
+    names = [r["mark"] for r in counted.where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "mark").limit(MARKS).collect()]
     if not names:
         return flat
     at = {m: i for i, m in enumerate(names)}
-    held = marks.where(F.col("mark").isin(names)).select("y", "id", "mark").toPandas()  # at most MARKS for each row of the sample
+    bases_ = {m[1:] for m in names}
+    own_marks = _per_text(sample, "mark string", lambda t, c, n: (m for b in bases_ & c.keys() for i in levels(c[b], n) if (m := f"{i}{b}") in at))
+    held = own_marks.toPandas()  # at most MARKS for each row of the sample
     x = {1: np.zeros((n_pos, len(names)), np.float32), 0: np.zeros((n_any, len(names)), np.float32)}
     for y, own in held.groupby("y"):
         x[y][np.unique(own["id"].to_numpy(), return_inverse=True)[1], own["mark"].map(at).to_numpy()] = 1
