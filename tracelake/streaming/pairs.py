@@ -25,6 +25,7 @@ from tracelake.functions.render import file_flags, file_name
 from tracelake.functions.text import trim_comm
 from tracelake.operators.aggregate import agg6, merge, moved_bytes
 from tracelake.schema import AGG6, EVENTS, KEYS6, PAIRS
+from tracelake.sources import parts
 from tracelake.sources.raw import decode_events
 from tracelake.streaming.fold import ProcessState, step
 
@@ -311,21 +312,25 @@ def window_counts(calls: DataFrame, width: str = "1 minute", delay: str = "10 se
     return (rows if chained else rows.withWatermark("ts", delay)).groupBy(F.window("ts", width), *run, *KEYS6).agg(*sums)
 
 
-def add_to_aggregate(path: str) -> Callable[[DataFrame, int], None]:
+def add_to_aggregate(path: str, compact_every: int | None = None) -> Callable[[DataFrame, int], None]:
     """A sink for ``run_once``: each batch's six-key aggregate, bytes included, as a part of the table at ``path``.
 
-    A batch that is tried again replaces its part, so every call counts once. ``saved_aggregate`` merges the parts.
+    A batch that is tried again replaces its part, so every call counts once. ``saved_aggregate`` merges the parts; with ``compact_every`` the sink does so
+    itself after that many batches, so that a reader meets few parts however long the stream runs.
     """
 
     def sink(calls: DataFrame, batch: int) -> None:
-        agg6(_with_class(calls), with_bytes=True).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        spark = calls.sparkSession
+        parts.add_part(agg6(_with_class(calls), with_bytes=True), path, batch)
+        if compact_every and len(parts.layout(spark, path)[1]) >= compact_every:
+            parts.compact(spark, path, AGG6, merge)
 
     return sink
 
 
 def saved_aggregate(spark: SparkSession, path: str) -> DataFrame:
     """The aggregate of all batches so far."""
-    return merge(spark.read.schema(AGG6).option("basePath", path).parquet(path))
+    return merge(parts.read_parts(spark, path, AGG6))
 
 
 def run_once(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", timeout: float | None = None) -> None:
