@@ -187,3 +187,41 @@ def test_windows_chained_to_the_pairing_with_late_rows(spark, tmp_path):
         n, d, g = got.get(k, (0, 0, 0))
         got[k] = (n + r["count"], d + r["duration"], g + r["duration_to_prev"])
     assert got == want and len({k[0] for k in want}) > 1
+
+
+def test_report_of_the_stream(spark, tmp_path):
+    from tracelake.streaming.report import StreamReport
+
+    t = random_trace(31, 40)
+    folder, own, out, report = tmp_path / "events", Trace(), [], StreamReport()
+    batches = spread(t, 9)
+    n = sum(map(len, batches))
+    batches.append([batches[0][0] | {"seq": 20_000}])  # an event that comes far too late
+    for rows in batches:
+        own.rows = rows
+        own.frame(spark).coalesce(1).write.mode("append").parquet(str(folder))
+    spark.streams.addListener(report)
+    try:
+        events = pairs.read_events(spark, str(folder), 1)
+        calls = report.calls(pairs.pair_stream(report.events(events), FOLD_DIM, "2 seconds", audit=True))
+        pairs.run_once(calls, str(tmp_path / "checkpoint"), lambda df, _: out.extend(r["outcome"] for r in df.collect()))
+        row = report.row(spark, 2.0, wait=30).first()
+    finally:
+        spark.streams.removeListener(report)
+    assert (row["tracepoints"], row["late"]) == (n + 1, 1) and out.count("late") == 1
+    assert row["syscalls_after_filter"] == out.count("completed") == len(fold(t)) > 0
+    assert row["mismatches"] == out.count("mismatch") and row["syscalls"] == row["mismatches"] + row["syscalls_after_filter"]
+    assert row["tracepoints_per_second"] == (n + 1) / 2
+
+
+def test_a_batch_that_is_tried_again_counts_once(spark):
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from tracelake.streaming.report import StreamReport
+
+    report = StreamReport()
+    for batch, n in ((0, 5), (1, 7), (1, 6), (2, 1)):
+        report.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(observedMetrics={report._events: Row(tracepoints=n)}, runId="r", batchId=batch)))
+    assert report.row(spark, 1.0).first()["tracepoints"] == 12

@@ -85,10 +85,10 @@ def run_stats(events: DataFrame, matched: DataFrame, filtered: DataFrame, second
     b = matched.agg(F.count("*").alias("syscalls"), F.coalesce(F.sum((~F.col("valid")).cast("bigint")), F.lit(0)).alias("mismatches"))
     c = filtered.agg(F.count("*").alias("syscalls_after_filter"))
     # Three one-row tables.
-    return _rates(a.join(b, F.lit(True)).join(c, F.lit(True)), seconds)
+    return rates(a.join(b, F.lit(True)).join(c, F.lit(True)), seconds)
 
 
-def _rates(one: DataFrame, seconds: float) -> DataFrame:
+def rates(one: DataFrame, seconds: float) -> DataFrame:
     out = one.withColumn("mismatch_percent", F.when(F.col("tracepoints") > 0, 100.0 * F.col("mismatches") / F.col("tracepoints")).otherwise(0.0))
     for name in ("tracepoints", "syscalls", "syscalls_after_filter"):
         out = out.withColumn(f"{name}_per_second", F.col(name) / F.lit(float(seconds)))
@@ -129,4 +129,4 @@ class RunReport:
         names = ("tracepoints", "syscalls", "mismatches", "syscalls_after_filter")
         got = {k: v for o in self._seen.values() for k, v in o.get.items()}
         one = spark.range(1).select(*[F.lit(got.get(n, 0)).cast("bigint").alias(n) for n in names])
-        return _rates(one, seconds)
+        return rates(one, seconds)
