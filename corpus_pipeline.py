@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelake.llm import bpe, line_dedup, mixing, simhash, toxicity_nnpu
 from tracelake.llm.common import table
 from tracelake.llm.queries import TOXIC, vocabulary
-from tracelake.scratch import cut, mark, release
+from tracelake.scratch import Owner, cut, drop
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in a row. When a stage's rows are written, the tables that it and the stage before left are deleted."""
+    """The stages in a row. When a stage's rows are written, the tables that it and the stage before left are deleted, and
+    no others, so runs may go side by side. The last stage's input stays for the result, and belongs to the caller's owner."""
     docs = table(spark, sf_dir, "documents")
-    before = mark()
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-        release(spark, before, keep=[docs])
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with Owner() as own:
+            made = stage(spark, docs, sf_dir)
+        before, docs = docs, cut(made)
+        own.release(spark)
+        if i:
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from tracelake.functions.text import basename, flags_text, octal, path_stack, tr
 from tracelake.operators import aggregate, fdtable, filters, pairing, patterns, profile, stacks, views
 from tracelake.operators.ordered import Rows, places
 from tracelake.plans.calls import Options, completed_calls, enriched_calls, selected
-from tracelake.scratch import cut, shared_dir
+from tracelake.scratch import cut, place
 from tracelake.sources import dump, raw
 from tracelake.sources.sinks import load_aggregate, load_runs, row_stream, save_aggregate, save_run, write_collapsed, write_rows
 from tracelake.sources.trace import HOSTS_IDS, hosts_trace, trace
@@ -312,7 +311,7 @@ def stats_map_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each host's aggregate saved as a run, loaded again, merged, and collapsed by bytes."""
-    calls, path = cut(_hosts(spark, sf_dir).select("host", "file", "enter_trace_id", "comm", "pid", "tid", "duration", "gap", "io_class", "ret")), f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    calls, path = cut(_hosts(spark, sf_dir).select("host", "file", "enter_trace_id", "comm", "pid", "tid", "duration", "gap", "io_class", "ret")), place(spark)
     for host in ("h0", "h1"):
         save_aggregate(aggregate.agg6(calls.where(F.col("host") == host), with_bytes=True), path, host, "run", "1")
     merged = aggregate.merge(load_aggregate(spark, path))
@@ -322,7 +321,7 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collapsed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacks by count as written to compressed text, the second writing left out as the first is there."""
     stacks = aggregate.collapse(aggregate.agg6(_hosts(spark, sf_dir)), syscall_dim(spark, HOSTS_IDS), ("path", "flags"), "count")
-    base = f"{shared_dir(spark)}/stacks-{uuid.uuid4().hex}"
+    base = f"{place(spark)}/stacks"
     path = write_collapsed(stacks, base, ("path", "flags"), "count")
     write_collapsed(stacks.limit(0), base, ("path", "flags"), "count")
     return spark.read.text(path).withColumnRenamed("value", "line")
@@ -330,7 +329,7 @@ def collapsed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rows_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row stream as written to text, without its header."""
-    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    path = place(spark)
     write_rows(completed_calls(trace(spark, sf_dir)), path)
     return spark.read.text(path).where(F.col("value") != HEADER)
 
@@ -360,7 +359,7 @@ def sketch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Sketches are random: a place is held to twice the error that 99 of 100 keep.
     """
-    rows, path = _events_series(spark, sf_dir), f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    rows, path = _events_series(spark, sf_dir), place(spark)
     for host, rest in (("even", 0), ("odd", 1), ("even", 0)):
         save_run(profile.sketch_profile(rows.where(F.pmod("event_id", F.lit(2)) == rest), ["event_type"]), path, host, "events", "1")
     found = profile.sketch_quantiles(profile.merge_sketches(load_runs(spark, path), ["event_type"]), ["event_type"])
@@ -372,7 +371,7 @@ def sketch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace as a binary dump of several files, read again by ranges that cut records, and decoded; ``place`` is that of the record in the trace."""
     dump.register(spark)
-    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    path = place(spark)
     records = raw.encode_events(trace(spark, sf_dir)).repartitionByRange(6, "seq").sortWithinPartitions("seq")
     records.write.format(dump.NAME).mode("append").save(path)
     done = cut(raw.decode_events(spark.read.format(dump.NAME).option("rangeBytes", 1_000_003).load(path)))

@@ -1,15 +1,43 @@
-"""Tables that cut a lineage, in the folder that driver and executors share."""
+"""Tables that cut a lineage, in the folder that driver and executors share.
+
+Each table belongs to the owner that was entered when it was made, so jobs that run side by side delete their own tables only:
+
+    with scratch.Owner() as own:
+        query(spark, path).write.parquet(target)
+    own.release(spark)
+"""
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The tables that this process has written and not yet deleted, by path.
-_made: list[str] = []
+#: The tables and folders that this process has made and not yet deleted, by path, with their owners.
+_made: dict[str, Owner | None] = {}
+#: The owner that is entered; each thread has its own, and starts without.
+_current: contextvars.ContextVar[Owner | None] = contextvars.ContextVar("owner", default=None)
+
+
+class Owner:
+    """What is made while it is entered is its own, and stays until ``release``: results may still have to be read.
+
+    Owners may be entered within each other (the innermost one gets the tables) and again, one thread at a time.
+    """
+
+    def __enter__(self) -> Owner:
+        self._before = _current.set(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _current.reset(self._before)
+
+    def release(self, spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
+        """Delete the owner's tables but those that ``keep`` reads."""
+        _release(spark, self, keep)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,14 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder, for a table or a folder of files, which is deleted with the owner's tables."""
+    path = f"{shared_dir(spark)}/tracelake/{uuid.uuid4().hex}"
+    _made[path] = _current.get()
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     This ends the lineage: a lost executor costs no recomputation of what lies before, and what is used more than
     once is computed once. The table stays until ``drop`` or ``release`` deletes it.
     """
-    path = f"{shared_dir(df.sparkSession)}/tracelake/{uuid.uuid4().hex}"
-    _made.append(path)
+    path = place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,22 +75,25 @@ def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
     for p in list(paths):
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(hadoop).delete(path, True)
-        if p in _made:
-            _made.remove(p)
+        _made.pop(p, None)
+
+
+def _read(tables: Iterable[DataFrame]) -> set[str]:
+    """The names of the folders that the tables read."""
+    return {part for t in tables for f in t.inputFiles() for part in f.split("/")[:-1]}
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote and that nothing reads any more."""
-    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
-    _delete(df.sparkSession, [p for p in _made if p.rsplit("/", 1)[-1] in names])
+    names = {f.split("/")[-2] for f in df.inputFiles()}
+    _delete(df.sparkSession, [p for p in list(_made) if p.rsplit("/", 1)[-1] in names])
 
 
-def mark() -> int:
-    """How many tables there are now: what is cut later can be released from here on."""
-    return len(_made)
+def _release(spark: SparkSession, owner: Owner | None, keep: Iterable[DataFrame]) -> None:
+    names = _read(keep)
+    _delete(spark, [p for p, own in list(_made.items()) if own is owner and p.rsplit("/", 1)[-1] not in names])
 
 
-def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
-    """Delete the tables cut from ``since`` on but those that ``keep`` reads: to be called when results have been written."""
-    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for k in keep for f in k.inputFiles()}
-    _delete(spark, [p for p in _made[since:] if p.rsplit("/", 1)[-1] not in names])
+def release(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
+    """Delete the tables that no owner has but those that ``keep`` reads: to be called when results have been written."""
+    _release(spark, None, keep)
