@@ -148,6 +148,24 @@ def test_one_cell_of_all_queries_is_cut(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == exact(rows, [r for r in rows if r[0] >= 1000], 4, dot)
 
 
+def test_queries_go_to_the_chunks_that_their_rings_reach(spark, monkeypatch):
+    assert knn_voronoi.joined([(4, 5), (0, 1), (2, 2), (5, 9), (12, 12)]) == [(0, 2), (4, 9), (12, 12)] and knn_voronoi.joined([]) == []
+    r = np.random.default_rng(11)
+    # Clusters far from each other, one with a third of the rows, copies, and an id with many vectors.
+    heart = [(200.0 * np.eye(6)[i % 6] * (1 + i // 6)).tolist() for i in range(12)]
+    rows = [(i, [float(v) for v in np.float32(np.array(heart[i % 12 if i % 3 else 5]) + r.standard_normal(6))]) for i in range(900)]
+    rows += [(5000 + i, rows[5][1]) for i in range(60)] + [(7000, [float(v) for v in np.float32(np.array(heart[1]) + r.standard_normal(6))]) for _ in range(150)]
+    data = frame(spark, rows)
+    monkeypatch.setattr(knn_voronoi, "CHUNK", 50)
+    monkeypatch.setattr(knn_voronoi, "GROUP", 20)
+    sent, plain = [], knn_voronoi.joined
+    monkeypatch.setattr(knn_voronoi, "joined", lambda runs: sent.append(runs) or plain(runs))
+    got = knn_voronoi.search(data, data.where("vec_id % 10 = 0 and vec_id < 5000"), 4)
+    assert sorted(map(tuple, got.collect())) == exact(rows, [x for x in rows if x[0] % 10 == 0 and x[0] < 5000], 4, dot)
+    chunks = max(b for runs in sent for _, b in runs) + 1
+    assert chunks >= 21 and sum(b - a + 1 for runs in sent for a, b in runs) < 0.7 * chunks * len(sent)
+
+
 def test_inner_products_beyond_doubles(spark):
     r = np.random.default_rng(9)
     rows = [(i, [float(v) for v in r.integers(-(1 << 19), 1 << 19, 4) + r.random(4)]) for i in range(60)]

@@ -4,7 +4,8 @@ A vector x becomes (x, sqrt(M - |x|^2)), M the largest squared length, and a que
 distance are those of the largest inner product. Pivots divide the space. Each cell of queries has a bound on the
 distance of its queries' k-th neighbour, from the cells' summaries alone: their sizes, radii and the smallest distances to the
 pivot of k + 1 ids. By the triangle inequality a vector can be among the answers of a cell of queries only if its distance to
-its own pivot lies in a ring, so only such vectors go to the cell's group. Groups are solved locally, in chunks.
+its own pivot lies in a ring, so only such vectors go to the cell's group. Groups are solved locally, in chunks of data that
+follow its cells, and queries go only to the chunks that hold a cell whose vectors a ring of theirs reaches.
 """
 
 from __future__ import annotations
@@ -44,16 +45,17 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _cells(rows: DataFrame, pivots: np.ndarray, largest: float | None, dim: int) -> DataFrame:
-    """The rows with their cell and the distance to its pivot; ``largest`` lifts data, None leaves queries flat."""
+    """The rows with their cell, the distance to its pivot and a mix of the whole-number vector; ``largest`` lifts data, None leaves queries flat."""
+    odd = np.random.default_rng(dim).integers(0, 1 << 62, dim) * 2 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = whole(matrix(b.column(1), dim))
             last = np.sqrt(np.maximum(largest - (x**2).sum(1), 0)) if largest is not None else np.zeros(len(x))
             d = _distances(np.c_[x, last], pivots)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1, initial=np.inf))], ["id", "vec", "cell", "dist"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1, initial=np.inf)), pa.array(((x + 0.0).view(np.int64) * odd).sum(1))], ["id", "vec", "cell", "dist", "mix"])
 
-    return rows.mapInArrow(run, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int, dist double")
+    return rows.mapInArrow(run, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int, dist double, mix long")
 
 
 def rings(between: np.ndarray, reach: np.ndarray, data_cells: list, k: int, slack: float, data_ids: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +121,11 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     low, high = rings(_distances(pivots, pivots), reach, [[h[0] for h in c] for c in cells], k, slack, [[h[1] for h in c] for c in cells])
 
     per_group, group_of, parts_of = groups([queried.get(i, (0, 0))[0] for i in range(len(pivots))], pivots[:, 0])
-    chunks = int(max(np.ceil(count / CHUNK), min(spark.sparkContext.defaultParallelism, np.ceil(count / 1024))))
+    stats = {c: s for c, *s in placed.groupBy("cell").agg(F.count("*"), F.min("dist"), F.max("dist")).collect()}
+    held, closest, widest = zip(*[stats.get(i, (0, np.inf, -np.inf)) for i in range(len(pivots))], strict=True)
+    _, chunk_of, chunks_of = groups(list(held), pivots[:, 0], int(min(CHUNK, max(1024, np.ceil(count / spark.sparkContext.defaultParallelism)))))
+    meets = (low <= np.array(widest)) & (high >= np.array(closest))
+    runs = {i: made for own, _ in per_group for made in [joined([(chunk_of[j], chunk_of[j] + chunks_of[j] - 1) for j in np.flatnonzero(meets[own].any(0))])] for i in own}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,16 +136,26 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
                     need |= (dist >= low[i, cell]) & (dist <= high[i, cell])
                 part = b.filter(pa.array(need))
                 for g in numbers if len(part) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g), pa.int32()), part.column(0), part.column(1)], ["g", "id", "vec"])
-
-    shape = f"g int, id long, vec array<{kind}>"
-    sent = placed.mapInArrow(send, shape).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("asks", F.lit(False))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g), pa.int32()), *(part.column(i) for i in (0, 1, 4))], ["g", "id", "vec", "chunk"])
 
     def of_cell(values: list[int]) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cell") + 1)
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = b.column(3).to_numpy()
+            for i in np.unique(cell):
+                part = b.filter(pa.array(cell == i))
+                for run in runs[i]:
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(np.full(len(part), c), pa.int32()) for c in run)], ["g", "id", "vec", "first", "last"])
+
+    shape = f"g int, id long, vec array<{kind}>"
+    # Rows that share id and whole numbers stay together; others of one id need not.
+    chunk = of_cell(chunk_of) + F.pmod(F.xxhash64("id", "mix"), of_cell(chunks_of)).cast("int")
+    sent = placed.select("id", "vec", "cell", "dist", chunk.alias("chunk")).mapInArrow(send, shape + ", chunk int").withColumn("asks", F.lit(False))
     number = of_cell(group_of) + F.pmod(F.xxhash64("id", F.lit(1)), of_cell(parts_of)).cast("int")
-    asks = placed_asked.select(number.alias("g"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(True).alias("asks"))
+    asks = placed_asked.select(number.alias("g"), "id", "vec", "cell").mapInArrow(ask, shape + ", first int, last int")
+    asks = asks.select("g", "id", "vec", F.explode(F.sequence("first", "last")).alias("chunk"), F.lit(True).alias("asks"))
 
     def solve(t: pa.Table) -> pa.Table:
         asks = t.column("asks").to_numpy(zero_copy_only=False)
@@ -161,22 +177,34 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     return rank(found, k)
 
 
-def groups(sizes: list[int], along: np.ndarray) -> tuple[list[tuple[list[int], list[int]]], list[int], list[int]]:
-    """Cells of queries in groups of about GROUP queries, neighbours in the order of ``along``.
+def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of numbers, ends included, with those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def groups(sizes: list[int], along: np.ndarray, most: int | None = None) -> tuple[list[tuple[list[int], list[int]]], list[int], list[int]]:
+    """Cells in groups of about ``most`` rows (GROUP), neighbours in the order of ``along``.
 
-    A cell of more than GROUP queries is cut into groups of its own, dealt by a hash of the query. Returns the (cells,
+    A cell of more rows is cut into groups of its own, dealt by a hash of the row. Returns the (cells,
     group numbers) that get the same data, and per cell the number of its first group and how many it has.
     """
+    most = most or GROUP
     shared, first, parts = [], [0] * len(sizes), [1] * len(sizes)
     number, filled, current = 0, 0, None
     for i in np.argsort(along, kind="stable").tolist():
         n = sizes[i]
-        if n > GROUP:
-            parts[i] = -(-5 * n // (4 * GROUP))  # a little more, as a hash does not deal evenly
+        if n > most:
+            parts[i] = -(-5 * n // (4 * most))  # a little more, as a hash does not deal evenly
             shared.append(([i], list(range(number, number + parts[i]))))
             first[i], number = number, number + parts[i]
         elif n:
-            if current is None or filled + n > GROUP:
+            if current is None or filled + n > most:
                 current, filled = ([], [number]), 0
                 shared.append(current)
                 number += 1
