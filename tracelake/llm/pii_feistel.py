@@ -198,8 +198,9 @@ FORMATS = {
     "phone": r"(?<!\w)\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){1,4}(?!\w)|(?<!\w)\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?!\w)",
     "card": r"(?<![\w+.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-]|\.[0-9])",
 }
-#: Cards whose digits stand together or as printed: these go before a longer run of digits that passes by chance.
-PRINTED = r"(?<![\w+.-])(?:[0-9]{13,19}|[0-9]{4}(?P<a>[\x20-])[0-9]{4}(?P=a)[0-9]{4}(?P=a)[0-9]{4}|[0-9]{4}(?P<b>[\x20-])[0-9]{6}(?P=b)[0-9]{4,5})(?!\w|\.[0-9]|-[^\W0-9])"
+#: Cards whose digits stand together or as printed: these go before a longer run of digits that passes by chance, but for digits behind
+#: a dash, which belong to them.
+PRINTED = r"(?<![\w+.-])(?:[0-9]{13,19}|(?:[0-9]{4}(?P<a>[\x20-])[0-9]{4}(?P=a)[0-9]{4}(?P=a)[0-9]{4}|[0-9]{4}(?P<b>[\x20-])[0-9]{6}(?P=b)[0-9]{4,5})(?!-[0-9]))(?!\w|\.[0-9]|-[^\W0-9])"
 #: Cards in other groups, of three digits at least: these may begin behind any row of digits.
 GROUPED = r"(?<![\w+.-])[0-9]{3,16}(?:[\x20-][0-9]{3,16}){1,5}(?!\w|\.[0-9]|-[^\W0-9])"
 #: Phones of country 1 have ten more digits: what follows is not theirs.
