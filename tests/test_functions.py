@@ -186,3 +186,26 @@ def test_views(spark):
     assert {(r[0], r[1], r[2]) for r in views.by_mount(a, mounts).collect()} == {("/a", "d1", 3), ("none", "none", 1)}
     assert {(r[0], r[1]) for r in views.with_user(a, spark.createDataFrame([(10, "root")], "pid bigint, user string")).collect()} == {("root", 4)}
     assert {(r["name"], r["count"]) for r in views.call_times(calls).collect()} == {("openat", 1), ("read", 2), ("sync", 1)} == {(r["name"], r["count"]) for r in views.gaps_by_call(calls).collect()}
+
+
+HUGE = 1 << 62
+
+
+def huge_calls(spark):
+    """Four threads' calls of 2^62 ns each."""
+    t = Trace()
+    for i in range(4):
+        t.open(3, path="/a/b", pid=10 + i, tid=11 + i).call("read", 1, fd=3, pid=10 + i, tid=11 + i)
+    return enriched_calls(t.frame(spark), dims.syscall_dim(spark, IDS)).withColumn("duration", F.lit(HUGE)).withColumn("gap", F.lit(-HUGE))
+
+
+def test_sums_of_paths_beyond_64_bits(spark):
+    from tracelake.plans.queries import _fitted
+
+    nodes = aggregate.rollup_paths(aggregate.agg6(huge_calls(spark).where("name = 'read'")), 1)
+    got = {r["level1"]: (r["count"], r["duration"], r["duration_to_prev"]) for r in nodes.collect()}
+    assert got == {"a": (4, 4 * HUGE, -4 * HUGE), None: (4, 4 * HUGE, -4 * HUGE)}
+    kept = _fitted(nodes)
+    assert (kept.schema["count"].dataType.simpleString(), kept.schema["duration"].dataType.simpleString()) == ("bigint", "decimal(38,0)")
+    assert {r["level1"]: r["duration"] for r in kept.collect()} == {"a": 4 * HUGE, None: 4 * HUGE}
+    assert _fitted(nodes.select((F.col("duration") / 8).cast("decimal(38,0)").alias("x"))).schema.simpleString() == "struct<x:bigint>"

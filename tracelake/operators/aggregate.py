@@ -16,6 +16,15 @@ DEFAULT_FIELDS = ("pid", "path", "tracepoint")
 COUNTS = {"count": "count", "duration": "duration", "durationToPrev": "duration_to_prev", "bytes": "bytes"}
 
 
+#: Sums over many threads: nanoseconds of thousands of threads over a month pass 2^63. A thread's own calls follow each other, so sums by thread stay within a bigint.
+WIDE = "decimal(38,0)"
+
+
+def total(column: str) -> Column:
+    """The sum of a column of whole numbers, however large."""
+    return F.sum(F.col(column).cast(WIDE))
+
+
 def moved_bytes() -> Column:
     """The bytes that a call read, wrote or moved: its result, where the call's class counts bytes."""
     return F.when((F.col("io_class") != "none") & (F.col("ret") > 0), F.col("ret")).otherwise(F.lit(0)).cast("bigint")
@@ -73,4 +82,4 @@ def rollup_paths(aggregate: DataFrame, levels: int = 3) -> DataFrame:
     parts = F.split("path", "/", -1)
     named = aggregate.select(*[F.get(parts, F.lit(i + 1)).alias(f"level{i + 1}") for i in range(levels)], *MEASURES)
     names = [f"level{i + 1}" for i in range(levels)]
-    return named.rollup(*names).agg(*[F.sum(m).alias(m) for m in MEASURES], F.grouping_id().alias("depth_mask"))
+    return named.rollup(*names).agg(*[(F.sum(m) if m == "count" else total(m)).alias(m) for m in MEASURES], F.grouping_id().alias("depth_mask"))

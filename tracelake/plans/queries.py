@@ -32,6 +32,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fitted(sums: DataFrame) -> DataFrame:
+    """``sums`` with its wide sums as bigint, as in the SQL, where all rows fit; a column that does not keeps its type, and so its numbers."""
+    wide = [f.name for f in sums.schema if f.dataType.simpleString() == aggregate.WIDE]
+    done = cut(sums)
+    most = done.agg(*[F.max(F.abs(c)).alias(c) for c in wide]).first()
+    return done.withColumns({c: F.col(c).cast("bigint") for c in wide if most[c] is None or most[c] < 1 << 63})
+
+
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.match(trace(spark, sf_dir))
 
@@ -173,7 +181,7 @@ def collapse_comm_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.rollup_paths(aggregate.agg6(enriched_calls(trace(spark, sf_dir)))).drop("bytes")
+    return _fitted(aggregate.rollup_paths(aggregate.agg6(enriched_calls(trace(spark, sf_dir)))).drop("bytes"))
 
 
 def _events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
