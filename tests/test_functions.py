@@ -209,3 +209,12 @@ def test_sums_of_paths_beyond_64_bits(spark):
     assert (kept.schema["count"].dataType.simpleString(), kept.schema["duration"].dataType.simpleString()) == ("bigint", "decimal(38,0)")
     assert {r["level1"]: r["duration"] for r in kept.collect()} == {"a": 4 * HUGE, None: 4 * HUGE}
     assert _fitted(nodes.select((F.col("duration") / 8).cast("decimal(38,0)").alias("x"))).schema.simpleString() == "struct<x:bigint>"
+
+
+def one_row(df):
+    (row,) = df.collect()
+    return tuple(row)
+
+
+def test_sums_by_directory_beyond_64_bits(spark):
+    assert one_row(views.by_directory(aggregate.agg6(huge_calls(spark).where("name = 'read'")))) == ("/a", 4, 4 * HUGE)

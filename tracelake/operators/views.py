@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.render import file_name
+from tracelake.operators.aggregate import total
 from tracelake.operators.ordered import Rows, look_back
 
 
@@ -31,7 +32,7 @@ def directory(path: Column) -> Column:
 
 def by_directory(aggregate: DataFrame) -> DataFrame:
     """The aggregate by the directory of its paths; paths without one are under a dot."""
-    return aggregate.groupBy(directory(F.col("path")).alias("directory")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
+    return aggregate.groupBy(directory(F.col("path")).alias("directory")).agg(F.sum("count").alias("count"), total("duration").alias("duration"))
 
 
 def mounts_of(paths: DataFrame, mounts: DataFrame) -> DataFrame:
@@ -68,4 +69,4 @@ def call_times(calls: DataFrame) -> DataFrame:
 def with_user(aggregate: DataFrame, users: DataFrame) -> DataFrame:
     """The aggregate by user name, from ``users`` (pid, user); unknown processes are under a question mark."""
     j = aggregate.join(users.select("pid", "user"), "pid", "left")
-    return j.groupBy(F.coalesce("user", F.lit("?")).alias("user")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
+    return j.groupBy(F.coalesce("user", F.lit("?")).alias("user")).agg(F.sum("count").alias("count"), total("duration").alias("duration"))

@@ -261,7 +261,7 @@ def path_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.by_directory(aggregate.agg6(enriched_calls(trace(spark, sf_dir))))
+    return _fitted(views.by_directory(aggregate.agg6(enriched_calls(trace(spark, sf_dir)))))
 
 
 def by_mount(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def by_mount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.with_user(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), _users(spark, sf_dir))
+    return _fitted(views.with_user(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), _users(spark, sf_dir)))
 
 
 HOSTS = ("host",)
