@@ -218,3 +218,8 @@ def one_row(df):
 
 def test_sums_by_directory_beyond_64_bits(spark):
     assert one_row(views.by_directory(aggregate.agg6(huge_calls(spark).where("name = 'read'")))) == ("/a", 4, 4 * HUGE)
+
+
+def test_sums_by_mount_beyond_64_bits(spark):
+    mounts = spark.createDataFrame([("/a", "d1")], "mount string, device string")
+    assert one_row(views.by_mount(aggregate.agg6(huge_calls(spark).where("name = 'read'")), mounts)) == ("/a", "d1", 4, 4 * HUGE)

@@ -52,8 +52,8 @@ def mounts_of(paths: DataFrame, mounts: DataFrame) -> DataFrame:
 def by_mount(aggregate: DataFrame, mounts: DataFrame) -> DataFrame:
     """The aggregate by mount point (``mount``, ``device``): the longest that is a beginning of the path. The sums of a path go with
     it, so the aggregate is read once."""
-    best = mounts_of(aggregate.groupBy("path").agg(F.sum("count").alias("count"), F.sum("duration").alias("duration")), mounts)
-    return best.groupBy(F.coalesce("mount", F.lit("none")).alias("mount"), F.coalesce("device", F.lit("none")).alias("device")).agg(F.sum("count").alias("count"), F.sum("duration").alias("duration"))
+    best = mounts_of(aggregate.groupBy("path").agg(F.sum("count").alias("count"), total("duration").alias("duration")), mounts)
+    return best.groupBy(F.coalesce("mount", F.lit("none")).alias("mount"), F.coalesce("device", F.lit("none")).alias("device")).agg(F.sum("count").alias("count"), total("duration").alias("duration"))
 
 
 def gaps_by_call(calls: DataFrame) -> DataFrame:

@@ -266,7 +266,7 @@ def by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def by_mount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mount points: the root, and one for each event type with an even length of its name."""
-    return views.by_mount(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), _mounts(spark, sf_dir))
+    return _fitted(views.by_mount(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), _mounts(spark, sf_dir)))
 
 
 def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
