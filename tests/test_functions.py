@@ -211,6 +211,13 @@ def test_sums_of_paths_beyond_64_bits(spark):
     assert _fitted(nodes.select((F.col("duration") / 8).cast("decimal(38,0)").alias("x"))).schema.simpleString() == "struct<x:bigint>"
 
 
+def test_stacks_beyond_64_bits(spark):
+    dim = dims.syscall_dim(spark, IDS)
+    stacked = aggregate.collapse(aggregate.agg6(huge_calls(spark).where("name = 'read'")), dim, ("comm", "tracepoint"), "durationToPrev")
+    assert [tuple(r) for r in stacked.collect()] == [("testcomm;enter_read", -4 * HUGE)]
+    assert [r[0] for r in aggregate.lines(stacked).collect()] == [f"testcomm;enter_read {-4 * HUGE}"]
+
+
 def one_row(df):
     (row,) = df.collect()
     return tuple(row)
@@ -223,3 +230,10 @@ def test_sums_by_directory_beyond_64_bits(spark):
 def test_sums_by_mount_beyond_64_bits(spark):
     mounts = spark.createDataFrame([("/a", "d1")], "mount string, device string")
     assert one_row(views.by_mount(aggregate.agg6(huge_calls(spark).where("name = 'read'")), mounts)) == ("/a", "d1", 4, 4 * HUGE)
+
+
+def test_flame_tree_beyond_64_bits(spark):
+    from tracelake.operators import stacks
+
+    top = stacks.flame_tree(stacks.stacks(huge_calls(spark), ("comm", "tracepoint"), "duration")).where("depth = 1")
+    assert one_row(top.select("node", "total", "self")) == ("testcomm", 8 * HUGE, 0)

@@ -70,7 +70,7 @@ def collapse(aggregate: DataFrame, dim: DataFrame, fields: Sequence[str] = DEFAU
     frames, value = [field(f) for f in fields], measure(count)
     names = dim.select("trace_id", F.concat_ws("_", "phase", "name").alias("tracepoint"))
     named = aggregate.join(names, "trace_id", "left").withColumn("tracepoint", F.coalesce("tracepoint", F.col("trace_id").cast("string")))
-    return named.select(F.concat_ws(";", *frames).alias("stack"), value.alias("value")).groupBy("stack").agg(F.sum("value").alias("value"))
+    return named.select(F.concat_ws(";", *frames).alias("stack"), value.alias("value")).groupBy("stack").agg(total("value").alias("value"))
 
 
 def lines(stacks: DataFrame) -> DataFrame:

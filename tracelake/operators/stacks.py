@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.render import file_flags, file_name
 from tracelake.functions.text import flags_text, path_stack, trim_comm
-from tracelake.operators.aggregate import measure, moved_bytes
+from tracelake.operators.aggregate import measure, moved_bytes, total
 from tracelake.operators.ordered import Rows, look_back
 from tracelake.operators.views import directory, mounts_of
 from tracelake.schema import MEASURES
@@ -99,10 +99,10 @@ def stacks(calls: DataFrame, levels: Sequence[str], count: str = "count", tables
     if "previous" in keys:
         calls = look_back(calls, by, F.col("name"), "previous", order=("exit_time_ns", "exit_seq"), split_ns=split_ns)
     wanted = calls.select(*[KEYS[k]().alias(k) for k in keys], F.lit(1).cast("bigint").alias("count"), "duration", F.col("gap").alias("duration_to_prev"), *([moved_bytes().alias("bytes")] if count == "bytes" else []))
-    sums = wanted.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in MEASURES if m in wanted.columns])
+    sums = wanted.groupBy(*keys).agg(*[(F.sum(m) if m == "count" else total(m)).alias(m) for m in MEASURES if m in wanted.columns])
     for a in adds:
         sums = ADD[a](sums, tables)
-    return sums.select(F.concat_ws(";", *[x.frame(tables) for x in chosen]).alias("stack"), value.alias("value")).groupBy("stack").agg(F.sum("value").alias("value"))
+    return sums.select(F.concat_ws(";", *[x.frame(tables) for x in chosen]).alias("stack"), value.alias("value")).groupBy("stack").agg(total("value").alias("value"))
 
 
 def flame_tree(stacked: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def flame_tree(stacked: DataFrame) -> DataFrame:
     each = stacked.where("stack is not null").select("value", F.size(frames).alias("n"), F.posexplode(frames).alias("at", "frame"), frames.alias("frames"))
     node = F.array_join(F.slice("frames", 1, F.col("at") + 1), ";")
     rows = each.select(node.alias("node"), (F.col("at") + 1).alias("depth"), "value", F.when(F.col("at") + 1 == F.col("n"), F.col("value")).otherwise(F.lit(0)).alias("own"))
-    sums = rows.groupBy("node", "depth").agg(F.sum("value").alias("total"), F.sum("own").alias("self"))
+    sums = rows.groupBy("node", "depth").agg(total("value").alias("total"), total("own").alias("self"))
     parts = F.split("node", ";", -1)
     parent = F.when(F.col("depth") > 1, F.array_join(F.slice(parts, 1, F.col("depth") - 1), ";"))
     return sums.select("node", parent.alias("parent"), F.element_at(parts, -1).alias("frame"), "depth", "total", "self")

@@ -173,11 +173,11 @@ def rollup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collapse_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.collapse(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), syscall_dim(spark), count="duration")
+    return _fitted(aggregate.collapse(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), syscall_dim(spark), count="duration"))
 
 
 def collapse_comm_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.collapse(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), syscall_dim(spark), ("comm", "tracepoint", "flags"), "durationToPrev")
+    return _fitted(aggregate.collapse(aggregate.agg6(enriched_calls(trace(spark, sf_dir))), syscall_dim(spark), ("comm", "tracepoint", "flags"), "durationToPrev"))
 
 
 def rollup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for host in ("h0", "h1"):
         save_aggregate(aggregate.agg6(calls.where(F.col("host") == host), with_bytes=True), path, host, "run", "1")
     merged = aggregate.merge(load_aggregate(spark, path))
-    return aggregate.collapse(merged, syscall_dim(spark, HOSTS_IDS), ("comm", "tracepoint", "tid"), "bytes")
+    return _fitted(aggregate.collapse(merged, syscall_dim(spark, HOSTS_IDS), ("comm", "tracepoint", "tid"), "bytes"))
 
 
 def collapsed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,18 +412,18 @@ def _mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stacks_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users, programs, processes, threads, and each call behind the one before it."""
     calls = enriched_calls(trace(spark, sf_dir))
-    return stacks.stacks(calls, ("user", "comm", "pid", "tid", "transition"), "durationToPrev", stacks.Tables(users=_users(spark, sf_dir)), split_ns=86_400_000_000_000)
+    return _fitted(stacks.stacks(calls, ("user", "comm", "pid", "tid", "transition"), "durationToPrev", stacks.Tables(users=_users(spark, sf_dir)), split_ns=86_400_000_000_000))
 
 
 def stacks_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices, mount points, directories, a bucket of paths, and the call, by bytes."""
     tables = stacks.Tables(mounts=_mounts(spark, sf_dir), buckets=(("PATHMATCH", "/k[0-4]"),))
-    return stacks.stacks(enriched_calls(trace(spark, sf_dir)), ("device", "mount", "directory", "bucket", "call"), "bytes", tables)
+    return _fitted(stacks.stacks(enriched_calls(trace(spark, sf_dir)), ("device", "mount", "directory", "bucket", "call"), "bytes", tables))
 
 
 def flame_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the flame graph of programs, paths and calls, by duration."""
-    return stacks.flame_tree(stacks.stacks(enriched_calls(trace(spark, sf_dir)), ("comm", "path", "tracepoint"), "duration"))
+    return _fitted(stacks.flame_tree(stacks.stacks(enriched_calls(trace(spark, sf_dir)), ("comm", "path", "tracepoint"), "duration")))
 
 
 QUERIES: dict[str, Query] = {
