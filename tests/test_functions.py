@@ -232,6 +232,10 @@ def test_sums_by_mount_beyond_64_bits(spark):
     assert one_row(views.by_mount(aggregate.agg6(huge_calls(spark).where("name = 'read'")), mounts)) == ("/a", "d1", 4, 4 * HUGE)
 
 
+def test_gaps_beyond_64_bits(spark):
+    assert one_row(views.gaps_by_call(huge_calls(spark).where("name = 'read'"))) == ("read", 4, -4 * HUGE, -HUGE)
+
+
 def test_flame_tree_beyond_64_bits(spark):
     from tracelake.operators import stacks
 

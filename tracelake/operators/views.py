@@ -58,12 +58,12 @@ def by_mount(aggregate: DataFrame, mounts: DataFrame) -> DataFrame:
 
 def gaps_by_call(calls: DataFrame) -> DataFrame:
     """The time between calls as a view of its own."""
-    return calls.groupBy("name").agg(F.count("*").alias("count"), F.sum("gap").alias("duration_to_prev"), F.max("gap").alias("longest_gap"))
+    return calls.groupBy("name").agg(F.count("*").alias("count"), total("gap").alias("duration_to_prev"), F.max("gap").alias("longest_gap"))
 
 
 def call_times(calls: DataFrame) -> DataFrame:
     """Counts and times of every call, without files."""
-    return calls.groupBy("name", "pid").agg(F.count("*").alias("count"), F.sum("duration").alias("duration"), F.sum("gap").alias("duration_to_prev"))
+    return calls.groupBy("name", "pid").agg(F.count("*").alias("count"), total("duration").alias("duration"), total("gap").alias("duration_to_prev"))
 
 
 def with_user(aggregate: DataFrame, users: DataFrame) -> DataFrame:

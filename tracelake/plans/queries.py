@@ -249,11 +249,11 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gaps_by_call(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.gaps_by_call(pairing.durations(_valid(spark, sf_dir)))
+    return _fitted(views.gaps_by_call(pairing.durations(_valid(spark, sf_dir))))
 
 
 def call_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.call_times(pairing.durations(_valid(spark, sf_dir)))
+    return _fitted(views.call_times(pairing.durations(_valid(spark, sf_dir))))
 
 
 def path_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
