@@ -236,6 +236,10 @@ def test_gaps_beyond_64_bits(spark):
     assert one_row(views.gaps_by_call(huge_calls(spark).where("name = 'read'"))) == ("read", 4, -4 * HUGE, -HUGE)
 
 
+def test_transitions_beyond_64_bits(spark):
+    assert one_row(views.transitions(huge_calls(spark))) == ("openat->read", 4, -4 * HUGE)
+
+
 def test_flame_tree_beyond_64_bits(spark):
     from tracelake.operators import stacks
 

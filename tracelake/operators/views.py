@@ -15,7 +15,7 @@ from tracelake.operators.ordered import Rows, look_back
 def transitions(calls: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | Rows | None = None) -> DataFrame:
     """How often one call of a thread follows another, and the time between them; ``split_ns`` cuts long histories."""
     steps = look_back(calls, by, F.col("name"), "previous", order=("exit_time_ns", "exit_seq"), split_ns=split_ns).where("previous is not null")
-    return steps.groupBy(F.concat_ws("->", "previous", "name").alias("transition")).agg(F.count("*").alias("count"), F.sum("gap").alias("duration_to_prev"))
+    return steps.groupBy(F.concat_ws("->", "previous", "name").alias("transition")).agg(F.count("*").alias("count"), total("gap").alias("duration_to_prev"))
 
 
 def path_buckets(calls: DataFrame, pattern: str) -> DataFrame:

@@ -245,7 +245,7 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.transitions(pairing.durations(_valid(spark, sf_dir)), split_ns=86_400_000_000_000)
+    return _fitted(views.transitions(pairing.durations(_valid(spark, sf_dir)), split_ns=86_400_000_000_000))
 
 
 def gaps_by_call(spark: SparkSession, sf_dir: str) -> DataFrame:
