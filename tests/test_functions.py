@@ -240,6 +240,10 @@ def test_transitions_beyond_64_bits(spark):
     assert one_row(views.transitions(huge_calls(spark))) == ("openat->read", 4, -4 * HUGE)
 
 
+def test_path_buckets_beyond_64_bits(spark):
+    assert one_row(views.path_buckets(huge_calls(spark), "/a")) == ("PATHMATCH", 8, 8 * HUGE)
+
+
 def test_flame_tree_beyond_64_bits(spark):
     from tracelake.operators import stacks
 

@@ -21,7 +21,7 @@ def transitions(calls: DataFrame, by: Sequence[str] = ("tid",), split_ns: int |
 def path_buckets(calls: DataFrame, pattern: str) -> DataFrame:
     """Calls whose path a pattern finds against all others."""
     bucket = F.when(file_name(F.col("file")).rlike(pattern), F.lit("PATHMATCH")).otherwise(F.lit("OTHER"))
-    return calls.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("count"), F.sum("duration").alias("duration"))
+    return calls.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("count"), total("duration").alias("duration"))
 
 
 def directory(path: Column) -> Column:

@@ -257,7 +257,7 @@ def call_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.path_buckets(enriched_calls(trace(spark, sf_dir)), "/k[0-4]")
+    return _fitted(views.path_buckets(enriched_calls(trace(spark, sf_dir)), "/k[0-4]"))
 
 
 def by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
