@@ -163,3 +163,38 @@ def test_hosts_do_not_meet(spark, dim):
         for host, t in (("a", a), ("b", b), (None, b)):
             k = {x: v for x, v in options.items() if x in ("comm", "path", "filter_first")}
             assert [{x: v for x, v in r.items() if x != "host"} for r in rows if r["host"] == host] == fold(t, **{"filter_first": False} | k)
+
+
+def test_filter_first_with_a_long_chain_of_duplicates_that_fail(spark, dim):
+    t = Trace().open(42, path="/a")
+    for i in range(70):
+        t.call("dup", 101 + i, fd=100 + i)
+    t.call("dup", 100, fd=42)
+    for i in range(70):
+        t.call("dup", 101 + i, fd=100 + i)
+    got = run(spark, dim, t.call("read", fd=170), path="/a", filter_first=True)
+    assert got == fold(t, path="/a", filter_first=True) and len(got) == 73 and got[-1]["file"]["name"] == "/a"
+
+
+@pytest.mark.parametrize("chunks", [1, 7, 40])
+def test_duplicates_that_fail_over_chunks(spark, chunks):
+    """The fold in chunks against a plain one, over few processes, null ones too, whose duplicates meet the snapshot."""
+    import random
+
+    from tracelake.operators import passing
+
+    r, rows, states, want = random.Random(chunks), [], {}, set()
+    for i in range(400):
+        host, scope, fd, src, snap = r.choice(("a", None)), r.choice((1, 1, 1, None)), r.choice((3, 4, 5, 6, None)), r.choice((3, 4, 5, 6)), r.random() < 0.3
+        what = r.choice((passing.LOST, passing.NO, passing.YES, *[passing.LINK] * 7))
+        rows.append((host, scope, i, i // 2, i, fd, src, what, snap))
+        own = states.setdefault((host, scope), {})
+        if what != passing.LINK:
+            own[fd] = what
+        elif own.get(src, passing.LOST) == passing.YES or (own.get(src, passing.LOST) == passing.LOST and snap):
+            own[fd] = passing.YES
+        else:
+            want.add((host, i))
+    df = spark.createDataFrame(rows, "host string, scope bigint, vid bigint, exit_time_ns bigint, exit_seq bigint, fd int, src int, what int, snap boolean").repartition(3)
+    got = [tuple(x) for x in passing.failing(df, ("host",), chunks).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

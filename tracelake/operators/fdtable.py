@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import CREAT_FLAGS, F_DUPFD, F_DUPFD_CLOEXEC, F_SETFL, O_CLOEXEC, SETTABLE
+from tracelake.operators import passing
 from tracelake.operators.ordered import Rows, look_back
 from tracelake.schema import UNKNOWN, file_struct
 from tracelake.scratch import cut, drop
@@ -157,31 +158,22 @@ def resolve(states: DataFrame, proc_fd: DataFrame | None, split_ns: int | Rows |
     return linked.unionByName(states.where("kind = 'root'").select(*run, "vid", "file_name", "file_flags", F.lit(False).alias("from_snapshot")))
 
 
-def _dropped(calls: DataFrame, proc_fd: DataFrame | None, scope: str, x: tuple[bool, bool], comm: str | None, path: str | None, split_ns: int | Rows | None, run: Sequence[str]) -> DataFrame:
+def _dropped(calls: DataFrame, proc_fd: DataFrame | None, scope: str, x: tuple[bool, bool], comm: str | None, path: str | None, run: Sequence[str]) -> DataFrame:
     """``vid`` of the duplicates and F_SETFLs that change nothing, as their calls are filtered out before the table sees them.
 
-    A link passes if its program's name and its source's file do. Links take the names of their sources, so only one
-    that rests on no version, or on a root that fails, can fail by its file. Such links leave the table, others may then
-    rest on what they hid, and so on until none fails: a link that fails while there are too many versions fails with fewer.
+    A link passes if its program's name and its source's file do; a failing name is known beforehand, and such links are no part of the table.
     """
     named = F.coalesce(F.col("comm").contains(comm), F.lit(False)) if comm else F.lit(True)
-    states = cut(versions(calls.where(named), scope, *x, run=run))
-    states = states.unionByName(cut(versions(calls.where(~named).where("name = 'close' or record_kind = 'open' or name = 'creat'"), scope, *x, run=run)))
     link = _Changes(*x).link
-    out = cut(calls.where(link & ~named).select(*run, F.col("exit_seq").alias("vid")))
-    for _ in range(64 if path else 0):
-        alive = states.join(out, same(states, out, [("vid", "vid"), *((k, k) for k in run)]), "left_anti")
-        rest = _sources(alive, run, split_ns)
-        lost = F.col("found").isNull() | (F.col("found.kind") == "closed")
-        rest = _snapshot(proc_fd, rest.withColumn("lost", lost), run, "pid", "src_fd", F.col("lost"))
-        name = F.when(F.col("lost"), F.coalesce("snap_name", F.lit(""))).when(F.col("found.kind") == "root", F.col("found.file_name"))
-        more = cut(rest.where(name.isNotNull() & ~name.contains(path)).select(*run, "vid"))
-        if more.isEmpty():
-            return out
-        out = cut(out.unionByName(more))
+    out = calls.where(link & ~named).select(*run, F.col("exit_seq").alias("vid"))
     if path:
-        raise RuntimeError("filtered duplicates did not end")
-    return out
+        states = versions(calls.where(named | ~link), scope, *x, run=run)
+        states = _snapshot(proc_fd, states, run, "pid", "src_fd", F.col("kind") == "link")
+        own = F.when(F.col("file_name").contains(path), passing.YES).otherwise(passing.NO)
+        what = F.when(F.col("kind") == "link", passing.LINK).when(F.col("kind") == "closed", passing.LOST).otherwise(own)
+        snap = F.coalesce("snap_name", F.lit("")).contains(path)
+        out = out.unionByName(passing.failing(states.select(*run, "scope", "vid", "exit_time_ns", "exit_seq", "fd", F.col("src_fd").alias("src"), what.alias("what"), snap.alias("snap")), run))
+    return cut(out)
 
 
 def attach_files(
@@ -199,7 +191,7 @@ def attach_files(
     c, x = F.col, _Changes(strict_minus_one, keep_access_mode)
     if first is not None and any(first):
         calls = cut(calls)
-        gone = _dropped(calls, proc_fd, scope, (strict_minus_one, keep_access_mode), *first, split_ns, run).select(*[c(k).alias(f"gone_{k}") for k in run], c("vid").alias("gone_vid"))
+        gone = _dropped(calls, proc_fd, scope, (strict_minus_one, keep_access_mode), *first, run).select(*[c(k).alias(f"gone_{k}") for k in run], c("vid").alias("gone_vid"))
         calls = calls.join(gone, same(calls, gone, [("exit_seq", "gone_vid"), *((k, f"gone_{k}") for k in run)]), "left").drop(*[f"gone_{k}" for k in run])
         version = F.when(c("gone_vid").isNull(), x.version)
     else:
