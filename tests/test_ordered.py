@@ -70,3 +70,10 @@ def test_calls_are_the_same(spark):
         events = random_trace(seed, 150).frame(spark)
         whole, cut_up = (completed_calls(events, dim, Options(split_ns=s, **extra)).orderBy("exit_time_ns", "exit_seq").collect() for s in (None, Rows(12)))
         assert whole == cut_up and whole
+
+
+def test_small_spans_do_not_make_a_task_each(spark):
+    rows = [(1, i % 7, i, None) for i in range(3_000)]
+    crowded, _ = Rows(1).parts(spark.createDataFrame(rows, SCHEMA), ["k"], ("time_ns", "seq"))
+    assert crowded.select("__span").distinct().count() == len(rows) and len(crowded.inputFiles()) <= 200
+    assert [Rows(2_000).tasks(n) for n in (10_000, 1_000_000, 100_000_000, 1_000_000_000)] == [10, 200, 200, 1_000] and Rows().tasks(1_000_000_000) == 1_000

@@ -29,6 +29,8 @@ def null_safe(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
 
 #: ``monotonically_increasing_id`` counts within a partition in its lower bits.
 _IN_PARTITION = (1 << 33) - 1
+#: Tasks that a sort may have however few rows they hold, and the rows beyond which it gets more.
+TASKS, TASK_ROWS = 200, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,8 @@ class Rows:
     """Spans of at most ``most`` rows for the keys that hold more than that; other keys stay whole.
 
     The spans come from a range sort of those keys' rows by key and order, so they follow the order itself, and rows of one time are told
-    apart by what else is in the order. The sort's borders are sampled: it gets twice the tasks that ``most`` rows each would need. Spans are counted off in
-    sorted rows and never hold more. Keys may be null.
+    apart by what else is in the order. The sort's borders are sampled: it gets twice the tasks that ``most`` rows each would need, but beyond TASKS only if a task would
+    hold over TASK_ROWS: many small spans make no more tasks than the rows need. Spans are counted off in sorted rows and never hold more. Keys may be null.
     """
 
     most: int = 1_000_000
@@ -46,6 +48,10 @@ class Rows:
         if self.most < 1:
             raise ValueError("a span holds one row at least")
 
+    def tasks(self, held: int) -> int:
+        """The tasks of the sort of ``held`` rows."""
+        return min(-(-2 * held // self.most), max(TASKS, -(-held // TASK_ROWS)))
+
     def crowded(self, df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
         """The keys with more than ``most`` rows, as ``__<key>``, and how many rows they hold together."""
         counts = df.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(F.count("*").alias("__rows")).where(F.col("__rows") > self.most)
@@ -59,7 +65,7 @@ class Rows:
             return None, df
         rows = cut(df)  # read for both parts, and for the borders of the sort
         same = null_safe(rows, keys, by)
-        sorted_ = rows.join(keys, same, "left_semi").repartitionByRange(-(-2 * held // self.most), *by, *order).sortWithinPartitions(*by, *order)
+        sorted_ = rows.join(keys, same, "left_semi").repartitionByRange(self.tasks(held), *by, *order).sortWithinPartitions(*by, *order)
         numbered = sorted_.withColumn("__at", F.monotonically_increasing_id())
         span = F.col("__at") - F.col("__at").bitwiseAND(F.lit(_IN_PARTITION)) % F.lit(self.most)
         return cut(numbered.withColumn("__span", span).drop("__at")), rows.join(keys, same, "left_anti")
