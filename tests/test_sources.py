@@ -211,3 +211,23 @@ def test_approximate_profile(spark):
     rows = spark.range(1_000).select(F.lit("g").alias("g"), F.col("id").alias("latency_ns"), (F.col("id") % 10).alias("bytes"))
     r = profile.approx_profile(rows, ["g"]).first()
     assert r["count"] == 1_000 and r["latency_quantiles"] == pytest.approx([499, 949, 989], abs=2)
+
+
+def test_dump_places_over_spans_of_many_files(spark, data, monkeypatch):
+    """Files follow the session's partitions, and records are numbered in spans of bytes, not a file in one task."""
+    import os
+
+    from tracelake.plans import queries
+    from tracelake.sources.trace import trace
+
+    made, place = [], queries.place
+    monkeypatch.setattr(queries, "place", lambda s: made.append(place(s)) or made[-1])
+    monkeypatch.setattr(queries, "SPAN_BYTES", 10_000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = [(r["place"], r["time_ns"]) for r in queries.dump_round_trip(spark, data).select("place", "time_ns").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([f for f in os.listdir(made[0].removeprefix("file://")) if f.endswith(".bin") and not f.startswith(".")]) == 9
+    assert sorted(got) == list(enumerate(r[0] for r in trace(spark, data).orderBy("seq").select("time_ns").collect()))

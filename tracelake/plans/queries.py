@@ -25,6 +25,8 @@ COMM, PATH = "app1", "/data/view"
 SPAN_US = 30 * 86_400_000_000
 #: And their values over spans of this width.
 SPAN_VALUES = 4_096
+#: Records of a dump are numbered over spans of so many bytes.
+SPAN_BYTES = 16 << 20
 CALL_COLUMNS = ("tid", "enter_seq", "exit_seq", "enter_trace_id", "exit_trace_id", "ret")
 
 
@@ -380,15 +382,13 @@ def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace as a binary dump of several files, read again by ranges that cut records, and decoded; ``place`` is that of the record in the trace."""
     dump.register(spark)
     path = place(spark)
-    records = raw.encode_events(trace(spark, sf_dir)).repartitionByRange(6, "seq").sortWithinPartitions("seq")
+    files = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    records = raw.encode_events(trace(spark, sf_dir).repartitionByRange(files, "seq").sortWithinPartitions("seq"))
     records.write.format(dump.NAME).mode("append").save(path)
     done = cut(raw.decode_events(spark.read.format(dump.NAME).option("rangeBytes", 1_000_003).load(path)))
-    file = F.shiftright("seq", dump.FILE_SHIFT)
-    at = places(done.withColumn("file", file), ["file"], ("seq",), "at")
-    before = {r["file"]: r["n"] for r in at.groupBy("file").agg(F.count("*").alias("n")).collect()}  # a row for each file
-    starts = F.create_map(*[F.lit(x) for f in before for x in (f, sum(n for g, n in before.items() if g < f))]) if before else F.create_map()
+    at = places(done, [], ("seq",), "place", SPAN_BYTES)  # the files' numbers lead those of their records
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("path", "oldname", "newname", "comm")]
-    return at.select((F.col("at") + starts[F.col("file")]).alias("place"), "event_type", "phase", "trace_id", "time_ns", "pid", "tid", F.coalesce("ret", F.lit(0)).alias("ret"), *texts)
+    return at.select("place", "event_type", "phase", "trace_id", "time_ns", "pid", "tid", F.coalesce("ret", F.lit(0)).alias("ret"), *texts)
 
 
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
