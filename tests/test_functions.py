@@ -249,3 +249,11 @@ def test_flame_tree_beyond_64_bits(spark):
 
     top = stacks.flame_tree(stacks.stacks(huge_calls(spark), ("comm", "tracepoint"), "duration")).where("depth = 1")
     assert one_row(top.select("node", "total", "self")) == ("testcomm", 8 * HUGE, 0)
+
+
+def test_bursts_among_equal_rows(spark):
+    for values in ((1, 0), (0, 1)):
+        rows = [("g", datetime.datetime(2024, 1, 1, 0, 0, s), k, 2_000 * v) for s, k, v in ((0, 0, 0), (1, 1, values[0]), (1, 1, values[1]), (2, 2, 0), (3, 3, 1), (4, 4, values[0]), (4, 4, values[1]), (5, 5, 0))]
+        df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, k int, bytes bigint").coalesce(1)
+        for split in (None, 2_000_000):
+            assert tuple(patterns.bursts(df, ["g"], tie=["k"], split_us=split).select("burst_count", "burst_us").first()) == (2, 1_000_000)

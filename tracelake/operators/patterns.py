@@ -30,10 +30,11 @@ def bursts(rows: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str
     open at the end does not count, nor do groups of one row. Starts and ends take turns, so the times of all bursts are
     the sum of the ends less that of the starts, without the last start if its run is open: one look at the row
     before tells both, and no run is gathered. ``split_us`` spreads a group over spans of that many microseconds.
+    Of rows that ``ts`` and ``tie`` leave equal those above come first, so that reruns agree and a run does not end and begin among them.
     """
-    keys, order = list(by), ("__us", *tie)
+    keys, order = list(by), ("__us", *tie, "__low")
     high = F.coalesce(F.col(size) > threshold, F.lit(False))
-    d = rows.select(*keys, *tie, micros(ts).alias("__us"), high.alias("__high"))
+    d = rows.select(*keys, *tie, micros(ts).alias("__us"), high.alias("__high"), (~high).alias("__low"))
     d = look_back(d, keys, F.col("__high"), "__was", order=order, split_ns=split_us).withColumn("__was", F.coalesce("__was", F.lit(False)))
     start = F.when(F.col("__high") & ~F.col("__was"), F.col("__us"))
     end = F.when(~F.col("__high") & F.col("__was"), F.col("__us"))
