@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from traces import IDS, random_trace
 from tracelake.functions.dims import syscall_dim
-from tracelake.operators.ordered import Rows, look_back, places
+from tracelake.operators import fdtable, ordered, pairing
+from tracelake.operators.ordered import Rows, look_back, look_backs, places
 from tracelake.plans.calls import Options, completed_calls
+from tracelake.scratch import cut
 
 SCHEMA = "k bigint, time_ns bigint, seq bigint, v string"
 
@@ -77,3 +79,53 @@ def test_small_spans_do_not_make_a_task_each(spark):
     crowded, _ = Rows(1).parts(spark.createDataFrame(rows, SCHEMA), ["k"], ("time_ns", "seq"))
     assert crowded.select("__span").distinct().count() == len(rows) and len(crowded.inputFiles()) <= 200
     assert [Rows(2_000).tasks(n) for n in (10_000, 1_000_000, 100_000_000, 1_000_000_000)] == [10, 200, 200, 1_000] and Rows().tasks(1_000_000_000) == 1_000
+
+
+@pytest.mark.parametrize("split", [None, 7, Rows(40)])
+def test_several_values_and_kept_rows(spark, split):
+    rows = [(k, t, i, v) for i, (k, t, _, v) in enumerate(crowd(600, 300))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = {s: x[0] for s, x in by_hand(rows, False).items()}
+    before = {}
+    for (k, _, s, _), last in zip(sorted(rows, key=lambda x: (str(x[0]), x[1], x[2])), [(None, 0, None, None), *sorted(rows, key=lambda x: (str(x[0]), x[1], x[2]))], strict=False):
+        before[s] = last[2] if last[0] == k else None
+    both = look_backs(df, ["k"], {"found": F.col("v"), "before": "seq"}, split_ns=split).collect()
+    assert {r["seq"]: (r["found"], r["before"]) for r in both} == {s: (want[s], before[s]) for s in want}
+    # What is found decides whether a row is kept; rows that do not ask are kept if they may be.
+    kept = look_back(df, ["k"], F.col("v"), "found", split_ns=split, keep=(F.col("seq") % 2 == 0) & F.col("found").endswith("7")).collect()
+    assert {r["seq"]: r["found"] for r in kept} == {s: f for s, f in want.items() if s % 2 == 0 and f and f.endswith("7")}
+    some = look_back(df, ["k"], F.col("v"), "found", split_ns=split, keep=F.col("seq") % 3 > 0, asks=F.col("seq") % 3 == 1).collect()
+    assert {r["seq"] for r in some} == {s for s in want if s % 3} and all(r["found"] == want[r["seq"]] for r in some if r["seq"] % 3 == 1)
+
+
+def test_spans_of_time_write_what_is_kept(spark, monkeypatch):
+    """Pairing reads its events once and writes the calls and the last row of each span, not the events; a thread's comm and gap are one look back."""
+    written = []
+    monkeypatch.setattr(ordered, "cut", lambda df: written.append(cut(df)) or written[-1])
+    events, day = random_trace(5, 300).frame(spark), 500
+    calls = pairing.match(events, split_ns=day)
+    spans = events.select("tid", F.floor(F.col("time_ns") / day)).distinct().count()
+    assert [t.count() <= calls.count() + 2 * spans for t in written] == [True] and "path" not in written[0].columns
+    written.clear()
+    completed_calls(events, syscall_dim(spark, IDS), Options(split_ns=day))
+    assert len(written) == 3
+
+
+def test_files_run_as_machine_code(spark, monkeypatch):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    sizes = []
+
+    def watched(df):
+        parts = df._jdf.queryExecution().debug().codegenToSeq()
+        sizes.extend(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size()))
+        return cut(df)
+
+    monkeypatch.setattr(ordered, "cut", watched)
+    monkeypatch.setattr(fdtable, "cut", watched)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # plans are whole before they run
+    try:
+        for split in (None, 500):
+            completed_calls(random_trace(2, 60).frame(spark), syscall_dim(spark, IDS), Options(split_ns=split))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8_000

@@ -10,14 +10,14 @@ in the snapshot of the process table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import CREAT_FLAGS, F_DUPFD, F_DUPFD_CLOEXEC, F_SETFL, O_CLOEXEC, SETTABLE
 from tracelake.operators import passing
-from tracelake.operators.ordered import Rows, look_back
+from tracelake.operators.ordered import Rows, look_back, look_backs
 from tracelake.schema import UNKNOWN, file_struct
 from tracelake.scratch import cut, drop
 
@@ -197,16 +197,20 @@ def attach_files(
     else:
         calls, version = calls.withColumn("gone_vid", F.lit(None).cast("bigint")), x.version
     names = [n for n in calls.columns if n not in ("gone_vid", "file")]
-    call = F.struct(*names, x.link.alias("__link"), x.setfl.alias("__setfl"), x.on_fd.alias("__on_fd"), x.and_mask.alias("__and"), x.or_mask.alias("__or"), (x.opened | x.created).alias("__root"), x.new_fd.alias("__new"), x.file_flags.alias("__own"))
-    none = version.isNull() & F.lit(False)
+    what = {"__link": x.link, "__setfl": x.setfl, "__on_fd": x.on_fd, "__and": x.and_mask, "__or": x.or_mask, "__root": x.opened | x.created, "__new": x.new_fd, "__own": x.file_flags}
     # One row a call; duplicates have another under the descriptor that they make. Closes and F_SETFLs are version and use at once.
     own_fd = F.when(x.on_fd, c("fd")).when(x.kind == "root", x.new_fd).otherwise((-1 - F.pmod("exit_seq", F.lit(SPREAD))).cast("int"))
-    here = F.struct(own_fd.cast("int").alias("at"), F.lit(0).alias("mark"), F.when(~x.copied, version).alias("v"), call.alias("call"))
-    there = F.struct(x.new_fd.alias("at"), F.lit(1).alias("mark"), version.alias("v"), F.when(none, call).alias("call"))
-    rows = calls.select(*run, _scope(scope).alias("scope"), "exit_time_ns", "exit_seq", F.explode(F.when(x.copied, F.array(here, there)).otherwise(F.array(here))).alias("r"))
-    rows = rows.select(*run, "scope", "exit_time_ns", "exit_seq", "r.*")
-    seen = look_back(rows, [*run, "scope", "at"], c("v"), "found", order=ORDER, split_ns=split_ns).where("call is not null")
-    seen = cut(seen.select("call", "found"))
+    # Marks alone are multiplied, between two steps: arrays of whole calls, in one, make a method too long (over 8,000 bytes) for the JVM to compile.
+    rows = calls.withColumns(what | {"__at": own_fd.cast("int"), "__copied": x.copied, "__v": version})
+    rows = rows.withColumn("mark", F.explode(F.when(c("__copied"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    here = c("mark") == 0
+    rows = rows.select(
+        *run, _scope(scope).alias("scope"), "exit_time_ns", "exit_seq", F.when(here, c("__at")).otherwise(c("__new")).alias("at"), "mark",
+        F.when(~here | ~c("__copied"), c("__v")).alias("v"), F.when(here, F.struct(*names, *what)).alias("call"),
+    )
+    seen = look_back(rows, [*run, "scope", "at"], c("v"), "found", order=ORDER, split_ns=split_ns, keep=c("call").isNotNull(), asks=c("call.__on_fd") | c("call.__link")).select("call", "found")
+    # Read three times. Spans of time have written it, but for what is carried to few rows.
+    seen = seen if isinstance(split_ns, int) else cut(seen)
 
     links = seen.where("call.__link").select(*[c(f"call.{k}").alias(k) for k in run], c("call.exit_seq").alias("vid"), c("call.pid").alias("pid"), c("call.fd").alias("src_fd"), c("call.__and").alias("and_mask"), c("call.__or").alias("or_mask"), "found")
     files = _follow(links, proc_fd, run).select(*[c(k).alias(f"at_{k}") for k in run], c("vid").alias("at_vid"), c("file_name").alias("name"), c("file_flags").alias("flags"), c("from_snapshot").alias("snap"))
@@ -234,15 +238,15 @@ def attach_files(
     return j.select(*names, file.alias("file"))
 
 
-def attach_comm(calls: DataFrame, proc_exe: DataFrame | None = None, split_ns: int | Rows | None = None, run: Sequence[str] = ()) -> DataFrame:
+def attach_comm(calls: DataFrame, proc_exe: DataFrame | None = None, split_ns: int | Rows | None = None, run: Sequence[str] = (), also: Mapping[str, Column | str] = {}) -> DataFrame:
     """``calls`` with ``comm``: the program name of the thread.
 
     A successful open has its own; a failed one has none but still tells the later calls of its thread. Other calls have that
-    of the last completed open, else the snapshot's, else none.
+    of the last completed open, else the snapshot's, else none. ``also``: more values, by name, to be found by the same look back.
     """
     opens = F.col("record_kind") == "open"
     told = calls.withColumn("__own", F.when(opens, F.coalesce("comm", F.lit(""))))
-    j = look_back(told, [*run, "tid"], F.col("__own"), "__known", order=("exit_time_ns", "exit_seq"), split_ns=split_ns)
+    j = look_backs(told, [*run, "tid"], {"__known": F.col("__own"), **also}, order=("exit_time_ns", "exit_seq"), split_ns=split_ns)
     if proc_exe is not None:
         both = [k for k in run if k in proc_exe.columns]
         exe = proc_exe.select(*[F.col(k).alias(f"exe_{k}") for k in both], F.col("tid").alias("exe_tid"), "exe_comm")

@@ -1,14 +1,14 @@
 """Looking back along an order within a key, also for keys that hold a large share of all rows.
 
 A plain window sends a key's rows to one task. With ``split_ns`` a key's history is cut into spans of time that are sorted
-on their own; what a span needs from those before it is one small row a span, found by a partial aggregate and looked
-up over the spans alone. ``Rows`` cuts by number instead of time: a count finds the keys that hold too many rows, only their
+on their own; what a span needs from those before it is one small row a span, its last, looked up over the spans alone and
+joined with the rows that their own span tells nothing. ``Rows`` cuts by number instead of time: a count finds the keys that hold too many rows, only their
 histories are cut, and every span has the same number of rows however crowded a time is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,33 +71,62 @@ class Rows:
         return cut(numbered.withColumn("__span", span).drop("__at")), rows.join(keys, same, "left_anti")
 
 
-def look_back(df: DataFrame, by: Sequence[str], value: Column, name: str, order: Sequence[str] = ORDER, split_ns: int | Rows | None = None, current: bool = False) -> DataFrame:
+def look_back(
+    df: DataFrame, by: Sequence[str], value: Column, name: str, order: Sequence[str] = ORDER, split_ns: int | Rows | None = None, current: bool = False, keep: Column | None = None, asks: Column | None = None,
+) -> DataFrame:
     """``df`` and ``name``: the last ``value`` that is not null in an earlier row of the key (``current``: or in this one).
 
-    Give a struct to look at the row just before: a struct is not null even if its fields are.
+    Give a struct to look at the row just before: a struct is not null even if its fields are. ``keep`` and ``asks`` as in ``look_backs``.
+    """
+    return look_backs(df, by, {name: value}, order, split_ns, current, keep, asks)
+
+
+def look_backs(
+    df: DataFrame, by: Sequence[str], values: Mapping[str, Column | str], order: Sequence[str] = ORDER, split_ns: int | Rows | None = None, current: bool = False, keep: Column | None = None, asks: Column | None = None,
+) -> DataFrame:
+    """``look_back`` for several values (or columns) at once, by name.
+
+    ``keep``, over the columns of ``df`` and the new ones, leaves out rows of the result; they are still looked back at. As values may come late, it must be false or null
+    for a row that is out whatever it finds, and may not be false because of a value that is null. Rows that are not in ``asks`` do not read their values: these may stay null.
     """
     end = 0 if current else -1
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     if split_ns is None:
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    valued = df.withColumn("__value", value)
+        whole = df.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in values.items()})
+        return whole if keep is None else whole.where(keep)
+    valued = df.withColumns({f"__value_{n}": F.col(v) if isinstance(v, str) else v for n, v in values.items()})
     if isinstance(split_ns, Rows):
         crowded, rest = split_ns.parts(valued, by, order)
-        plain = rest.withColumn(name, F.last("__value", ignorenulls=True).over(w)).drop("__value")
-        return plain if crowded is None else _over_spans(crowded, by, name, order, end).unionByName(plain)
-    return _over_spans(cut(valued.withColumn("__span", F.floor(F.col(order[0]) / split_ns))), by, name, order, end)  # read three times
+        plain = rest.withColumns({n: F.last(f"__value_{n}", ignorenulls=True).over(w) for n in values}).drop(*[f"__value_{n}" for n in values])
+        plain = plain if keep is None else plain.where(keep)
+        return plain if crowded is None else _over_spans(crowded, by, list(values), order, end, keep, asks).unionByName(plain)
+    return _over_spans(valued.withColumn("__span", F.floor(F.col(order[0]) / split_ns)), by, list(values), order, end, keep, asks)
 
 
-def _over_spans(parts: DataFrame, by: Sequence[str], name: str, order: Sequence[str], end: int) -> DataFrame:
-    """``look_back`` over rows with ``__value`` and ``__span``: within the span, else what the spans before it carry."""
+def _over_spans(parts: DataFrame, by: Sequence[str], names: Sequence[str], order: Sequence[str], end: int, keep: Column | None, asks: Column | None) -> DataFrame:
+    """``look_backs`` over rows with ``__value_<name>`` and ``__span``: within the span, else what the spans before it carry.
+
+    Rows are read once and written once, after the window and without those that ``keep`` rules out. Only rows that ask and find nothing in their span are joined.
+    """
     inner = Window.partitionBy(*by, "__span").orderBy(*order)
-    near = parts.withColumn("__near", F.last("__value", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, end)))
-    told = F.when(F.col("__value").isNotNull(), F.struct(*order))
-    spans = parts.groupBy(*by, "__span").agg(F.max_by("__value", told).alias("__last"))
+    told, found = F.lit(False), F.lit(True)
+    for n in names:
+        told, found = told | F.col(f"__last_{n}").isNotNull(), found & F.col(n).isNotNull()
+    columns = [c for c in parts.columns if c not in ("__span", *[f"__value_{n}" for n in names])] + list(names)
+    near = parts.withColumns({n: F.last(f"__value_{n}", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, end)) for n in names} | {"__ends": F.lead(F.lit(1)).over(inner).isNull()})
+    near = near.withColumn("__asks", ~found if asks is None else F.coalesce(asks, F.lit(False)) & ~found)
+    near = near.withColumns({f"__last_{n}": F.when(F.col("__ends"), F.coalesce(f"__value_{n}", n)) for n in names} | {"__kept": F.lit(True) if keep is None else F.coalesce(keep, F.col("__asks"))})
+    if asks is not None:  # spans that neither tell nor ask need no end
+        near = near.withColumn("__asked", F.max("__asks").over(inner.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__ends", F.col("__ends") & (told | F.col("__asked")))
+    table = cut(near.where("__kept or __ends").select(*columns, "__span", "__asks", "__kept", "__ends", *[f"__last_{n}" for n in names]))
+
     outer = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__span").alias("__its_span"), F.last("__last", ignorenulls=True).over(outer).alias("__carried"))
-    found = near.join(carried, null_safe(near, carried, by) & (F.col("__span") == F.col("__its_span")), "left")
-    return found.withColumn(name, F.coalesce("__near", "__carried")).drop("__value", "__span", "__near", "__its_span", "__carried", *[f"__{k}" for k in by])
+    lasts = [F.last(f"__last_{n}", ignorenulls=True).over(outer).alias(f"__carried_{n}") for n in names]
+    carried = table.where("__ends").select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__span").alias("__its_span"), *lasts)
+    open_ = table.where("__kept and __asks")
+    late = open_.join(carried, null_safe(open_, carried, by) & open_["__span"].eqNullSafe(carried["__its_span"]), "left").withColumns({n: F.coalesce(n, f"__carried_{n}") for n in names})
+    late = late if keep is None else late.where(keep)
+    return table.where("__kept and not __asks").select(*columns).unionByName(late.select(*columns))
 
 
 def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, split: int | Rows | None = None) -> DataFrame:

@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordered import Rows, look_back, null_safe
+from tracelake.operators.ordered import Rows, look_back, look_backs, null_safe
 
+#: What ``durations`` looks back at, in the order of exits.
+BEFORE = {"__before": "exit_time_ns"}
 ENTER_FIELDS = ("seq", "time_ns", "trace_id", "pid", "fd", "flags", "path", "oldname", "newname", "comm", "cmd", "arg")
 
 
@@ -24,8 +26,8 @@ def match(events: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | Rows
     ``ret``. Rows with a null thread id are a thread of their own.
     """
     enter = F.struct(*[F.col(c) for c in ENTER_FIELDS], F.col("phase"))
-    seen = look_back(events, by, enter, "prev", split_ns=split_ns)
-    hit = seen.where((F.col("phase") == "exit") & (F.col("prev.phase") == "enter"))
+    own = events.select(*dict.fromkeys((*by, "time_ns", "seq", "phase", "trace_id", "ret")), enter.alias("__enter"))
+    hit = look_back(own, by, F.col("__enter"), "prev", split_ns=split_ns, keep=(F.col("phase") == "exit") & (F.col("prev.phase") == "enter"))
     renamed = {"seq": "enter_seq", "time_ns": "enter_time_ns", "trace_id": "enter_trace_id"}
     return hit.select(
         *[c for c in by if c != "pid"], *[F.col(f"prev.{c}").alias(renamed.get(c, c)) for c in ENTER_FIELDS], F.col("seq").alias("exit_seq"), F.col("time_ns").alias("exit_time_ns"),
@@ -73,8 +75,11 @@ def durations(calls: DataFrame, by: Sequence[str] = ("tid",), split_ns: int | Ro
     Apply it to the calls that are left after all filters. An exit time of 0 counts as none. A negative duration
     stays negative.
     """
-    order = ("exit_time_ns", "exit_seq")
-    seen = look_back(calls, by, F.col("exit_time_ns"), "__before", order=order, split_ns=split_ns)
+    return timed(look_backs(calls, by, BEFORE, order=("exit_time_ns", "exit_seq"), split_ns=split_ns))
+
+
+def timed(seen: DataFrame) -> DataFrame:
+    """``durations`` of calls that have looked back at ``BEFORE`` already."""
     gap = F.when(F.coalesce(F.col("__before"), F.lit(0)) == 0, F.lit(0)).otherwise(F.col("enter_time_ns") - F.col("__before"))
     return seen.withColumn("duration", F.col("exit_time_ns") - F.col("enter_time_ns")).withColumn("gap", gap.cast("bigint")).drop("__before")
 

@@ -58,9 +58,9 @@ def enriched_calls(events: DataFrame, dim: DataFrame | None = None, o: Options =
     by, filtered = (*o.run, "tid"), bool(o.comm or o.path)
     chosen = selected(events, dim, o) if filtered else _chosen(events, dim, o)
     calls = pairing.valid_calls(pairing.match(chosen, by, o.split_ns), dim, o.run)
-    calls = fdtable.attach_comm(calls, proc_exe, o.split_ns, o.run)
-    if not filtered:  # the calls are still dealt out by thread
-        calls = pairing.durations(calls, by, o.split_ns)
+    calls = fdtable.attach_comm(calls, proc_exe, o.split_ns, o.run, {} if filtered else pairing.BEFORE)
+    if not filtered:
+        calls = pairing.timed(calls)
     calls = fdtable.attach_files(calls, proc_fd, o.scope, o.strict_minus_one, o.keep_access_mode, o.split_ns, o.run, (o.comm, o.path) if o.filter_first else None)
     if not filtered:
         return calls
